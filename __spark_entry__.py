@@ -586,7 +586,7 @@ def stream_landing_(spark: SparkSession, d: str) -> DataFrame:
 
 def _bid_drops(spark: SparkSession, d: str, home: str):
     """The relays' bids dropped one relay at a time, the least preferred first."""
-    bids = view(spark, d, "relay_bids").withColumn("seen", F.timestamp_seconds("slot"))
+    bids = view(spark, d, "relay_bids").withColumn("seen", scalars.slot_time(F.col("slot")))
     for relay in reversed(RELAYS):
         bids.where(F.col("relay") == relay).write.mode("append").parquet(f"{home}/in")
         yield spark.readStream.schema(bids.schema).parquet(f"{home}/in")

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 GAS_PER_BLOB = 131072
 MS_PER_SECOND = 1000
 WEI_PER_ETH = 1e18
+GENESIS_SECONDS = 1606824023
+SECONDS_PER_SLOT = 12
 
 WIDE = "decimal(38,0)"
-_HEX = r"^0x[0-9a-fA-F]+$"
+_HEX = r"^0x0*[0-9a-fA-F]{1,32}$"
 _DECIMAL = r"^\s*[+-]?[0-9]+\s*$"
 _TWO_POW_64 = "18446744073709551616"
 
@@ -24,17 +26,15 @@ _TWO_POW_64 = "18446744073709551616"
 def hex_to_int(text: Column) -> Column:
     """``0x…`` or decimal text to a whole number; anything else, or beyond 38 digits, is NULL.
 
-    The hex digits are cut into two 64-bit halves, which ``conv`` reads exactly.
+    The last 32 hex digits are cut into two 64-bit halves, which ``conv`` reads exactly.
     """
-    digits = F.regexp_replace(F.substring(text, 3, 1 << 20), "^0+(?=.)", "")
-    padded = F.lpad(digits, 32, "0")
-    high = F.conv(F.substring(padded, 1, 16), 16, 10).cast("decimal(20,0)")
-    low = F.conv(F.substring(padded, 17, 16), 16, 10).cast("decimal(20,0)")
-    wide = F.try_add(F.try_multiply(high.cast(WIDE), F.lit(_TWO_POW_64).cast(WIDE)), low.cast(WIDE))
+    digits = F.right(F.concat(F.lit("0" * 32), F.substring(text, 3, 1 << 20)), F.lit(32))
+    high = F.conv(F.substring(digits, 1, 16), 16, 10).cast(WIDE)
+    low = F.conv(F.substring(digits, 17, 16), 16, 10).cast(WIDE)
+    wide = F.try_add(F.try_multiply(high, F.lit(_TWO_POW_64).cast(WIDE)), low)
     return (
-        F.when(text.rlike(_HEX) & (F.length(digits) <= 32), wide)
+        F.when(text.rlike(_HEX), wide.cast(WIDE))
         .when(text.rlike(_DECIMAL), F.trim(text).try_cast(WIDE))
-        .cast(WIDE)
     )
 
 
@@ -62,6 +62,11 @@ def seconds(milliseconds: Column) -> Column:
     return milliseconds / F.lit(MS_PER_SECOND)
 
 
+def slot_time(slot: Column) -> Column:
+    """When a slot starts, from its number."""
+    return F.timestamp_seconds(slot * F.lit(SECONDS_PER_SLOT) + F.lit(GENESIS_SECONDS))
+
+
 def wei_to_eth(wei: Column) -> Column:
     return wei.cast("double") / F.lit(WEI_PER_ETH)
 

@@ -8,6 +8,8 @@ those lines; the requests themselves are made elsewhere.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from blockscope.functions.scalars import hex_to_int
 from blockscope.operators.windows import keep_first
 from blockscope.schemas import BLOCK_ROOTS
+from blockscope.session import settled
 
 LANDED_LINE = "key string, attempt int, status int, body string"
 MAX_TRIES = 6
@@ -48,56 +51,56 @@ def _nested(path: tuple[str, ...], inner: T.StructType) -> T.StructType:
     return inner
 
 
-def _parse(raw: DataFrame, path: tuple[str, ...], fields: T.StructType) -> DataFrame:
-    """Add ``found`` (the struct at ``path``, as text fields) and ``broken`` (not JSON at all)."""
-    envelope = _nested(path, _texts(fields)).add(_CORRUPT, T.StringType())
-    parsed = F.from_json("body", envelope, {"columnNameOfCorruptRecord": _CORRUPT})
-    return raw.withColumn("__parsed", parsed).select(
-        *raw.columns,
-        F.col("__parsed." + ".".join(path)).alias("found"),
-        (F.col("body").isNull() | F.col(f"__parsed.{_CORRUPT}").isNotNull()).alias("broken"),
-    )
-
-
-def _typed(field: T.StructField, number: bool) -> Column:
-    text = F.col("found").getField(field.name)
-    return hex_to_int(text).try_cast(field.dataType) if number else text
-
-
 def classify(raw: DataFrame, schema: T.StructType, path: tuple[str, ...] = ("result",)) -> DataFrame:
     """key, attempt, reason, body and the typed columns of ``schema``; reason is NULL for good rows.
 
     A number that cannot be read, or does not fit its column, rejects the response;
     an absent field is NULL.  Works on batch and streaming frames alike.
     """
-    numbers = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    parsed = _parse(raw, path, schema)
-    typed = parsed.select(
-        "key",
-        "attempt",
-        "status",
-        "body",
-        "broken",
-        "found",
-        *[_typed(f, f in numbers).alias(f.name) for f in schema.fields],
+    envelope = _nested(path, _texts(schema)).add(_CORRUPT, T.StringType())
+    parsed = raw.select(
+        F.struct(*raw.columns).alias("line"),
+        F.from_json("body", envelope, {"columnNameOfCorruptRecord": _CORRUPT}).alias("parsed"),
     )
-    unread = F.lit(False)
-    for f in numbers:
-        unread = unread | (F.col("found").getField(f.name).isNotNull() & F.col(f"`{f.name}`").isNull())
+    found = F.col("parsed." + ".".join(path))
+
+    numbers = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    # One conversion over an array: written out per column it outgrows what the JVM compiles.
+    values = F.transform(F.array(*[found.getField(f.name) for f in numbers]), hex_to_int)
+    rows = parsed.withColumn("values", values)
+
+    def typed(f: T.StructField) -> Column:
+        if f not in numbers:
+            return found.getField(f.name)
+        return F.get("values", F.lit(numbers.index(f))).try_cast(f.dataType)
+
+    unread = [found.getField(f.name).isNotNull() & typed(f).isNull() for f in numbers]
     reason = (
-        F.when(F.col("status") != HTTP_OK, "http_status")
-        .when(F.col("broken"), "malformed")
-        .when(F.col("found").isNull(), "no_result")
-        .when(unread, "bad_number")
+        F.when(F.col("line.status") != HTTP_OK, "http_status")
+        .when(F.col("line.body").isNull() | F.col(f"parsed.{_CORRUPT}").isNotNull(), "malformed")
+        .when(found.isNull(), "no_result")
+        .when(reduce(or_, unread, F.lit(False)), "bad_number")
+    )
+    return rows.select(
+        "line.key",
+        "line.attempt",
+        reason.alias("reason"),
+        "line.body",
+        *[typed(f).alias(f.name) for f in schema.fields],
     )
-    return typed.select("key", "attempt", reason.alias("reason"), "body", *[f"`{f.name}`" for f in schema.fields])
 
 
 def split(classified: DataFrame, schema: T.StructType) -> Landed:
+    """Good rows and rejects of one classified frame, which is parsed once for both.
+
+    Settled first: a filter on the reason would otherwise be pushed below the parsing
+    and repeat it.
+    """
+    rows = settled(classified)
     names = [f"`{f.name}`" for f in schema.fields]
     return Landed(
-        good=classified.where(F.col("reason").isNull()).select("key", "attempt", *names),
-        rejects=classified.where(F.col("reason").isNotNull()).select(
+        good=rows.where(F.col("reason").isNull()).select("key", "attempt", *names),
+        rejects=rows.where(F.col("reason").isNotNull()).select(
             "key", "attempt", "reason", F.col("body").alias("raw")
         ),
     )

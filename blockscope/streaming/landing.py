@@ -37,12 +37,11 @@ def land_new(
 ) -> None:
     """Classify new responses into ``out``, good ones and rejects in folders of their own."""
     rows = classify(read_landed_stream(spark, source), schema)
-    run_available(
-        rows.withColumn("accepted", F.col("reason").isNull()), out, checkpoint, by=["accepted"]
-    )
+    outcome = F.when(F.col("reason").isNull(), "good").otherwise("reject")
+    run_available(rows.withColumn("outcome", outcome), out, checkpoint, by=["outcome"])
 
 
 def landed_rows(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
-    """The accepted rows landed so far."""
+    """The good rows landed so far."""
     names = [f"`{f.name}`" for f in schema.fields]
-    return spark.read.parquet(out).where(F.col("accepted")).select("key", "attempt", *names)
+    return spark.read.parquet(out).where(F.col("outcome") == "good").select("key", "attempt", *names)
