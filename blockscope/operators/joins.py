@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 _SALT = "__salt"
 _HOT = "__hot"
+_FOUND = "__found"
 
 
 def _any_null(cols: Sequence[str]) -> Column:
@@ -93,24 +94,31 @@ def left_join_fill(
     right: DataFrame,
     on: Sequence[str],
     fill: Mapping[str, object] | None = None,
+    null_keys: bool = False,
     salts: int = 64,
 ) -> DataFrame:
     """Left join whose unmatched right columns get the given defaults instead of NULL.
 
-    Left keys are expected to repeat little (aggregates, keyed tables); NULL keys,
-    which an earlier unmatched join produces in bulk, are spread over ``salts`` partitions.
-    Only unmatched rows are filled: a NULL stored in a matched row stays NULL.
+    Left keys are expected to repeat little (aggregates, keyed tables).  NULL keys,
+    which an earlier unmatched join produces in bulk, match nothing; ``null_keys``
+    spreads them over ``salts`` sub-keys.  Only unmatched rows are filled: a NULL
+    stored in a matched row stays NULL.
     """
-    others = [c for c in left.columns if c not in on]
-    salt = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
-    facts = left.withColumn(_SALT, F.when(_any_null(on), salt).otherwise(F.lit(0)))
-    looked_up = right.withColumns({_SALT: F.lit(0), _HOT: F.lit(True)})
-    joined = facts.join(looked_up, [*on, _SALT], "left")
+    keys = list(on)
+    if null_keys:
+        others = F.xxhash64(*[c for c in left.columns if c not in on])
+        salt = F.when(_any_null(on), F.pmod(others, F.lit(salts))).otherwise(F.lit(0))
+        left = left.withColumn(_SALT, salt.cast("int"))
+        right = right.withColumn(_SALT, F.lit(0))
+        keys = [*on, _SALT]
+    if fill:
+        right = right.withColumn(_FOUND, F.lit(True))
+    joined = left.join(right, keys, "left")
     for name, default in (fill or {}).items():
         joined = joined.withColumn(
-            name, F.when(F.col(_HOT).isNull(), F.lit(default)).otherwise(F.col(name))
+            name, F.when(F.col(_FOUND).isNull(), F.lit(default)).otherwise(F.col(name))
         )
-    return joined.drop(_SALT, _HOT)
+    return joined.drop(_SALT, _FOUND)
 
 
 def member_tags(items: DataFrame, members: DataFrame, key: str, tag: str) -> DataFrame:

@@ -20,10 +20,10 @@ _V, _N, _RANGE = "__v", "__n", "__range"
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(group, value, row count) without NULL values; combined before the shuffle."""
+    """(group, value, row count) without NULL and NaN; combined before the shuffle."""
     return (
         df.select(*by, F.col(value).cast("double").alias(_V))
-        .where(F.col(_V).isNotNull())
+        .where(F.col(_V).isNotNull() & ~F.isnan(_V))
         .groupBy(*by, _V)
         .agg(F.count(F.lit(1)).alias(_N))
     )

@@ -15,28 +15,32 @@ from blockscope.session import settled
 _V, _N = "__v", "__n"
 
 
-def _span(counts: DataFrame, n: int) -> Column:
+def _span(values: DataFrame, n: int) -> Column:
     """Scalar (lo, width, total) of equal-width bins over the values; one value gets lo +- 0.5."""
     flat = F.min(_V) == F.max(_V)
     lo = F.when(flat, F.min(_V) - 0.5).otherwise(F.min(_V))
     hi = F.when(flat, F.max(_V) + 0.5).otherwise(F.max(_V))
-    return counts.agg(
-        F.struct(lo.alias("lo"), ((hi - lo) / F.lit(n)).alias("width"), F.sum(_N).alias("total"))
+    return values.agg(
+        F.struct(lo.alias("lo"), ((hi - lo) / F.lit(n)).alias("width"), F.count(_V).alias("total"))
     ).scalar()
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins over the column's range, the last one closed; NULLs are left out.
+    """Equal-width bins over the column's range, the last one closed; NULL and NaN are left out.
 
     (bin, lo, hi, n, density), one row per bin even where it is empty; density is
-    the share of rows per unit of the axis.
+    the share of rows per unit of the axis.  Reads the column twice, for the range
+    and for the counts, and shuffles bin counts only; settle a costly input first.
     """
-    counts = settled(value_counts(df, [], value))
-    span = _span(counts, bins)
+    values = df.select(F.col(value).cast("double").alias(_V)).where(
+        F.col(_V).isNotNull() & ~F.isnan(_V)
+    )
+    span = _span(values, bins)
     lo, width = span.getField("lo"), span.getField("width")
-    filled = counts.groupBy(left_closed_bin(F.col(_V), lo, width, bins).alias("bin")).agg(
-        F.sum(_N).alias("n")
+    binned = values.withColumns({"__lo": lo, "__width": width}).select(
+        left_closed_bin(F.col(_V), F.col("__lo"), F.col("__width"), bins).alias("bin")
     )
+    filled = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     edge = F.col("bin").cast("double")
     return frame.join(filled, "bin", "left").select(
@@ -56,26 +60,22 @@ def histogram_edges(df: DataFrame, value: str, edges: Sequence[float], by: str)
     """
     last = len(edges) - 2
     cuts = F.array(*[F.lit(float(e)) for e in edges])
-    counts = settled(value_counts(df, [by], value))
-    numbered = counts.withColumn(
-        "bin",
-        F.when(F.col(_V) == F.lit(float(edges[-1])), F.lit(last)).otherwise(
-            edge_count(F.col(_V), cuts) - 1
-        ),
+    values = df.select(by, F.col(value).cast("double").alias(_V))
+    number = F.when(F.col(_V) == F.lit(float(edges[-1])), F.lit(last)).otherwise(
+        edge_count(F.col(_V), cuts) - 1
     )
-    filled = (
-        numbered.where((F.col("bin") >= 0) & (F.col("bin") <= last))
-        .groupBy(by, "bin")
-        .agg(F.sum(_N).alias("n"))
+    binned = values.groupBy(by, number.alias("bin")).agg(F.count(_V).alias("n"))
+    inside = (F.col("bin") >= 0) & (F.col("bin") <= last)
+    # At most one entry per bin.
+    per_facet = binned.groupBy(by).agg(
+        F.map_from_entries(F.collect_list(F.when(inside, F.struct("bin", "n")))).alias("filled")
     )
-    every = F.sequence(F.lit(0), F.lit(last))
-    frame = counts.select(by).distinct().withColumn("bin", F.explode(every))
-    return frame.join(filled, [by, "bin"], "left").select(
+    return per_facet.select(by, "filled", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("bin")).select(
         by,
         "bin",
         F.get(cuts, F.col("bin")).alias("lo"),
         F.get(cuts, F.col("bin") + 1).alias("hi"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.try_element_at("filled", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 

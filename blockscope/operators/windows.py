@@ -8,20 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+STRETCH = 100_000
+
+
 def gap_to_previous(
-    df: DataFrame, by: Sequence[str], order: str, out: str, chunk: int = 100_000
+    df: DataFrame, by: Sequence[str], order: str, out: str, stretch: int = STRETCH
 ) -> DataFrame:
     """Add ``out`` = ``order`` minus the previous ``order`` of the same group, NULL for the first row.
 
-    A group is cut into stretches of ``chunk`` consecutive order values, so that a
+    A group is cut into stretches of ``stretch`` consecutive order values, so that a
     busy group is shared by many tasks.  Only the first row of a stretch needs
     another one: the last value of the stretch before it, taken from a small
     (group, stretch) table.
     """
     part = "__part"
-    cut = df.withColumn(part, F.floor(F.col(order) / F.lit(chunk)))
-    stretch = Window.partitionBy(*by, part).orderBy(order)
-    stepped = cut.withColumn("__prev", F.lag(order).over(stretch))
+    cut = df.withColumn(part, F.floor(F.col(order) / F.lit(stretch)))
+    stepped = cut.withColumn(
+        "__prev", F.lag(order).over(Window.partitionBy(*by, part).orderBy(order))
+    )
     lasts = cut.groupBy(*by, part).agg(F.max(order).alias("__last"))
     before = lasts.select(
         *by, part, F.lag("__last").over(Window.partitionBy(*by).orderBy(part)).alias("__edge")
@@ -32,6 +36,27 @@ def gap_to_previous(
     ).drop(part, "__prev", "__edge")
 
 
+def gaps_within(
+    df: DataFrame, by: Sequence[str], order: str, out: str, most: int, stretch: int = STRETCH
+) -> DataFrame:
+    """Rows of ``gap_to_previous`` whose gap is at most ``most``, with one shuffle.
+
+    Rows in the last ``most`` values of a stretch are also sent to the next one, as
+    possible predecessors of its first row; a predecessor further away would give
+    too large a gap anyway.
+    """
+    part, guest = "__part", "__guest"
+    wide = max(stretch, most)
+    own = F.floor(F.col(order) / F.lit(wide))
+    near_end = F.col(order) >= (own + 1) * F.lit(wide) - F.lit(most)
+    placed = df.withColumn(
+        part, F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
+    ).withColumn(guest, F.col(part) != own)
+    window = Window.partitionBy(*by, part).orderBy(order, F.col(guest).desc())
+    stepped = placed.withColumn(out, F.col(order) - F.lag(order).over(window))
+    return stepped.where(~F.col(guest) & (F.col(out) <= F.lit(most))).drop(part, guest)
+
+
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first by ``order``; remaining ties go to the smallest row.
 

@@ -16,6 +16,7 @@ from blockscope.operators.shaping import at_most, time_range
 from blockscope.operators.summaries import binned_median, box_stats, histogram, regression_line
 from blockscope.plans.blobs import blobs_per, non_mev_blocks, transactions_by_blobs
 from blockscope.plans.tables import ChainTables, Settings
+from blockscope.session import settled
 
 
 def _latest(out: str) -> Column:
@@ -188,4 +189,4 @@ def last_arrival_box(t: ChainTables, s: Settings = Settings()) -> DataFrame:
 def last_arrival_density(t: ChainTables, num_blobs: int, s: Settings = Settings(), bins: int = 1000) -> DataFrame:
     """Density histogram of ``last_arrivals`` for one number of blobs."""
     rows = last_arrivals(t, s).where(F.col("num_blobs") == num_blobs)
-    return histogram(rows, "seconds", bins)
+    return histogram(settled(rows.select("seconds")), "seconds", bins)

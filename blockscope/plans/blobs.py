@@ -94,7 +94,7 @@ def size_by_blobs(t: ChainTables, s: Settings = Settings(), q: float = 0.99) ->
     """(num_blobs, size) per block, largest blocks trimmed; a block without details has size 0."""
     sizes = t.block_details.select(F.col("hash").alias("block_hash"), "size")
     hashed = joins.left_join_fill(blobs_per(t, "block_root", s), t.block_roots, ["block_root"])
-    rows = joins.left_join_fill(hashed, sizes, ["block_hash"], fill={"size": 0})
+    rows = joins.left_join_fill(hashed, sizes, ["block_hash"], fill={"size": 0}, null_keys=True)
     return trim_quantile(rows.select("num_blobs", "size"), "size", q)
 
 

@@ -10,6 +10,7 @@ from blockscope.operators.joins import skew_join
 from blockscope.operators.summaries import histogram
 from blockscope.plans.blobs import blob_transactions
 from blockscope.plans.tables import ChainTables, Settings
+from blockscope.session import settled
 
 
 def blob_position(t: ChainTables, s: Settings = Settings()) -> DataFrame:
@@ -28,7 +29,7 @@ def relative_position(t: ChainTables, s: Settings = Settings()) -> DataFrame:
 
 
 def relative_position_histogram(t: ChainTables, s: Settings = Settings(), bins: int = 50) -> DataFrame:
-    return histogram(relative_position(t, s), "rel_position", bins)
+    return histogram(settled(relative_position(t, s).select("rel_position")), "rel_position", bins)
 
 
 def blob_position_histogram(t: ChainTables, s: Settings = Settings(), bins: int = 50) -> DataFrame:

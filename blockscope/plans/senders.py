@@ -11,7 +11,7 @@ from blockscope.functions import scalars
 from blockscope.operators import joins
 from blockscope.operators.quantiles import grouped_median
 from blockscope.operators.summaries import histogram_edges
-from blockscope.operators.windows import gap_to_previous, top_k
+from blockscope.operators.windows import gaps_within, top_k
 from blockscope.plans.blobs import blob_transactions, with_sender_label
 from blockscope.plans.tables import TRACKED_SENDERS, ChainTables, Settings
 
@@ -38,8 +38,7 @@ def posting_gap(t: ChainTables, senders: DataFrame, s: Settings = Settings()) ->
     A sender's first slot has no gap and drops out.
     """
     posts = sender_blobs(t, senders, s).drop("num_blob_txns")
-    gaps = gap_to_previous(posts, ["label", "address"], "slot", "slot_increment")
-    return gaps.where(F.col("slot_increment") <= s.max_slot_gap)
+    return gaps_within(posts, ["label", "address"], "slot", "slot_increment", s.max_slot_gap)
 
 
 def posting_gap_histogram(t: ChainTables, senders: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -1,0 +1,83 @@
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from blockscope.operators import quantiles
+
+QS = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.98, "e": 1.0}
+
+
+def check(spark, pdf, ranges=256):
+    df = spark.createDataFrame(pdf, "g long, v double")
+    got = {r.g: r for r in quantiles.grouped_quantiles(df, ["g"], "v", QS, ranges).collect()}
+    groups = pdf.dropna(subset=["v"]).groupby("g")["v"]
+    assert set(got) == set(groups.groups)
+    for g, values in groups:
+        for name, q in QS.items():
+            assert got[g][name] == pytest.approx(values.quantile(q), rel=1e-12, abs=1e-12)
+
+
+def test_hot_group_heavy_tail_and_ties(spark):
+    rng = np.random.default_rng(3)
+    hot = pd.DataFrame({"g": 1, "v": rng.lognormal(2, 3, 20000)})
+    ties = pd.DataFrame({"g": 2, "v": rng.integers(0, 4, 5000).astype(float)})
+    one = pd.DataFrame({"g": 3, "v": [5.0]})
+    two = pd.DataFrame({"g": 4, "v": [1.0, 2.0]})
+    same = pd.DataFrame({"g": 5, "v": [7.0] * 300})
+    empty = pd.DataFrame({"g": 6, "v": [None] * 4}, dtype=object).astype({"v": float})
+    check(spark, pd.concat([hot, ties, one, two, same, empty], ignore_index=True))
+
+
+@pytest.mark.parametrize("ranges", [2, 16, 17, 64])
+def test_any_number_of_ranges(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "v": rng.normal(0, 1e6, 3000).round(3)})
+    check(spark, pdf, ranges)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(-20, 20)), min_size=1, max_size=60))
+def test_small_groups(spark, pairs):
+    check(spark, pd.DataFrame(pairs, columns=["g", "v"]).astype({"v": float}), 16)
+
+
+def test_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0)], "g long, v double")
+    got = {r.g: r.m for r in quantiles.grouped_median(df, ["g"], "v", "m").collect()}
+    assert got == {None: 2.0, 1: 5.0}
+
+
+def test_trim_keeps_rows_up_to_the_bound_and_drops_null(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(101)] + [(200, None)], "id long, v double")
+    kept = quantiles.trim_quantile(df, "v", 0.95)
+    assert sorted(r.id for r in kept.collect()) == list(range(96))
+
+
+def test_trim_of_wide_decimals_compares_like_floats(spark):
+    df = spark.range(1, 11).select(F.concat("id", F.lit("0" * 20)).cast("decimal(38,0)").alias("v"))
+    assert quantiles.trim_quantile(df, "v", 0.5).count() == 5
+
+
+def test_trim_of_nothing(spark):
+    df = spark.createDataFrame([], "v double")
+    assert quantiles.trim_quantile(df, "v", 0.5).count() == 0
+    nulls = spark.createDataFrame([(None,)], "v double")
+    assert quantiles.trim_quantile(nulls, "v", 0.5).count() == 0
+
+
+def test_approximate_trim_is_close_and_other_names_are_refused(spark):
+    df = spark.range(10000).select(F.col("id").cast("double").alias("v"))
+    assert abs(quantiles.trim_quantile(df, "v", 0.9, "approx").count() - 9000) <= 2
+    with pytest.raises(ValueError):
+        quantiles.trim_quantile(df, "v", 0.9, "guess")
+
+
+def test_only_ranges_with_a_wanted_rank_are_sorted(spark):
+    """No window sorts a whole group: value windows are partitioned by range as well."""
+    df = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = quantiles.grouped_median(df, ["g"], "v", "m")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "__v#" in line and "Window [" in line]
+    assert windows and all("__range" in line.split("], [")[1] for line in windows)
