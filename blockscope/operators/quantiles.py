@@ -1,8 +1,9 @@
 """Exact quantiles with linear interpolation, per group and for a whole column.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task.  Here a
-group is cut into value ranges first, so that only the ranges that hold a wanted
-rank are ever sorted, each in its own task, however large the group is.
+Spark's ``percentile`` keeps every distinct value of a group in one task.  That is
+used up to a checked number of distinct values.  Beyond it a group is cut into
+value ranges, so that only the ranges that hold a wanted rank are ever sorted, each
+in its own task, however large the group is.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from blockscope.session import settled
 
 _V, _N, _RANGE = "__v", "__n", "__range"
 
+# So many distinct values, over all groups, fit into one task's memory many times over.
+IN_MEMORY = 1_000_000
+RANGES = 256
+
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(group, value, row count) without NULL and NaN; combined before the shuffle."""
@@ -42,16 +47,28 @@ def _cut_points(counts: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
         .orderBy("__h", _V)
         .limit(ranges * 16)
     )
-    edges = F.percentile(_V, [i / ranges for i in range(1, ranges)])
+    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    edges = F.expr(f"percentile({_V}, array({shares}))")
     return probe.agg(edges.alias("edges")).select(
         F.struct("edges", strided(F.col("edges")).alias("strided"))
     )
 
 
 def quantiles_of_counts(
-    counts: DataFrame, by: Sequence[str], wanted: dict[str, float], ranges: int = 256
+    counts: DataFrame, by: Sequence[str], wanted: dict[str, float], in_memory: int = IN_MEMORY
+) -> DataFrame:
+    """Exact quantiles of settled ``value_counts``: one row per group, one column per name."""
+    if counts.count() <= in_memory:
+        return counts.groupBy(*by).agg(
+            *[F.percentile(_V, q, F.col(_N)).alias(name) for name, q in wanted.items()]
+        )
+    return quantiles_by_range(counts, by, wanted)
+
+
+def quantiles_by_range(
+    counts: DataFrame, by: Sequence[str], wanted: dict[str, float], ranges: int = RANGES
 ) -> DataFrame:
-    """Exact quantiles of ``value_counts`` output: one row per group, one column per name."""
+    """As ``quantiles_of_counts`` for any number of distinct values in a group."""
     by = list(by)
     cuts = _cut_points(counts, by, ranges).scalar()
     ranged = counts.withColumn("__cuts", cuts).select(
@@ -119,28 +136,34 @@ def quantiles_of_counts(
 
 
 def grouped_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], ranges: int = 256
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    wanted: dict[str, float],
+    in_memory: int = IN_MEMORY,
 ) -> DataFrame:
     """Exact quantiles of ``value`` per group.  A group whose values are all NULL is absent."""
-    return quantiles_of_counts(settled(value_counts(df, by, value)), by, wanted, ranges)
+    return quantiles_of_counts(settled(value_counts(df, by, value)), by, wanted, in_memory)
 
 
 def grouped_median(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     return grouped_quantiles(df, by, value, {out: 0.5})
 
 
-def trim_quantile(df: DataFrame, value: str, q: float, method: str = "exact") -> DataFrame:
+def trim_quantile(
+    df: DataFrame, value: str, q: float, method: str = "exact", in_memory: int = IN_MEMORY
+) -> DataFrame:
     """Keep rows at or below the column's q-quantile; NULL values are dropped.
 
     ``approx`` takes the bound from ``percentile_approx`` at one part in a million,
     without shuffling the values, for when a near bound will do.
     The rows are read twice, for the bound and for the result, so they are settled first.
     """
+    if method not in ("exact", "approx"):
+        raise ValueError(f"unknown quantile method {method}")
     rows = settled(df)
     if method == "approx":
         bound = rows.agg(F.percentile_approx(F.col(value).cast("double"), q, 1_000_000))
-    elif method == "exact":
-        bound = quantiles_of_counts(value_counts(rows, [], value), [], {value: q})
     else:
-        raise ValueError(f"unknown quantile method {method}")
+        bound = grouped_quantiles(rows, [], value, {value: q}, in_memory)
     return rows.where(F.col(value).cast("double") <= bound.scalar())

@@ -11,8 +11,17 @@ QS = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.98, "e": 1.0}
 
 
 def check(spark, pdf, ranges=256):
+    """Both ways give pandas' quantiles."""
     df = spark.createDataFrame(pdf, "g long, v double")
-    got = {r.g: r for r in quantiles.grouped_quantiles(df, ["g"], "v", QS, ranges).collect()}
+    counts = quantiles.value_counts(df, ["g"], "v")
+    for result in (
+        quantiles.quantiles_by_range(counts, ["g"], QS, ranges),
+        quantiles.grouped_quantiles(df, ["g"], "v", QS),
+    ):
+        check_against_pandas(pdf, {r.g: r for r in result.collect()})
+
+
+def check_against_pandas(pdf, got):
     groups = pdf.dropna(subset=["v"]).groupby("g")["v"]
     assert set(got) == set(groups.groups)
     for g, values in groups:
@@ -46,14 +55,16 @@ def test_small_groups(spark, pairs):
 
 def test_null_group_is_a_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0)], "g long, v double")
-    got = {r.g: r.m for r in quantiles.grouped_median(df, ["g"], "v", "m").collect()}
-    assert got == {None: 2.0, 1: 5.0}
+    for in_memory in (0, 1000):
+        result = quantiles.grouped_quantiles(df, ["g"], "v", {"m": 0.5}, in_memory)
+        assert {r.g: r.m for r in result.collect()} == {None: 2.0, 1: 5.0}
 
 
 def test_trim_keeps_rows_up_to_the_bound_and_drops_null(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(101)] + [(200, None)], "id long, v double")
-    kept = quantiles.trim_quantile(df, "v", 0.95)
-    assert sorted(r.id for r in kept.collect()) == list(range(96))
+    for in_memory in (0, 1000):
+        kept = quantiles.trim_quantile(df, "v", 0.95, in_memory=in_memory)
+        assert sorted(r.id for r in kept.collect()) == list(range(96))
 
 
 def test_trim_of_wide_decimals_compares_like_floats(spark):
@@ -63,9 +74,10 @@ def test_trim_of_wide_decimals_compares_like_floats(spark):
 
 def test_trim_of_nothing(spark):
     df = spark.createDataFrame([], "v double")
-    assert quantiles.trim_quantile(df, "v", 0.5).count() == 0
     nulls = spark.createDataFrame([(None,)], "v double")
-    assert quantiles.trim_quantile(nulls, "v", 0.5).count() == 0
+    for in_memory in (-1, 1000):
+        assert quantiles.trim_quantile(df, "v", 0.5, in_memory=in_memory).count() == 0
+        assert quantiles.trim_quantile(nulls, "v", 0.5, in_memory=in_memory).count() == 0
 
 
 def test_approximate_trim_is_close_and_other_names_are_refused(spark):
@@ -78,6 +90,6 @@ def test_approximate_trim_is_close_and_other_names_are_refused(spark):
 def test_only_ranges_with_a_wanted_rank_are_sorted(spark):
     """No window sorts a whole group: value windows are partitioned by range as well."""
     df = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))
-    plan = quantiles.grouped_median(df, ["g"], "v", "m")._jdf.queryExecution().optimizedPlan().toString()
+    plan = quantiles.grouped_quantiles(df, ["g"], "v", {"m": 0.5}, in_memory=0)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "__v#" in line and "Window [" in line]
     assert windows and all("__range" in line.split("], [")[1] for line in windows)
