@@ -17,16 +17,25 @@ def _any_null(cols: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: int, min_rows: int) -> DataFrame:
-    """Keys that hold more than 1/share of all rows, and at least ``min_rows``.
+def hot_keys(
+    df: DataFrame,
+    on: Sequence[str],
+    spread: Sequence[str],
+    share: int = 64,
+    min_rows: int = 100_000,
+    one_in: int = 256,
+) -> DataFrame:
+    """Keys that hold more than 1/share of the rows, by a count over one row in ``one_in``.
 
-    Fewer than ``share`` keys can pass, whatever the size of the data.
+    Fewer than ``share`` keys can pass, whatever the size of the data.  Which rows are
+    counted depends on a hash of ``spread``, so every task and re-run finds the same
+    keys.  The keys only decide how work is divided: no result depends on them.
     """
-    present = df.where(~_any_null(on))
-    per_key = present.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    drawn = df.where(~_any_null(on) & (F.pmod(F.xxhash64(*spread), F.lit(one_in)) == 0))
+    per_key = drawn.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = per_key.agg(F.sum("__n")).scalar()
     return per_key.where(
-        (F.col("__n") >= F.lit(min_rows)) & (F.col("__n") * F.lit(share) > total)
+        (F.col("__n") * F.lit(one_in) >= F.lit(min_rows)) & (F.col("__n") * F.lit(share) > total)
     ).select(*on, F.lit(True).alias(_HOT))
 
 
@@ -36,21 +45,20 @@ def skew_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    share: int = 64,
     salts: int = 64,
-    min_rows: int = 100_000,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join a fact side whose keys may be hot with a side that has few rows per key.
 
-    Rows of hot keys are spread over ``salts`` sub-keys by a hash of ``spread``
+    Rows of hot keys (``hot_keys`` unless given) are spread over ``salts`` sub-keys by a hash of ``spread``
     (columns that tell rows of one key apart), and only those keys are repeated on
     the right.  The hash depends on the data alone, so a re-run task places each
     row as before.  Left rows with a NULL key match nothing and are spread as well.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not do {how}")
-    # Bounded broadcast: hot_keys returns fewer than `share` rows.
-    hot = F.broadcast(hot_keys(left, on, share, min_rows))
+    # Bounded broadcast: fewer rows than the share that makes a key hot.
+    hot = F.broadcast(hot_keys(left, on, spread) if hot is None else hot)
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     facts = (
         left.join(hot, list(on), "left")

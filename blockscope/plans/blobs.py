@@ -10,6 +10,7 @@ from blockscope.operators import joins
 from blockscope.operators.quantiles import grouped_quantiles, trim_quantile
 from blockscope.operators.shaping import stack_series
 from blockscope.plans.tables import ChainTables, Settings
+from blockscope.session import settled
 
 
 def blob_transactions(t: ChainTables, s: Settings = Settings()) -> DataFrame:
@@ -80,12 +81,28 @@ def gas_summary(
 
 
 def gas_series(t: ChainTables, s: Settings = Settings()) -> DataFrame:
-    """The three gas series under one label column: mean, mean, median."""
+    """The three gas series under one label column: mean, mean, median.
+
+    Blocks are told MEV or not once, for all series.
+    """
+    other = non_mev_blocks(t).select(F.col("hash").alias("block_hash"), F.lit(False).alias("mev"))
+    gas = t.block_details.select(F.col("hash").alias("block_hash"), "gas_used")
+    blocks = blobs_per(t, "block_root", s).join(t.block_roots, "block_root").join(gas, "block_hash")
+    marked = settled(
+        joins.left_join_fill(blocks, other, ["block_hash"], fill={"mev": True}).select(
+            "num_blobs", "gas_used", "mev"
+        )
+    )
+
+    def mean(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("num_blobs").agg(F.avg("gas_used").alias("gas_used"))
+
+    mev = marked.where("mev")
     return stack_series(
         {
-            "All": gas_summary(t, s),
-            "Non-MEV": gas_summary(t, s, mev=False),
-            "MEV": gas_summary(t, s, mev=True, statistic="median"),
+            "All": mean(marked),
+            "Non-MEV": mean(marked.where(~F.col("mev"))),
+            "MEV": grouped_quantiles(mev, ["num_blobs"], "gas_used", {"gas_used": 0.5}),
         }
     )
 

@@ -21,9 +21,10 @@ def facts_dim(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("min_rows", [0, 1_000_000])
-def test_skew_join_is_the_plain_join(facts, facts_dim, how, min_rows):
-    got = joins.skew_join(facts, facts_dim, ["k"], spread=["row"], how=how, salts=8, min_rows=min_rows)
+@pytest.mark.parametrize("min_rows, one_in", [(0, 1), (0, 5), (1_000_000, 1)])
+def test_skew_join_is_the_plain_join(facts, facts_dim, how, min_rows, one_in):
+    hot = joins.hot_keys(facts, ["k"], ["row"], share=10, min_rows=min_rows, one_in=one_in)
+    got = joins.skew_join(facts, facts_dim, ["k"], spread=["row"], how=how, salts=8, hot=hot)
     assert rows(got) == rows(facts.join(facts_dim, ["k"], how))
 
 
@@ -40,9 +41,10 @@ def test_joins_that_cannot_be_spread_are_refused(facts, facts_dim):
 
 
 def test_hot_keys_are_few_and_the_right_ones(facts):
-    hot = joins.hot_keys(facts, ["k"], share=10, min_rows=1)
-    assert [r.k for r in hot.collect()] == [7]
-    assert joins.hot_keys(facts, ["k"], share=10, min_rows=10_000).count() == 0
+    for one_in in (1, 7):
+        hot = joins.hot_keys(facts, ["k"], ["row"], share=10, min_rows=1, one_in=one_in)
+        assert [r.k for r in hot.collect()] == [7]
+    assert joins.hot_keys(facts, ["k"], ["row"], share=10, min_rows=10_000, one_in=1).count() == 0
 
 
 def test_hot_rows_are_spread_over_many_keys(facts, facts_dim):
