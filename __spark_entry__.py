@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 RELAYS = ("a", "b", "c")
+WORK_SINCE = "2000-01-01"
 _REGISTRY: dict[str, Query] = {}
 
 
@@ -101,6 +102,7 @@ plan("prop_by_blobs_mev", lambda t: arrival.arrival_by_blobs(t, SETTINGS, mev=Tr
 plan(
     "prop_by_blobs_nonmev", lambda t: arrival.arrival_by_blobs(t, SETTINGS, mev=False), "propagation_sec"
 )
+plan("prop_by_blobs_series", lambda t: arrival.arrival_series(t, SETTINGS), "propagation_sec")
 plan("prop_full", lambda t: arrival.arrival_by_blobs_all_blocks(t, SETTINGS), "propagation_sec")
 plan("prop_over_time", lambda t: arrival.arrival_over_time(t, SETTINGS), "propagation_sec")
 plan(
@@ -125,6 +127,21 @@ plan(
     "median_value",
 )
 plan("last_arrival_summary", lambda t: arrival.last_arrival_summary(t, SETTINGS), "mean", "median")
+plan("mev_prop_line", lambda t: arrival.payment_arrival_line(t, SETTINGS), "slope", "intercept", "r2")
+plan(
+    "mev_median_hist",
+    lambda t: arrival.payment_median_histogram(t, SETTINGS).drop("density"),
+    "lo",
+    "hi",
+)
+plan("mev_median_density", lambda t: arrival.payment_median_density(t, SETTINGS), "x", "density")
+plan(
+    "last_arrival_density",
+    lambda t: arrival.last_arrival_density(t, SETTINGS),
+    "lo",
+    "hi",
+    "density",
+)
 plan(
     "last_arrival_box",
     lambda t: arrival.last_arrival_box(t, SETTINGS),
@@ -309,6 +326,12 @@ def work_list(spark: SparkSession, d: str) -> DataFrame:
     return worklists.work_list(view(spark, d, "tx"), "hash", F.col("type") == 3)
 
 
+@query
+def work_list_since(spark: SparkSession, d: str) -> DataFrame:
+    recent = (F.col("type") == 3) & (F.col("epoch_start") >= F.lit(WORK_SINCE).cast("timestamp"))
+    return worklists.work_list(view(spark, d, "tx"), "hash", recent)
+
+
 @query
 def work_list_remaining(spark: SparkSession, d: str) -> DataFrame:
     known = view(spark, d, "block_details").select(F.col("hash").alias("block_hash"))
@@ -541,6 +564,31 @@ def relay_union_dedup(spark: SparkSession, d: str) -> DataFrame:
     return cut_columns(bids.select("block_hash", "relay", "value"), "value")
 
 
+_PAGE_SCHEMA = T.StructType(
+    [
+        T.StructField("slot", T.LongType()),
+        T.StructField("block_hash", T.LongType()),
+        T.StructField("value", T.DoubleType()),
+    ]
+)
+
+
+@query
+def land_relay_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a hundred slots, numbers as text, written per relay and read back as one union."""
+    path = run_dir(spark, "pages")
+    bid = F.struct(*[F.col(f.name).cast("string").alias(f.name) for f in _PAGE_SCHEMA.fields])
+    pages = (
+        view(spark, d, "relay_bids")
+        .groupBy("relay", F.floor(F.col("slot") / 100).alias("page"))
+        .agg(F.to_json(F.collect_list(bid)).alias("value"))
+    )
+    pages.drop("page").write.partitionBy("relay").text(path)
+    bids = relays.read_relay_pages(spark, path, _PAGE_SCHEMA, page_per_line=True)
+    kept = relays.first_reports(bids, RELAYS)
+    return cut_columns(kept.select("block_hash", "relay", "value"), "value")
+
+
 _BID_SCHEMA = T.StructType(
     [T.StructField("block_hash", T.LongType()), T.StructField("value", T.DoubleType())]
 )

@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 from blockscope.functions import scalars
 from blockscope.operators import joins
 from blockscope.operators.quantiles import grouped_median, grouped_quantiles, trim_quantile
-from blockscope.operators.shaping import at_most, time_range
-from blockscope.operators.summaries import binned_median, box_stats, histogram, regression_line
+from blockscope.operators.shaping import at_most, stack_series, time_range
+from blockscope.operators.summaries import (
+    binned_median,
+    box_stats,
+    histogram,
+    histogram_by,
+    kde_grid,
+    regression_line,
+)
 from blockscope.plans.blobs import blobs_per, non_mev_blocks, transactions_by_blobs
 from blockscope.plans.tables import ChainTables, Settings
 from blockscope.session import settled
@@ -58,13 +65,36 @@ def _block_side(t: ChainTables, s: Settings, impl: str | None = None, by_impl: b
     return arrived.withColumnRenamed("block", "block_root").drop("impl")
 
 
+def _pairs(t: ChainTables, s: Settings) -> DataFrame:
+    """(block, client) of one implementation where both the block and blobs arrived."""
+    blobs = client_arrival(t.sidecars, ["block_root", "client"], s.arrival_ms, s.impl)
+    return blobs.join(_block_side(t, s, s.impl), ["block_root", "client"])
+
+
+def arrival_series(t: ChainTables, s: Settings = Settings()) -> DataFrame:
+    """``arrival_by_blobs`` for all, MEV and non-MEV blocks under one label column, told apart once."""
+    other = non_mev_blocks(t).select(F.col("hash").alias("block_hash"), F.lit(False).alias("mev"))
+    hashed = joins.left_join_fill(_pairs(t, s), t.block_roots, ["block_root"])
+    marked = settled(
+        joins.left_join_fill(hashed, other, ["block_hash"], fill={"mev": True}, null_keys=True).select(
+            F.col("num_of_blobs").alias("num_blobs"), _last_part().alias("seconds"), "mev"
+        )
+    )
+    kept = {"All": marked, "MEV": marked.where("mev"), "Non-MEV": marked.where(~F.col("mev"))}
+    return stack_series(
+        {
+            name: rows.groupBy("num_blobs").agg(F.avg("seconds").alias("propagation_sec"))
+            for name, rows in kept.items()
+        }
+    )
+
+
 def arrival_by_blobs(t: ChainTables, s: Settings = Settings(), mev: bool | None = None) -> DataFrame:
     """Mean seconds until block and blobs are there, per number of blobs, for one implementation.
 
     A block without a known hash cannot be told non-MEV, so it stays in under ``mev=True``.
     """
-    blobs = client_arrival(t.sidecars, ["block_root", "client"], s.arrival_ms, s.impl)
-    pairs = blobs.join(_block_side(t, s, s.impl), ["block_root", "client"])
+    pairs = _pairs(t, s)
     if mev is not None:
         other = non_mev_blocks(t).withColumnRenamed("hash", "block_hash")
         hashed = joins.left_join_fill(pairs, t.block_roots, ["block_root"])
@@ -186,7 +216,18 @@ def last_arrival_box(t: ChainTables, s: Settings = Settings()) -> DataFrame:
     return box_stats(last_arrivals(t, s), "num_blobs", "seconds")
 
 
-def last_arrival_density(t: ChainTables, num_blobs: int, s: Settings = Settings(), bins: int = 1000) -> DataFrame:
-    """Density histogram of ``last_arrivals`` for one number of blobs."""
-    rows = last_arrivals(t, s).where(F.col("num_blobs") == num_blobs)
-    return histogram(settled(rows.select("seconds")), "seconds", bins)
+def last_arrival_density(t: ChainTables, s: Settings = Settings(), bins: int = 1000) -> DataFrame:
+    """Density histogram of ``last_arrivals`` per number of blobs."""
+    return histogram_by(settled(last_arrivals(t, s)), "num_blobs", "seconds", bins)
+
+
+def payment_median_histogram(t: ChainTables, s: Settings = Settings(), bins: int = 50) -> DataFrame:
+    """Histogram of the median payment per arrival time."""
+    medians = grouped_median(payment_by_arrival(t, s), ["propagation_sec"], "value", "median_value")
+    return histogram(settled(medians.select("median_value")), "median_value", bins)
+
+
+def payment_median_density(t: ChainTables, s: Settings = Settings()) -> DataFrame:
+    """The smooth curve over ``payment_median_histogram``."""
+    medians = grouped_median(payment_by_arrival(t, s), ["propagation_sec"], "value", "median_value")
+    return kde_grid(medians, "median_value")

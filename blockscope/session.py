@@ -29,13 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``.  Only a local session, whose
     driver and executors are one machine, gets a fresh folder of its own.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    made = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="blockscope-")
-    return made.removeprefix("file:").rstrip("/")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="blockscope-"))
+    return context.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -25,13 +25,16 @@ RELAY_ORDER = (
 )
 
 
-def read_relay_pages(spark: SparkSession, root: str, schema: T.StructType = PAYLOADS) -> DataFrame:
+def read_relay_pages(
+    spark: SparkSession, root: str, schema: T.StructType = PAYLOADS, page_per_line: bool = False
+) -> DataFrame:
     """All landed pages below ``root/relay=<name>/``, each a JSON array of flat objects.
 
-    Numbers arrive as digit text.  Empty pages and relays without pages add no rows.
+    A file holds one page, or with ``page_per_line`` a page per line, which Spark can
+    split.  Numbers arrive as digit text.  Empty pages and relays without pages add no rows.
     """
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    pages = spark.read.schema(texts).option("multiLine", True).json(root)
+    pages = spark.read.schema(texts).option("multiLine", not page_per_line).json(root)
     typed = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
     return pages.select("relay", *typed)
 

@@ -74,6 +74,11 @@ SHARED: dict[str, str] = {
   from (select slot, sum(blob_gas/131072) as num_blobs from tx where type=3 group by 1) b
   left join (select slot, country, count(*) as n from reorg where impl='lighthouse' group by 1, 2) r
   on b.slot = r.slot""",
+    "mev_medians": "select sec, median(value) as m from mev_prop group by 1",
+    "arrival_spans": """select num_blobs, a as lo, (b - a)/1000 as w, total from (select num_blobs,
+  case when min(sec) = max(sec) then min(sec) - 0.5 else min(sec) end as a,
+  case when min(sec) = max(sec) then max(sec) + 0.5 else max(sec) end as b, count(sec) as total
+  from arrivals group by 1)""",
     "user_medians": "select user_id, median(value) as m from events group by 1",
     "expected": """select *, 'k' || o_orderkey as key, floor(o_totalprice) as price,
   cast(o_orderkey as hugeint) * 18446744073709551616 as wide, o_orderpriority = '5-LOW' as low from orders
@@ -151,6 +156,15 @@ def binned(source: str, x: str, y: str, n: int) -> str:
     where bin >= 0 and bin < {n} group by 1) m on m.bin = b.bin"""
 
 
+def density(source: str) -> str:
+    return f"""select point, {cut('x', 'x')}, {cut('s*((hi-lo)/50)/(h*sqrt(2*pi()))', 'density')} from (
+  select point, x, sum(exp(-0.5*power((x-m)/h, 2))) as s, any_value(h) as h, any_value(lo) as lo, any_value(hi) as hi
+  from (select cast(range as int) as point, s.lo + range*(s.hi-s.lo)/199 as x, s.h, s.lo, s.hi, u.m
+    from range(200) cross join (select min(m) as lo, max(m) as hi,
+      stddev_samp(m)*power(count(m), -0.2) as h from {source}) s cross join {source} u)
+  group by 1, 2)"""
+
+
 def _queries() -> dict[str, str]:
     q: dict[str, str] = {}
     # blobs, gas, size
@@ -202,6 +216,10 @@ def _queries() -> dict[str, str]:
     q["prop_by_blobs_nonmev"] = f"""select k as num_blobs, {sec} from pairs_l p
   left join block_root r on p.block_root = r.block_root
   where r.block_hash in (select hash from non_mev) group by 1"""
+    q["prop_by_blobs_series"] = " union all ".join(
+        f"select '{label}' as series, * from ({q[key]})"
+        for label, key in (("All", "prop_by_blobs"), ("MEV", "prop_by_blobs_mev"), ("Non-MEV", "prop_by_blobs_nonmev"))
+    )
     q["prop_full"] = f"""select coalesce(case when bb.client is null then 0 else bb.k end, 0) as num_blobs,
   {cut('avg(greatest(coalesce(bb.bt, 0), bk.kt))', 'propagation_sec')}
   from blob_seen bb full outer join block_seen bk on bb.client = bk.client and bb.block_root = bk.block
@@ -224,6 +242,21 @@ def _queries() -> dict[str, str]:
   join mev v on v.slot = t.block_root"""
     q["mev_vs_prop"] = f"select {cut('sec', 'propagation_sec')}, {cut('value', 'value')} from mev_prop"
     q["mev_prop_bins"] = binned("mev_prop", "sec", "value", 100)
+    q["mev_prop_line"] = f"""select {cut('regr_slope(value, sec)', 'slope')},
+  {cut('regr_intercept(value, sec)', 'intercept')}, {cut('regr_r2(value, sec)', 'r2')},
+  cast(regr_count(value, sec) as bigint) as n from mev_prop"""
+    q["mev_median_hist"] = hist("mev_medians", "m", 50, f"bin, {cut('lo', 'lo')}, {cut('hi', 'hi')}, n")
+    q["mev_median_density"] = density("mev_medians")
+    q["last_arrival_density"] = f"""select f.num_blobs, b.bin, {cut('f.lo + b.bin*f.w', 'lo')},
+  {cut('f.lo + (b.bin+1)*f.w', 'hi')}, coalesce(c.n, 0) as n,
+  {cut('coalesce(c.n, 0)/(f.total*f.w)', 'density')}
+  from arrival_spans f cross join (select cast(range as int) as bin from range(1000)) b
+  left join (select num_blobs, bin, count(*) as n from (
+    select num_blobs, cast(greatest(least(case when sec < lo + f*w then f-1 when sec >= lo + (f+1)*w then f+1
+        else f end, 999), 0) as int) as bin
+    from (select a.num_blobs, a.sec, s.lo, s.w, floor((a.sec - s.lo)/s.w) as f
+      from arrivals a join arrival_spans s on a.num_blobs = s.num_blobs)) group by 1, 2) c
+  on c.num_blobs = f.num_blobs and c.bin = b.bin"""
     q["last_arrival_summary"] = f"""select num_blobs, {cut('avg(sec)', 'mean')}, {cut('median(sec)', 'median')},
   count(sec) as n from arrivals group by 1"""
     q["last_arrival_box"] = box("arrivals", "num_blobs", "sec", "num_blobs")
@@ -283,12 +316,7 @@ def _queries() -> dict[str, str]:
   select event_type, q1-(q3-q1)*1.5 as a, q3+(q3-q1)*1.5 as b from (
   select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events group by 1))
   using (event_type) where value < a or value > b"""
-    q["kde_grid"] = f"""select point, {cut('x', 'x')}, {cut('s*((hi-lo)/50)/(h*sqrt(2*pi()))', 'density')} from (
-  select point, x, sum(exp(-0.5*power((x-m)/h, 2))) as s, any_value(h) as h, any_value(lo) as lo, any_value(hi) as hi
-  from (select cast(range as int) as point, s.lo + range*(s.hi-s.lo)/199 as x, s.h, s.lo, s.hi, u.m
-    from range(200) cross join (select min(m) as lo, max(m) as hi,
-      stddev_samp(m)*power(count(m), -0.2) as h from user_medians) s cross join user_medians u)
-  group by 1, 2)"""
+    q["kde_grid"] = density("user_medians")
     q["hex_to_int"] = """select o_orderkey as key, case o_orderpriority when '4-NOT SPECIFIED' then null
   when '5-LOW' then cast(cast(o_orderkey as hugeint) * 18446744073709551616 as varchar)
   else cast(o_orderkey as varchar) end as value from orders"""
@@ -296,6 +324,7 @@ def _queries() -> dict[str, str]:
     q["bytes_to_text"] = "select o_orderkey as key, o_orderpriority as value from orders"
     # work lists
     q["work_list"] = "select distinct hash from tx where type=3"
+    q["work_list_since"] = "select distinct hash from tx where type=3 and epoch_start >= timestamp '2000-01-01'"
     q["work_list_remaining"] = """select distinct hash from tx where type=3 and hash not in (
   select hash from tx_details where block_hash in (select hash from block_details))"""
     q["low_water_mark"] = "select min(slot)-1 as slot from mev"
@@ -346,6 +375,7 @@ def _queries() -> dict[str, str]:
     # relays and layouts
     q["relay_union_dedup"] = f"""select block_hash, relay, {cut('value', 'value')} from (
   select *, row_number() over (partition by block_hash order by relay) as rn from relay_bids) where rn = 1"""
+    q["land_relay_pages"] = q["relay_union_dedup"]
     q["typed_append"] = f"select block_hash, {cut('value', 'value')} from relay_bids"
     q["sorted_layout"] = f"select hash, {cut('gas_used', 'gas_used')}, extra_data from block_details"
     q["alternate_layout"] = f"""select block_root, client, impl, {cut('diff_ms', 'diff_ms')} from sidecar

@@ -144,6 +144,16 @@ def test_block_without_hash_stays_under_mev_and_leaves_non_mev(seen, spark):
     assert rows(arrival.arrival_by_blobs(t, SETTINGS, mev=False)) == [(1, 5.0), (2, 3.0)]
 
 
+def test_arrival_series_tells_blocks_apart_once(seen, spark):
+    """Both known tags are delivered, and the block without a hash counts as MEV."""
+    assert rows(arrival.arrival_series(seen, SETTINGS)) == [
+        (1, 4.5, "All"),
+        (1, 4.5, "MEV"),
+        (2, 3.0, "All"),
+        (2, 3.0, "MEV"),
+    ]
+
+
 def test_all_blocks_count_blockless_blobs_out_and_blobless_blocks_as_zero(seen):
     assert rows(arrival.arrival_by_blobs_all_blocks(seen, SETTINGS)) == [
         (0, 7.0),
@@ -179,7 +189,21 @@ def test_last_arrivals(seen):
     got = {r.num_blobs: (r.mean, r.median, r.n) for r in arrival.last_arrival_summary(seen, SETTINGS).collect()}
     assert got[0] == (7.0, 7.0, 1) and got[2] == (3.0, 3.0, 1)
     assert got[1] == (pytest.approx(9.5 / 3), 4.0, 3)
-    assert arrival.last_arrival_density(seen, 1, SETTINGS, bins=10).agg(F.sum("n")).collect()[0][0] == 3
+    density = arrival.last_arrival_density(seen, SETTINGS, bins=10)
+    assert rows(density.groupBy("num_blobs").agg(F.sum("n"), F.count("n"))) == [(0, 1, 10), (1, 3, 10), (2, 1, 10)]
+
+
+def test_median_payments_as_histogram_and_curve(spark):
+    lh = "lighthouse"
+    t = chain(
+        spark,
+        sidecars=[(f"r{i}", i, "c1", lh, 0, 100 * i, AFTER) for i in range(1, 6)],
+        block_roots=[(f"r{i}", f"h{i}") for i in range(1, 6)],
+        payloads=[(i, f"h{i}", float(i * i)) for i in range(1, 6)],
+    )
+    hist = arrival.payment_median_histogram(t, SETTINGS, bins=3).orderBy("bin").collect()
+    assert [r.n for r in hist] == [2, 1, 1]
+    assert arrival.payment_median_density(t, SETTINGS).count() == 200
 
 
 def test_tip_of_unknown_block_pays_no_base_fee(spark):

@@ -30,6 +30,20 @@ def test_histogram_of_one_value(spark):
     assert got["lo"].tolist() == pytest.approx(edges[:-1].tolist())
 
 
+def test_histogram_by_facet_is_numpys_per_facet(spark):
+    rng = np.random.default_rng(11)
+    facets = {1: rng.normal(5, 2, 800).round(1), 2: np.array([3.0, 3.0]), 3: np.arange(21.0)}
+    rows = [(k, float(v)) for k, vs in facets.items() for v in vs] + [(None, 1.0), (1, None)]
+    got = summaries.histogram_by(spark.createDataFrame(rows, "k int, v double"), "k", "v", 10).toPandas()
+    for k, vs in facets.items():
+        mine = got[got.k == k].sort_values("bin")
+        counts, edges = np.histogram(vs, bins=10)
+        assert mine["n"].tolist() == counts.tolist()
+        assert mine["lo"].to_numpy() == pytest.approx(edges[:-1])
+        assert mine["density"].to_numpy() == pytest.approx(np.histogram(vs, bins=10, density=True)[0])
+    assert len(got) == 30
+
+
 def test_histogram_edges_close_the_last_bin_and_drop_outside(spark):
     df = spark.createDataFrame(
         [("a", float(v)) for v in (0.5, 1, 1.5, 2, 5, 6, 6.5)] + [("b", 9.0), ("b", None)], "f string, v double"
