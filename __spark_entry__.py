@@ -85,6 +85,12 @@ plan(
     "empty_ratio_by_sender", lambda t: blobs.empty_ratio_by_blobs(t, senders=t.address_labels)
 )
 
+BOX = ("q1", "median", "q3", "whisker_lo", "whisker_hi")
+plan("box_stats", blobs.gas_box, *BOX)
+plan("gas_nonmev_box", lambda t: blobs.gas_box(t, mev=False), *BOX)
+plan("gas_mev_box", lambda t: blobs.gas_box(t, mev=True), *BOX)
+plan("size_box", blobs.size_box, *BOX)
+
 # --- positions -------------------------------------------------------------------------------
 plan("blob_position", positions.blob_position)
 plan("blob_position_hist", positions.blob_position_histogram, "lo", "hi", "density")
@@ -145,11 +151,7 @@ plan(
 plan(
     "last_arrival_box",
     lambda t: arrival.last_arrival_box(t, SETTINGS),
-    "q1",
-    "median",
-    "q3",
-    "whisker_lo",
-    "whisker_hi",
+    *BOX,
 )
 
 # --- tips and payments -----------------------------------------------------------------------
@@ -158,6 +160,11 @@ _REGISTRY["miner_tip"] = lambda spark, d: payments.miner_tip(chain_tables(spark,
 )
 _REGISTRY["mev_by_blobs"] = lambda spark, d: payments.payment_by_blobs(chain_tables(spark, d))
 
+plan("miner_tip_box", payments.tip_box, *BOX)
+_REGISTRY["mev_box"] = lambda spark, d: cut_columns(
+    payments.payment_box(chain_tables(spark, d)), *BOX, places=18
+)
+
 # --- senders ---------------------------------------------------------------------------------
 plan("posting_gap", lambda t: senders.posting_gap(t, t.address_labels))
 plan("sender_blob_txns", lambda t: senders.sender_blobs(t, t.address_labels))
@@ -171,15 +178,7 @@ plan("reorg_mean_country", lambda t: reorgs.reorgs_mean_country(t, SETTINGS), "n
 plan("reorg_by_country", lambda t: reorgs.reorgs_by_country(t, SETTINGS))
 plan("reorg_vs_blobs", lambda t: reorgs.reorgs_vs_blobs(t, SETTINGS))
 plan("line_series", lambda t: reorgs.reorg_line(t, SETTINGS), "mean")
-plan(
-    "reorg_box",
-    lambda t: reorgs.reorg_box(t, SETTINGS),
-    "q1",
-    "median",
-    "q3",
-    "whisker_lo",
-    "whisker_hi",
-)
+plan("reorg_box", lambda t: reorgs.reorg_box(t, SETTINGS), *BOX)
 
 
 # --- generic operators -----------------------------------------------------------------------
@@ -237,6 +236,31 @@ def left_join_fill(spark: SparkSession, d: str) -> DataFrame:
     return cut_columns(joined.select("block_root", "gas_used"), "gas_used")
 
 
+@query
+def full_join_fill(spark: SparkSession, d: str) -> DataFrame:
+    t = chain_tables(spark, d)
+    keys = ["block_root", "client"]
+    blobs_seen = arrival.client_arrival(t.sidecars, keys, SETTINGS.arrival_ms)
+    blocks_seen = arrival.block_arrival(
+        t.block_events, ["block", "client"], SETTINGS.fork, SETTINGS.arrival_ms
+    ).withColumnRenamed("block", "block_root")
+    joined = joins.full_join_fill(
+        blobs_seen,
+        blocks_seen,
+        keys,
+        left_fill={"blob_prop_time": 0.0, "num_of_blobs": 0},
+        right_fill={"block_prop_time": 0.0},
+    )
+    return cut_columns(joined.drop("in_left", "in_right"), "blob_prop_time", "block_prop_time")
+
+
+@query
+def gap_to_previous(spark: SparkSession, d: str) -> DataFrame:
+    t = chain_tables(spark, d)
+    posts = senders.sender_blobs(t, t.address_labels).select("address", "slot")
+    return windows.gap_to_previous(posts, ["address"], "slot", "slot_increment")
+
+
 @query
 def binned_median(spark: SparkSession, d: str) -> DataFrame:
     pairs = driver_table(spark, d, "events").select(
@@ -265,15 +289,6 @@ def histogram_density(spark: SparkSession, d: str) -> DataFrame:
     return cut_columns(cut_columns(h.drop("n"), "lo", "hi"), "density", places=8)
 
 
-@query
-def box_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = blobs.gas_rows(chain_tables(spark, d))
-    return cut_columns(
-        summaries.box_stats(rows, "num_blobs", "gas_used"),
-        "q1", "median", "q3", "whisker_lo", "whisker_hi",
-    )
-
-
 @query
 def box_outliers(spark: SparkSession, d: str) -> DataFrame:
     rows = driver_table(spark, d, "events").select("event_id", "event_type", "value")

@@ -129,6 +129,29 @@ def left_join_fill(
     return joined.drop(_SALT, _FOUND)
 
 
+def full_join_fill(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    left_fill: Mapping[str, object] | None = None,
+    right_fill: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """Full outer join where a side that has no match gets its defaults instead of NULL.
+
+    ``in_left`` and ``in_right`` tell which sides a row came from.
+    """
+    marked = {"in_left": left.withColumn("in_left", F.lit(True)),
+              "in_right": right.withColumn("in_right", F.lit(True))}
+    joined = marked["in_left"].join(marked["in_right"], list(on), "full")
+    for mark, fill in (("in_left", left_fill), ("in_right", right_fill)):
+        joined = joined.withColumn(mark, F.coalesce(mark, F.lit(False)))
+        for name, default in (fill or {}).items():
+            joined = joined.withColumn(
+                name, F.when(F.col(mark), F.col(name)).otherwise(F.lit(default))
+            )
+    return joined
+
+
 def member_tags(items: DataFrame, members: DataFrame, key: str, tag: str) -> DataFrame:
     """Tags that occur on at least one item whose key is in ``members``."""
     keys = members.select(key).distinct()

@@ -9,6 +9,7 @@ from blockscope.functions import scalars
 from blockscope.operators import joins
 from blockscope.operators.quantiles import grouped_quantiles, trim_quantile
 from blockscope.operators.shaping import stack_series
+from blockscope.operators.summaries import box_stats
 from blockscope.plans.tables import ChainTables, Settings
 from blockscope.session import settled
 
@@ -80,6 +81,15 @@ def gas_summary(
     raise ValueError(f"unknown statistic {statistic}")
 
 
+def gas_box(t: ChainTables, s: Settings = Settings(), mev: bool | None = None) -> DataFrame:
+    """Box summary of gas used per number of blobs."""
+    return box_stats(gas_rows(t, s, mev), "num_blobs", "gas_used")
+
+
+def size_box(t: ChainTables, s: Settings = Settings(), q: float = 0.99) -> DataFrame:
+    return box_stats(size_by_blobs(t, s, q), "num_blobs", "size")
+
+
 def gas_series(t: ChainTables, s: Settings = Settings()) -> DataFrame:
     """The three gas series under one label column: mean, mean, median.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockscope.functions import scalars
 from blockscope.operators import joins
 from blockscope.operators.quantiles import trim_quantile
+from blockscope.operators.summaries import box_stats
 from blockscope.plans.blobs import blobs_per
 from blockscope.plans.tables import ChainTables, Settings
 
@@ -29,6 +30,10 @@ def miner_tip(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> Data
     return trim_quantile(rows.select("num_blobs", "miner_tip"), "miner_tip", q)
 
 
+def tip_box(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> DataFrame:
+    return box_stats(miner_tip(t, s, q), "num_blobs", "miner_tip")
+
+
 def payment_by_blobs(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> DataFrame:
     """(num_blobs, mev_extracted): builder payment in ETH per delivered block, the largest trimmed."""
     blocks = blobs_per(t, "block_root", s).join(t.block_roots, "block_root")
@@ -37,3 +42,7 @@ def payment_by_blobs(t: ChainTables, s: Settings = Settings(), q: float = 0.95)
     return trim_quantile(rows.select("num_blobs", "value"), "value", q).select(
         "num_blobs", scalars.wei_to_eth(F.col("value")).alias("mev_extracted")
     )
+
+
+def payment_box(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> DataFrame:
+    return box_stats(payment_by_blobs(t, s, q), "num_blobs", "mev_extracted")

@@ -61,57 +61,75 @@ BLOCK_ROOTS = _struct(
 
 @dataclass(frozen=True)
 class TableSpec:
-    """Stored name, sort key, and stored column per short column name."""
+    """Stored name, and stored column per short column name."""
 
     stored: str
-    sort_key: tuple[str, ...]
     columns: dict[str, str]
 
 
+@dataclass(frozen=True)
+class Declared:
+    """Schema and sort key of a table this library lands."""
+
+    schema: T.StructType
+    sort_key: tuple[str, ...]
+
+
+# The landed tables with their sort keys.
+DECLARED: dict[str, Declared] = {
+    "relay_proposer_payload_delivered": Declared(RELAY_PAYLOADS, ("slot", "block_hash")),
+    "canonical_beacon_transaction_receipts_blob_sidecars": Declared(
+        RECEIPTS, ("blockHash", "transactionHash")
+    ),
+    "canonical_block_details": Declared(BLOCK_DETAILS, ("number", "hash")),
+    "canonical_transaction_details": Declared(TRANSACTION_DETAILS, ("blockHash", "hash")),
+    "mev_block_details": Declared(PAYLOADS, ("slot", "block_hash")),
+    "canonical_block_root": Declared(BLOCK_ROOTS, ("block_root",)),
+}
+
 # Stored table and column names behind each short name.
 TABLES: dict[str, TableSpec] = {
     "transactions": TableSpec(
         "canonical_beacon_block_execution_transaction",
-        ("slot", "position"),
         {"slot": "slot", "block_root": "block_root", "hash": "hash", "to_addr": "to", "type": "type",
          "position": "position", "blob_gas": "blob_gas", "size": "size",
          "full_size": "blob_sidecars_size", "empty_size": "blob_sidecars_empty_size",
          "epoch_start": "epoch_start_date_time"},
     ),
     "block_roots": TableSpec(
-        "canonical_block_root", ("block_root",),
+        "canonical_block_root",
         {"block_root": "block_root", "block_hash": "block_hash"},
     ),
     "block_details": TableSpec(
-        "canonical_block_details", ("number", "hash"),
+        "canonical_block_details",
         {"hash": "hash", "gas_used": "gasUsed", "extra_data": "extraData", "size": "size",
          "base_fee": "baseFeePerGas"},
     ),
     "tx_details": TableSpec(
-        "canonical_transaction_details", ("blockHash", "hash"),
+        "canonical_transaction_details",
         {"hash": "hash", "block_hash": "blockHash", "max_fee": "maxFeePerGas",
          "max_priority_fee": "maxPriorityFeePerGas"},
     ),
     "payloads": TableSpec(
-        "mev_block_details", ("slot", "block_hash"),
+        "mev_block_details",
         {"slot": "slot", "block_hash": "block_hash", "value": "value"},
     ),
     "sidecars": TableSpec(
-        "beacon_api_eth_v1_events_blob_sidecar", ("slot_start_date_time",),
+        "beacon_api_eth_v1_events_blob_sidecar",
         {"block_root": "block_root", "slot": "slot", "client": "meta_client_id",
          "impl": "meta_consensus_implementation", "blob_index": "blob_index",
          "diff_ms": "propagation_slot_start_diff", "slot_start": "slot_start_date_time"},
     ),
     "block_events": TableSpec(
-        "beacon_api_eth_v1_events_block", ("slot_start_date_time",),
+        "beacon_api_eth_v1_events_block",
         {"block": "block", "slot": "slot", "client": "meta_client_id",
          "impl": "meta_consensus_implementation", "diff_ms": "propagation_slot_start_diff",
          "slot_start": "slot_start_date_time"},
     ),
     "reorgs": TableSpec(
-        "beacon_api_eth_v1_events_chain_reorg", ("slot_start_date_time",),
+        "beacon_api_eth_v1_events_chain_reorg",
         {"slot": "slot", "slot_start": "slot_start_date_time",
          "impl": "meta_consensus_implementation", "country": "meta_client_geo_country_code"},
     ),
-    "address_labels": TableSpec("labels", ("address",), {"address": "address", "label": "label"}),
+    "address_labels": TableSpec("labels", {"address": "address", "label": "label"}),
 }

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockscope.schemas import DECLARED
+
 
 def as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of ``schema`` in its order and types; a value that does not fit is an error."""
@@ -27,6 +29,12 @@ def sorted_layout(df: DataFrame, path: str, key: Sequence[str], spread: Sequence
     df.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
 
 
+def write_table(df: DataFrame, root: str, name: str) -> None:
+    """A landed table in its declared schema, sorted by its declared key."""
+    table = DECLARED[name]
+    sorted_layout(as_schema(df, table.schema), f"{root}/{name}", table.sort_key)
+
+
 def alternate_layout(
     df: DataFrame, path: str, category: str, order: Sequence[str], spread: Sequence[str] = ()
 ) -> None:

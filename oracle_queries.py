@@ -123,9 +123,13 @@ def _span(source: str, value: str, n: int) -> str:
       count({value}) as total from {source})"""
 
 
-def box(source: str, by: str, value: str, key: str) -> str:
-    return f"""select {key}, {cut('q1', 'q1')}, {cut('md', 'median')}, {cut('q3', 'q3')},
-  {cut('least(wl, q1)', 'whisker_lo')}, {cut('greatest(wh, q3)', 'whisker_hi')}, n_out from (
+def box(source: str, by: str, value: str, key: str, places: int = 4) -> str:
+    shown = ", ".join(
+        cut(text, name, places)
+        for text, name in (("q1", "q1"), ("md", "median"), ("q3", "q3"),
+                           ("least(wl, q1)", "whisker_lo"), ("greatest(wh, q3)", "whisker_hi"))
+    )
+    return f"""select {key}, {shown}, n_out from (
   select {key}, q1, md, q3,
     min(case when y between q1-(q3-q1)*1.5 and q3+(q3-q1)*1.5 then y end) as wl,
     max(case when y between q1-(q3-q1)*1.5 and q3+(q3-q1)*1.5 then y end) as wh,
@@ -200,6 +204,13 @@ def _queries() -> dict[str, str]:
   from tx where type=3 group by 1, 2"""
     q["empty_ratio_by_sender"] = f"""select label, block_root, {ratio}, sum(blob_gas/131072) as num_blobs
   from sent group by 1, 2, 3"""
+    q["box_stats"] = box("gas", "num_blobs", "gas_used", "num_blobs")
+    q["gas_nonmev_box"] = box(f"(select * from gas {only})", "num_blobs", "gas_used", "num_blobs")
+    q["gas_mev_box"] = box(f"(select * from gas {but})", "num_blobs", "gas_used", "num_blobs")
+    q["size_box"] = box(
+        "(select * from size_rows where size <= (select quantile_cont(size, 0.99) from size_rows))",
+        "num_blobs", "size", "num_blobs",
+    )
     # positions
     shown = f"bin, {cut('lo', 'lo')}, {cut('hi', 'hi')}, n, {cut('density', 'density')}"
     q["blob_position"] = "select block_root, position from tx where type=3"
@@ -265,6 +276,14 @@ def _queries() -> dict[str, str]:
   where miner_tip <= (select quantile_cont(cast(miner_tip as double), 0.95) from tips)"""
     q["mev_by_blobs"] = """select num_blobs, value/1e18 as mev_extracted from paid
   where value <= (select quantile_cont(value, 0.95) from paid)"""
+    q["miner_tip_box"] = box(
+        "(select * from tips where miner_tip <= (select quantile_cont(cast(miner_tip as double), 0.95) from tips))",
+        "num_blobs", "miner_tip", "num_blobs",
+    )
+    q["mev_box"] = box(
+        "(select num_blobs, value/1e18 as v from paid where value <= (select quantile_cont(value, 0.95) from paid))",
+        "num_blobs", "v", "num_blobs", 18,
+    )
     # senders
     q["posting_gap"] = "select label, address, slot, num_blobs, slot_increment from gaps"
     q["sender_blob_txns"] = "select label, address, slot, num_blobs, num_blob_txns from posts"
@@ -301,6 +320,12 @@ def _queries() -> dict[str, str]:
   where full_size <> 0 and not (type = 2 and empty_size > 0.05)"""
     q["left_join_fill"] = f"""select r.block_root, {cut('coalesce(d.gas_used, 0)', 'gas_used')}
   from block_root r left join block_details d on d.hash = r.block_hash"""
+    q["full_join_fill"] = f"""select coalesce(bb.block_root, bk.block) as block_root,
+  coalesce(bb.client, bk.client) as client, {cut('coalesce(bb.bt, 0)', 'blob_prop_time')},
+  coalesce(bb.k, 0) as num_of_blobs, {cut('coalesce(bk.kt, 0)', 'block_prop_time')}
+  from blob_seen bb full outer join block_seen bk on bb.client = bk.client and bb.block_root = bk.block"""
+    q["gap_to_previous"] = """select address, slot,
+  slot - lag(slot) over (partition by address order by slot) as slot_increment from posts"""
     q["binned_median"] = binned("events", "value/100", "value", 100)
     q["regression_line"] = f"""select {cut('regr_slope(size, x)', 'slope')},
   {cut('regr_intercept(size, x)', 'intercept')}, {cut('regr_r2(size, x)', 'r2')}, cast(count(*) as bigint) as n
@@ -311,7 +336,6 @@ def _queries() -> dict[str, str]:
     q["histogram_density"] = hist(
         "events", "value", 1000, f"bin, {cut('lo', 'lo')}, {cut('hi', 'hi')}, {cut('density', 'density', 8)}"
     )
-    q["box_stats"] = box("gas", "num_blobs", "gas_used", "num_blobs")
     q["box_outliers"] = f"""select event_id, event_type, {cut('value', 'value')} from events join (
   select event_type, q1-(q3-q1)*1.5 as a, q3+(q3-q1)*1.5 as b from (
   select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events group by 1))

@@ -91,3 +91,14 @@ def test_anti_joins_are_not_null_aware(spark):
     left = spark.range(10).withColumnRenamed("id", "h")
     plan = joins.not_in(left, left.where("h < 3"), ["h"])._jdf.queryExecution().toString()
     assert "LeftAnti" in plan and "NullAware" not in plan
+
+
+def test_full_join_fills_each_missing_side(spark):
+    left = spark.createDataFrame([(1, 10), (2, None)], "k long, l int")
+    right = spark.createDataFrame([(2, "x"), (3, "y")], "k long, r string")
+    got = joins.full_join_fill(left, right, ["k"], left_fill={"l": 0}, right_fill={"r": ""})
+    assert rows(got.select("k", "l", "r", "in_left", "in_right")) == [
+        (1, 10, "", True, False),
+        (2, None, "x", True, True),
+        (3, 0, "y", False, True),
+    ]

@@ -6,7 +6,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockscope.schemas import BLOCK_ROOTS, PAYLOADS, RECEIPTS, TABLES
+from blockscope.plans import blobs
+from blockscope.schemas import BLOCK_ROOTS, DECLARED, PAYLOADS, RECEIPTS, TABLES
 from blockscope.session import run_dir, shared_dir
 from blockscope.sources import days, landing, layouts, relays, tables, worklists
 from blockscope.streaming import dedup, landing as stream_landing
@@ -148,6 +149,20 @@ def test_layouts_are_sorted_and_split_a_hot_category(spark):
     assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
 
 
+def test_landed_tables_are_written_in_their_declared_form(spark):
+    root = run_dir(spark, "declared")
+    for name, table in DECLARED.items():
+        df = spark.range(2).select(
+            *[F.col("id").cast("string").alias(f.name) for f in reversed(table.schema.fields)]
+        )
+        layouts.write_table(df, root, name)
+        back = spark.read.parquet(f"{root}/{name}")
+        assert [(f.name, f.dataType) for f in back.schema.fields] == [
+            (f.name, f.dataType) for f in table.schema.fields
+        ]
+        assert back.count() == 2 and set(table.sort_key) <= set(back.columns)
+
+
 def test_alternate_layout_prunes_by_category(spark):
     path = run_dir(spark, "prune")
     layouts.alternate_layout(spark.range(10).selectExpr("id % 2 as c", "id"), path, "c", ["id"])
@@ -205,6 +220,9 @@ def test_stored_tables_are_read_under_short_names(spark):
             df = df.withColumn("to", F.encode("to", "utf-8"))
         df.write.parquet(f"{root}/{spec.stored}")
     t = tables.read_chain_tables(spark, root)
+    plan = blobs.blobs_per(t, "block_root")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(type), EqualTo(type,3)]" in plan
+    assert "ReadSchema: struct<block_root:string,type:int,blob_gas:bigint>" in plan
     assert t.transactions.columns == list(TABLES["transactions"].columns)
     assert t.transactions.collect()[0].to_addr == "0xAb"
     assert t.block_details.columns == ["hash", "gas_used", "extra_data", "size", "base_fee"]
