@@ -6,27 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-STRIDE = 16
-
-
 def edge_count(value: Column, edges: Column) -> Column:
     """How many of a sorted array of edges are <= value."""
     return F.size(F.filter(edges, lambda edge: edge <= value))
 
 
-def edge_count_long(value: Column, edges: Column, strided: Column) -> Column:
-    """As ``edge_count`` for a long array, with ``strided`` = every STRIDE-th edge.
-
-    Finds the stretch first, then looks inside that stretch only.
-    """
-    before = edge_count(value, strided) * F.lit(STRIDE)
-    return before + edge_count(value, F.slice(edges, before + 1, STRIDE))
-
-
-def strided(edges: Column) -> Column:
-    return F.filter(edges, lambda _, i: (i + 1) % STRIDE == 0)
-
-
 def left_closed_bin(x: Column, lo: Column, width: Column, n: int) -> Column:
     """Bin of ``[lo + b*w, lo + (b+1)*w)``, the last one closed on both sides.
 

@@ -11,17 +11,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockscope.functions.bins import edge_count_long, strided
 from blockscope.session import settled
 
 _V, _N, _RANGE = "__v", "__n", "__range"
 
-# So many distinct values, over all groups, fit into one task's memory many times over.
+# So many rows of a few numbers fit into one task's memory many times over.
 IN_MEMORY = 1_000_000
 RANGES = 256
+MOST_RANGES = 4096
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -34,49 +35,40 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def _cut_points(counts: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
-    """One row: an array of ``ranges - 1`` values that split the counted rows evenly.
+def _ranged(counts: DataFrame, ranges: int) -> DataFrame:
+    """Add the number of the value range a row is in; about equally many rows in each.
 
-    Taken from the rows with the smallest hashes, a fixed number of them.  The choice
-    depends on the data alone, so every task and every re-run sees the same cuts; the
-    cuts only balance the work, all counted rows take part in the result.
+    The cut points, at most ``ranges - 1`` numbers, are approximate quantiles of the
+    counted values.  They only balance the work, all counted rows take part in the result.
     """
-    probe = (
-        counts.where(F.col(_N) > 0)
-        .select(_V, F.xxhash64(*by, _V).alias("__h"))
-        .orderBy("__h", _V)
-        .limit(ranges * 16)
-    )
-    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
-    edges = F.expr(f"percentile({_V}, array({shares}))")
-    return probe.agg(edges.alias("edges")).select(
-        F.struct("edges", strided(F.col("edges")).alias("strided"))
-    )
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = counts.approxQuantile(_V, shares, 0.25 / ranges)
+    edges = sorted({0.0, float("-inf"), float("inf"), *cuts})
+    return Bucketizer(splits=edges, inputCol=_V, outputCol=_RANGE).transform(counts)
 
 
 def quantiles_of_counts(
     counts: DataFrame, by: Sequence[str], wanted: dict[str, float], in_memory: int = IN_MEMORY
 ) -> DataFrame:
     """Exact quantiles of settled ``value_counts``: one row per group, one column per name."""
-    if counts.count() <= in_memory:
+    distinct = counts.count()
+    if distinct <= in_memory:
         return counts.groupBy(*by).agg(
             *[F.percentile(_V, q, F.col(_N)).alias(name) for name, q in wanted.items()]
         )
-    return quantiles_by_range(counts, by, wanted)
+    return quantiles_by_range(counts, by, wanted, max(RANGES, min(MOST_RANGES, distinct // IN_MEMORY)))
 
 
 def quantiles_by_range(
     counts: DataFrame, by: Sequence[str], wanted: dict[str, float], ranges: int = RANGES
 ) -> DataFrame:
-    """As ``quantiles_of_counts`` for any number of distinct values in a group."""
+    """As ``quantiles_of_counts`` for any number of distinct values in a group.
+
+    Three passes over the settled counts: cut points, rows per range, values of the
+    ranges that hold a wanted rank.
+    """
     by = list(by)
-    cuts = _cut_points(counts, by, ranges).scalar()
-    ranged = counts.withColumn("__cuts", cuts).select(
-        *by,
-        _V,
-        _N,
-        edge_count_long(F.col(_V), F.col("__cuts.edges"), F.col("__cuts.strided")).alias(_RANGE),
-    )
+    ranged = _ranged(counts, ranges)
 
     # At most `ranges` rows per group from here to `spots`.
     totals = ranged.groupBy(*by, _RANGE).agg(F.sum(_N).alias("__m"))
@@ -103,13 +95,18 @@ def quantiles_by_range(
         return (p >= F.col(start)) & (p < F.col(stop))
 
     hits = [inside(p(q), "__before", "__after") for q in wanted.values() for p in (low, high)]
-    spots = spots.where(reduce(lambda a, b: a | b, hits))
-
-    spots = spots.select(*[F.col(c).alias(f"__s_{c}") for c in by], F.col(_RANGE).alias("__s_range"),
-                         "__before", "__total")
-    same = ranged[_RANGE] == spots["__s_range"]
+    spots = spots.where(reduce(lambda a, b: a | b, hits)).select(
+        *[F.col(c).alias(f"__s_{c}") for c in by],
+        F.col(_RANGE).alias("__s_range"),
+        "__before",
+        "__total",
+    )
+    spots = settled(spots)
+    if spots.count() <= IN_MEMORY:
+        spots = F.broadcast(spots)  # the size is checked
+    same = ranged[_RANGE] == F.col("__s_range")
     for c in by:
-        same = same & ranged[c].eqNullSafe(spots[f"__s_{c}"])
+        same = same & ranged[c].eqNullSafe(F.col(f"__s_{c}"))
     near = ranged.join(spots, same, "inner").drop("__s_range", *[f"__s_{c}" for c in by])
 
     within = Window.partitionBy(*by, _RANGE).orderBy(_V)

@@ -221,13 +221,20 @@ def last_arrival_density(t: ChainTables, s: Settings = Settings(), bins: int = 1
     return histogram_by(settled(last_arrivals(t, s)), "num_blobs", "seconds", bins)
 
 
+def payment_medians(t: ChainTables, s: Settings = Settings()) -> DataFrame:
+    """Median payment per arrival time.
+
+    Times are means, whose last bits depend on row order; to the nanosecond they do not.
+    """
+    paid = payment_by_arrival(t, s).withColumn("propagation_sec", F.round("propagation_sec", 9))
+    return grouped_median(paid, ["propagation_sec"], "value", "median_value")
+
+
 def payment_median_histogram(t: ChainTables, s: Settings = Settings(), bins: int = 50) -> DataFrame:
     """Histogram of the median payment per arrival time."""
-    medians = grouped_median(payment_by_arrival(t, s), ["propagation_sec"], "value", "median_value")
-    return histogram(settled(medians.select("median_value")), "median_value", bins)
+    return histogram(settled(payment_medians(t, s).select("median_value")), "median_value", bins)
 
 
 def payment_median_density(t: ChainTables, s: Settings = Settings()) -> DataFrame:
     """The smooth curve over ``payment_median_histogram``."""
-    medians = grouped_median(payment_by_arrival(t, s), ["propagation_sec"], "value", "median_value")
-    return kde_grid(medians, "median_value")
+    return kde_grid(payment_medians(t, s), "median_value")

@@ -74,7 +74,7 @@ SHARED: dict[str, str] = {
   from (select slot, sum(blob_gas/131072) as num_blobs from tx where type=3 group by 1) b
   left join (select slot, country, count(*) as n from reorg where impl='lighthouse' group by 1, 2) r
   on b.slot = r.slot""",
-    "mev_medians": "select sec, median(value) as m from mev_prop group by 1",
+    "mev_medians": "select round(sec, 9) as sec, median(value) as m from mev_prop group by 1",
     "arrival_spans": """select num_blobs, a as lo, (b - a)/1000 as w, total from (select num_blobs,
   case when min(sec) = max(sec) then min(sec) - 0.5 else min(sec) end as a,
   case when min(sec) = max(sec) then max(sec) + 0.5 else max(sec) end as b, count(sec) as total
