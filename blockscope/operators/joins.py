@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockscope.session import settled
+
 _SALT = "__salt"
 _HOT = "__hot"
 _FOUND = "__found"
@@ -20,58 +22,53 @@ def _any_null(cols: Sequence[str]) -> Column:
 def hot_keys(
     df: DataFrame,
     on: Sequence[str],
-    spread: Sequence[str],
     share: int = 64,
     min_rows: int = 100_000,
-    one_in: int = 256,
+    rate: float = 1 / 256,
 ) -> DataFrame:
-    """Keys that hold more than 1/share of the rows, by a count over one row in ``one_in``.
+    """Keys that hold more than 1/share of the rows, by a count over a drawn part of them.
 
-    Fewer than ``share`` keys can pass, whatever the size of the data.  Which rows are
-    counted depends on a hash of ``spread``, so every task and re-run finds the same
-    keys.  The keys only decide how work is divided: no result depends on them.
+    Fewer than ``share`` keys can pass, whatever the size of the data.  The keys only
+    decide how work is divided: no result depends on them.  They are settled, so that
+    all that use them see the same.
     """
-    drawn = df.where(~_any_null(on) & (F.pmod(F.xxhash64(*spread), F.lit(one_in)) == 0))
+    present = df.where(~_any_null(on)).select(*on)
+    drawn = present if rate >= 1 else present.sample(rate, seed=1)
     per_key = drawn.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = per_key.agg(F.sum("__n")).scalar()
-    return per_key.where(
-        (F.col("__n") * F.lit(one_in) >= F.lit(min_rows)) & (F.col("__n") * F.lit(share) > total)
-    ).select(*on, F.lit(True).alias(_HOT))
+    return settled(
+        per_key.where(
+            (F.col("__n") / F.lit(rate) >= F.lit(min_rows)) & (F.col("__n") * F.lit(share) > total)
+        ).select(*on, F.lit(True).alias(_HOT))
+    )
 
 
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
-    spread: Sequence[str],
     how: str = "inner",
-    salts: int = 64,
+    one_row_per_key: bool = False,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join a fact side whose keys may be hot with a side that has few rows per key.
 
-    Rows of hot keys (``hot_keys`` unless given) are spread over ``salts`` sub-keys by a hash of ``spread``
-    (columns that tell rows of one key apart), and only those keys are repeated on
-    the right.  The hash depends on the data alone, so a re-run task places each
-    row as before.  Left rows with a NULL key match nothing and are spread as well.
+    Rows of hot keys (``hot_keys`` unless given) never travel: they meet the few right
+    rows of those keys where they are, be they copies of one row or not.  So do left
+    rows with a NULL key, which match nothing.  All other rows are joined as usual.
+    With ``one_row_per_key`` the hot right rows are fewer than the hot keys' bound and
+    are broadcast; otherwise Spark ships them as their size allows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not do {how}")
     # Bounded broadcast: fewer rows than the share that makes a key hot.
-    hot = F.broadcast(hot_keys(left, on, spread) if hot is None else hot)
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    facts = (
-        left.join(hot, list(on), "left")
-        .withColumn(_SALT, F.when(F.col(_HOT) | _any_null(on), salt).otherwise(F.lit(0)))
-        .drop(_HOT)
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    looked_up = (
-        right.join(hot, list(on), "left")
-        .withColumn(_SALT, F.explode(F.when(F.col(_HOT), every).otherwise(F.array(F.lit(0)))))
-        .drop(_HOT)
-    )
-    return facts.join(looked_up, [*on, _SALT], how).drop(_SALT)
+    hot = F.broadcast(hot_keys(left, on) if hot is None else hot)
+    marked = left.join(hot, list(on), "left")
+    stays = F.col(_HOT).isNotNull() | _any_null(on)
+    few = right.join(hot.drop(_HOT), list(on), "left_semi")
+    few = F.broadcast(few) if one_row_per_key else few
+    usual = marked.where(~stays).drop(_HOT).join(right, list(on), how)
+    return usual.unionByName(marked.where(stays).drop(_HOT).join(few, list(on), how))
 
 
 def repeat_join(
@@ -82,9 +79,11 @@ def repeat_join(
     how: str = "inner",
     salts: int = 16,
 ) -> DataFrame:
-    """As ``skew_join`` for a right side far smaller than the left: every right row is repeated.
+    """Join a left side with a far smaller right side, each key shared by ``salts`` tasks.
 
-    Nothing is counted first; each key of the left is shared by ``salts`` tasks.
+    Left rows are spread by a hash of ``spread``, columns that tell the rows of one
+    key apart, and every right row is repeated.  The salts depend on the data alone,
+    so a re-run task places each row as before.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"repeat_join does not do {how}")
@@ -164,7 +163,8 @@ def items_without_tags(items: DataFrame, tags: DataFrame, key: str, tag: str) ->
     A tag may sit on a large share of the items, and there are far fewer tags than items.
     """
     tagged = items.where(F.col(tag).isNotNull()).select(key, tag)
-    return repeat_join(tagged, tags, [tag], spread=[key], how="left_anti").select(key).distinct()
+    untagged = skew_join(tagged, tags.distinct(), [tag], how="left_anti", one_row_per_key=True)
+    return untagged.select(key).distinct()
 
 
 def only_in(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -55,22 +55,20 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 def histogram_by(df: DataFrame, by: str, value: str, bins: int = 50) -> DataFrame:
     """``histogram`` per facet, each over its own range: (by, bin, lo, hi, n, density).
 
-    A facet may hold a large share of the rows: they are spread to meet their
-    facet's range, and only bin counts are shuffled after that.
+    A facet may hold a large share of the rows: its value counts are spread to meet
+    the facet's range, and only bin counts are shuffled after that.
     """
-    values = df.select(by, F.col(value).cast("double").alias(_V)).where(
-        F.col(by).isNotNull() & F.col(_V).isNotNull() & ~F.isnan(_V)
-    )
+    counts = settled(value_counts(df.where(F.col(by).isNotNull()), [by], value))
     flat = F.min(_V) == F.max(_V)
-    spans = values.groupBy(by).agg(
+    spans = counts.groupBy(by).agg(
         F.when(flat, F.min(_V) - 0.5).otherwise(F.min(_V)).alias("__lo"),
         F.when(flat, F.max(_V) + 0.5).otherwise(F.max(_V)).alias("__hi"),
-        F.count(F.lit(1)).alias("__total"),
+        F.sum(_N).alias("__total"),
     ).select(by, "__lo", ((F.col("__hi") - F.col("__lo")) / F.lit(bins)).alias("__width"), "__total")
     facet = [by, "__lo", "__width", "__total"]
-    binned = repeat_join(values, spans, [by], spread=[_V]).groupBy(
+    binned = repeat_join(counts, spans, [by], spread=[_V]).groupBy(
         *facet, left_closed_bin(F.col(_V), F.col("__lo"), F.col("__width"), bins).alias("bin")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(F.sum(_N).alias("n"))
     # At most one entry per bin.
     filled = binned.groupBy(*facet).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("filled")

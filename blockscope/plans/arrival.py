@@ -172,8 +172,8 @@ def slot_arrival_transactions_payments(t: ChainTables, s: Settings = Settings())
     slots = mean_arrival(t, s, key="slot").join(
         transactions_by_blobs(t, s, key="slot").drop("num_blobs"), "slot"
     )
-    paid = t.payloads.select("slot", "block_hash", "value")
-    return joins.skew_join(paid, slots, ["slot"], spread=["block_hash", "value"]).select(
+    paid = t.payloads.select("slot", "value")
+    return joins.skew_join(paid, slots, ["slot"], one_row_per_key=True).select(
         "slot", "num_of_txns", "value", "propagation_sec"
     )
 
@@ -181,8 +181,8 @@ def slot_arrival_transactions_payments(t: ChainTables, s: Settings = Settings())
 def payment_by_arrival(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> DataFrame:
     """(propagation_sec, value) for early arrivals, the largest payments trimmed."""
     blocks = mean_arrival(t, s, bound_ms=s.tight_arrival_ms).join(t.block_roots, "block_root")
-    paid = t.payloads.select("slot", "block_hash", "value")
-    rows = joins.skew_join(paid, blocks, ["block_hash"], spread=["slot", "value"])
+    paid = t.payloads.select("block_hash", "value")
+    rows = joins.skew_join(paid, blocks, ["block_hash"])
     return trim_quantile(rows.select("propagation_sec", "value"), "value", q)
 
 
@@ -218,7 +218,7 @@ def last_arrival_box(t: ChainTables, s: Settings = Settings()) -> DataFrame:
 
 def last_arrival_density(t: ChainTables, s: Settings = Settings(), bins: int = 1000) -> DataFrame:
     """Density histogram of ``last_arrivals`` per number of blobs."""
-    return histogram_by(settled(last_arrivals(t, s)), "num_blobs", "seconds", bins)
+    return histogram_by(last_arrivals(t, s), "num_blobs", "seconds", bins)
 
 
 def payment_medians(t: ChainTables, s: Settings = Settings()) -> DataFrame:

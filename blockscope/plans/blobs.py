@@ -140,11 +140,11 @@ def _per_sender(df: DataFrame, senders: DataFrame | None) -> tuple[DataFrame, li
 def with_sender_label(df: DataFrame, senders: DataFrame) -> DataFrame:
     """Rows sent to a listed address, with ``address`` and ``label``.
 
-    One join for all senders; a sender with a large share of the rows is spread.
+    One join for all senders; a sender with a large share of the rows stays where it is.
     """
     addressed = df.withColumn("address", scalars.normal_address(F.col("to_addr")))
     book = senders.select(scalars.normal_address(F.col("address")).alias("address"), "label")
-    return joins.repeat_join(addressed, book, ["address"], spread=["hash", "position"])
+    return joins.skew_join(addressed, book, ["address"])
 
 
 def half_empty_blobs(

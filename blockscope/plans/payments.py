@@ -19,7 +19,7 @@ def miner_tip(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> Data
     A transaction of an unknown block pays no base fee; one without blobs counts 0.
     """
     fees = t.block_details.select(F.col("hash").alias("block_hash"), "base_fee")
-    priced = joins.skew_join(t.tx_details, fees, ["block_hash"], spread=["hash"], how="left")
+    priced = joins.skew_join(t.tx_details, fees, ["block_hash"], how="left")
     tips = priced.select(
         "hash",
         scalars.effective_tip(
@@ -37,8 +37,8 @@ def tip_box(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> DataFr
 def payment_by_blobs(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> DataFrame:
     """(num_blobs, mev_extracted): builder payment in ETH per delivered block, the largest trimmed."""
     blocks = blobs_per(t, "block_root", s).join(t.block_roots, "block_root")
-    paid = t.payloads.select("slot", "block_hash", "value")
-    rows = joins.skew_join(paid, blocks, ["block_hash"], spread=["slot", "value"])
+    paid = t.payloads.select("block_hash", "value")
+    rows = joins.skew_join(paid, blocks, ["block_hash"])
     return trim_quantile(rows.select("num_blobs", "value"), "value", q).select(
         "num_blobs", scalars.wei_to_eth(F.col("value")).alias("mev_extracted")
     )

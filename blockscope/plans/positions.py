@@ -20,8 +20,8 @@ def blob_position(t: ChainTables, s: Settings = Settings()) -> DataFrame:
 def relative_position(t: ChainTables, s: Settings = Settings()) -> DataFrame:
     """Position over the block's last position; NULL in a block with one transaction."""
     last = t.transactions.groupBy("block_root").agg(F.max("position").alias("max_position"))
-    rows = blob_transactions(t, s).select("block_root", "hash", "position")
-    placed = skew_join(rows, last, ["block_root"], spread=["hash", "position"], how="left")
+    rows = blob_transactions(t, s).select("block_root", "position")
+    placed = skew_join(rows, last, ["block_root"], how="left", one_row_per_key=True)
     return placed.select(
         "block_root",
         scalars.safe_ratio(F.col("position"), F.col("max_position")).alias("rel_position"),

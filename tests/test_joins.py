@@ -21,10 +21,11 @@ def facts_dim(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("min_rows, one_in", [(0, 1), (0, 5), (1_000_000, 1)])
-def test_skew_join_is_the_plain_join(facts, facts_dim, how, min_rows, one_in):
-    hot = joins.hot_keys(facts, ["k"], ["row"], share=10, min_rows=min_rows, one_in=one_in)
-    got = joins.skew_join(facts, facts_dim, ["k"], spread=["row"], how=how, salts=8, hot=hot)
+@pytest.mark.parametrize("min_rows, rate", [(0, 1.0), (0, 0.2), (1_000_000, 1.0)])
+@pytest.mark.parametrize("one_row", [True, False])
+def test_skew_join_is_the_plain_join(facts, facts_dim, how, min_rows, rate, one_row):
+    hot = joins.hot_keys(facts, ["k"], share=10, min_rows=min_rows, rate=rate)
+    got = joins.skew_join(facts, facts_dim, ["k"], how=how, one_row_per_key=one_row, hot=hot)
     assert rows(got) == rows(facts.join(facts_dim, ["k"], how))
 
 
@@ -35,22 +36,31 @@ def test_repeat_join_is_the_plain_join(facts, facts_dim, how):
 
 
 def test_joins_that_cannot_be_spread_are_refused(facts, facts_dim):
-    for join in (joins.skew_join, joins.repeat_join):
-        with pytest.raises(ValueError):
-            join(facts, facts_dim, ["k"], spread=["row"], how="full")
+    with pytest.raises(ValueError):
+        joins.skew_join(facts, facts_dim, ["k"], how="full")
+    with pytest.raises(ValueError):
+        joins.repeat_join(facts, facts_dim, ["k"], spread=["row"], how="full")
 
 
 def test_hot_keys_are_few_and_the_right_ones(facts):
-    for one_in in (1, 7):
-        hot = joins.hot_keys(facts, ["k"], ["row"], share=10, min_rows=1, one_in=one_in)
+    for rate in (1.0, 0.2):
+        hot = joins.hot_keys(facts, ["k"], share=10, min_rows=1, rate=rate)
         assert [r.k for r in hot.collect()] == [7]
-    assert joins.hot_keys(facts, ["k"], ["row"], share=10, min_rows=10_000, one_in=1).count() == 0
-
-
-def test_hot_rows_are_spread_over_many_keys(facts, facts_dim):
-    """The rows of the hot key carry different salts."""
-    salt = F.pmod(F.xxhash64("row"), F.lit(8))
-    assert facts.where("k = 7").select(salt).distinct().count() == 8
+    assert joins.hot_keys(facts, ["k"], share=10, min_rows=10_000, rate=1.0).count() == 0
+
+
+def test_hot_rows_do_not_travel(spark, facts, facts_dim):
+    """Copies of one row are joined where they are: only the usual rows are shuffled by key."""
+    hot = joins.hot_keys(facts, ["k"], share=10, min_rows=1, rate=1.0)
+    copies = facts.select("k").withColumn("v", F.lit(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.skew_join(copies, facts_dim, ["k"], how="left", one_row_per_key=True, hot=hot)
+        text = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stays = text.split("Union")[1].split("SortMergeJoin")
+    assert len(stays) == 2 and "BroadcastHashJoin" in stays[1]
 
 
 def test_left_join_fill_fills_unmatched_rows_only(spark):
