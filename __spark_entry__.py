@@ -6,12 +6,16 @@ its whole tables.  Double results are cut to four places in query and oracle.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import oracle_queries
 from blockscope.fixtures import SETTINGS, chain_tables, driver_table, view
 from blockscope.functions import scalars

@@ -26,14 +26,14 @@ def hot_keys(
     min_rows: int = 100_000,
     rate: float = 1 / 256,
 ) -> DataFrame:
-    """Keys that hold more than 1/share of the rows, by a count over a drawn part of them.
+    """Keys, NULL among them, that hold more than 1/share of the rows, counted on a drawn part.
 
     Fewer than ``share`` keys can pass, whatever the size of the data.  The keys only
     decide how work is divided: no result depends on them.  They are settled, so that
     all that use them see the same.
     """
-    present = df.where(~_any_null(on)).select(*on)
-    drawn = present if rate >= 1 else present.sample(rate, seed=1)
+    keys = df.select(*on)
+    drawn = keys if rate >= 1 else keys.sample(rate, seed=1)
     per_key = drawn.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = per_key.agg(F.sum("__n")).scalar()
     return settled(
@@ -57,12 +57,16 @@ def skew_join(
     rows of those keys where they are, be they copies of one row or not.  So do left
     rows with a NULL key, which match nothing.  All other rows are joined as usual.
     With ``one_row_per_key`` the hot right rows are fewer than the hot keys' bound and
-    are broadcast; otherwise Spark ships them as their size allows.
+    are broadcast; otherwise Spark ships them as their size allows.  Where no key is
+    hot this is the plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not do {how}")
+    hot = hot_keys(left, on) if hot is None else hot
+    if hot.isEmpty():
+        return left.join(right, list(on), how)
     # Bounded broadcast: fewer rows than the share that makes a key hot.
-    hot = F.broadcast(hot_keys(left, on) if hot is None else hot)
+    hot = F.broadcast(hot)
     marked = left.join(hot, list(on), "left")
     stays = F.col(_HOT).isNotNull() | _any_null(on)
     few = right.join(hot.drop(_HOT), list(on), "left_semi")

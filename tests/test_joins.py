@@ -49,6 +49,20 @@ def test_hot_keys_are_few_and_the_right_ones(facts):
     assert joins.hot_keys(facts, ["k"], share=10, min_rows=10_000, rate=1.0).count() == 0
 
 
+def test_null_can_be_hot(spark, facts_dim):
+    facts = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.col("id").alias("row"))
+    hot = joins.hot_keys(facts, ["k"], share=10, min_rows=1, rate=1.0)
+    assert [r.k for r in hot.collect()] == [None]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = joins.skew_join(facts, facts_dim, ["k"], how=how, hot=hot)
+        assert rows(got) == rows(facts.join(facts_dim, ["k"], how))
+
+
+def test_without_hot_keys_the_join_is_plain(facts, facts_dim):
+    plan = joins.skew_join(facts, facts_dim, ["k"], how="left")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan
+
+
 def test_hot_rows_do_not_travel(spark, facts, facts_dim):
     """Copies of one row are joined where they are: only the usual rows are shuffled by key."""
     hot = joins.hot_keys(facts, ["k"], share=10, min_rows=1, rate=1.0)
