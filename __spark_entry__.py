@@ -28,6 +28,14 @@ from blockscope.sources import days, landing, layouts, relays, worklists
 from blockscope.streaming import dedup as stream_dedup
 from blockscope.streaming import landing as stream_landing
 
+try:
+    import corpus_pipeline
+    from blockscope.llm import queries as llm_queries
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith(("corpus_pipeline", "blockscope.llm")):
+        raise
+    corpus_pipeline = llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -685,9 +693,19 @@ def entry(spark: SparkSession) -> DataFrame:
     return _REGISTRY["gas_by_blobs_mean"](spark, SMOKE_DIR)
 
 
-def queries() -> dict[str, Query]:
+def chain_queries() -> dict[str, Query]:
+    """The queries of the chain analyses."""
     return dict(_REGISTRY)
 
 
+def queries() -> dict[str, Query]:
+    if llm_queries is None:
+        return chain_queries()
+    return chain_queries() | llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+
+
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.all_queries()
+    if llm_queries is None:
+        return oracle_queries.all_queries()
+    whole = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return oracle_queries.all_queries() | llm_queries.oracle_sql() | whole
