@@ -2,14 +2,40 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockscope.llm import simhash_dedup
+from blockscope.llm import (
+    bpe,
+    chat_quotes,
+    decontaminate,
+    html_extract,
+    langid,
+    quality,
+    simhash_dedup,
+    token_counts,
+    url_templates,
+    warc,
+)
 from blockscope.llm.common import table
+from blockscope.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+MOST_TOKENS = 512
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -20,8 +46,76 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    home = run_dir(spark, "archives")
+    warc.write_archives(pages, home)
+    read = warc.read_archives(spark, home).where(F.col("gap").isNull())
+    kind = pages.schema["page_id"].dataType
+    return read.select(
+        warc.page_of(F.col("record_id")).cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of(F.col("refers_to")).cast(kind).alias("refers_to"),
+    )
+
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, good) for pages whose document, named by the number in the path, is labelled.
+
+    Good documents have quality 1 and are not toxic.
+    """
+    number = F.regexp_extract("url", r"/([0-9]{1,18})(?:[./?#]|$)", 1)
+    urls = table(spark, sf_dir, "pages").select("url", number.alias("number")).where(F.col("number") != "")
+    urls = urls.select("url", F.col("number").cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return urls.join(labels.select("doc_id", good.alias("good")), "doc_id").select("url", "good")
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir), URL_RULES)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), bpe.read_vocabulary(BYTE_BPE))
+    return counted.withColumn("over_limit", F.col("n_tokens") > MOST_TOKENS)
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.read_vocabulary(WORD_BPE))
+
+
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {name: fn for name, fn in globals().items() if name.startswith("op")}
+    return {
+        fn.__name__: fn
+        for fn in (
+            op1_language_id,
+            op2_html_text,
+            op3_simhash_dedup,
+            op4_benchmark_leaks,
+            op5_warc,
+            op6_url_templates,
+            op7_quality_rules,
+            op8_token_counts,
+            op9_bpe_round_trip,
+            op10_chat_quotes,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
