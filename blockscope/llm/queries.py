@@ -19,8 +19,11 @@ from blockscope.llm import (
     warc,
 )
 from blockscope.llm.common import table
+from blockscope.llm.oracle import oracle_sql
 from blockscope.session import run_dir
 
+__all__ = ["oracle_sql", "queries"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,7 +119,3 @@ def queries() -> dict[str, Query]:
             op10_chat_quotes,
         )
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -1,0 +1,122 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from blockscope.llm import langid
+
+EN = "the quick brown fox and the lazy dog went over the hill with that thing"
+DE = "der schnelle braune Fuchs und der faule Hund gingen ueber den Huegel mit dem Ding"
+
+
+def brute_grams(text):
+    """Counts of one to three characters inside ' word ' for each word."""
+    counts = Counter()
+    for word in langid.NOT_LETTERS.sub(" ", (text or "").lower()).split():
+        padded = f" {word} "
+        for n in (1, 2, 3):
+            counts.update(padded[k : k + n] for k in range(len(padded) - n + 1))
+    del counts[" "]
+    return counts
+
+
+def decoded(gram):
+    codes = [(int(gram) >> shift) & 0x1FFFFF for shift in (0, 21, 42)]
+    return "".join(chr(c) for c in codes if c)
+
+
+@pytest.mark.parametrize("text", ["", None, "1 2 !", "a", "Ab ab", EN, "Übung macht, den 3Meister", "語 語言"])
+def test_grams_are_those_of_padded_words(text):
+    grams, counts = langid.gram_counts(text)
+    got = Counter(dict(zip(map(decoded, grams), counts.tolist())))
+    brute = brute_grams(text)
+    # words share the blank between them: "b " and " c" stay, nothing crosses it
+    assert got == brute
+
+
+def test_long_texts_are_counted_in_slices_without_loss(monkeypatch):
+    whole = langid.gram_counts(EN * 7)
+    monkeypatch.setattr(langid, "SLICE", 11)
+    sliced = langid.gram_counts(EN * 7)
+    assert all((a == b).all() for a, b in zip(whole, sliced))
+
+
+def test_ranking_breaks_ties_by_gram():
+    grams, counts = np.array([3, 5, 9, 11]), np.array([1, 4, 4, 1])
+    assert langid.ranking(grams, counts, 3).tolist() == [5, 9, 3]
+
+
+def test_out_of_place_distance():
+    assert langid.out_of_place(np.array([1, 2, 3]), np.array([2, 1, 7]), 10) == 1 + 1 + 10
+
+
+def rows(spark, data):
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, score string, found int")
+
+
+def test_held_out_rows_teach_nothing(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2]
+    free = [i for i in range(100) if i not in held]
+    data = [(i, EN, "en", "x", 1) for i in free[:20]] + [(i, DE, "de", "x", 1) for i in held]
+    out = langid.predict_languages(rows(spark, data)).collect()
+    assert {r.lang_pred for r in out} == {"en"}
+    assert {r.doc_id for r in out if r.held_out} == set(held)
+
+
+def test_edge_rows(spark):
+    data = [(i, EN, "en", None, None) for i in range(12)] + [(i, DE, "de", None, None) for i in range(20, 32)]
+    data += [(40, None, "en", None, None), (41, "", "en", None, None), (42, "12 !!", None, None, None)]
+    data += [(None, DE, None, None, None), (43, DE, None, None, None), (43, DE, None, None, None)]
+    data += [(44, EN * 3000, "en", None, None)]
+    out = langid.predict_languages(rows(spark, data))
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    found = out.collect()
+    assert len(found) == len(data)
+    by_id = {r.doc_id: r for r in found}
+    assert [by_id[i].lang_pred for i in (40, 41, 42)] == ["und"] * 3
+    assert [by_id[i].score for i in (40, 41, 42)] == [0.0] * 3
+    assert by_id[None].lang_pred == "de" and by_id[None].held_out
+    assert by_id[44].lang_pred == "en" and all(0 <= r.score <= 1 for r in found)
+    kept = langid.keep_known(rows(spark, data))
+    assert kept.columns == ["doc_id", "text", "lang", "score", "found"]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(
+        (d[0] for d in data if d[0] not in (40, 41, 42)), key=str
+    )
+
+
+def test_nothing_learned_and_empty_table(spark):
+    assert langid.predict_languages(rows(spark, [])).count() == 0
+    out = langid.predict_languages(rows(spark, [(1, EN, None, None, None)])).first()
+    assert (out.lang_pred, out.score) == ("und", 0.0)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.predict_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in out]) > 0.97
+
+
+def test_query_equals_brute_force(spark):
+    """Profiles and distances recomputed with plain counters over the whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = docs.select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in table:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(brute_grams(r.text))
+
+    def ranked(c):
+        key = lambda g: sum(ord(x) << 21 * k for k, x in enumerate(g))
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], key(x[0])))][: langid.PROFILE_GRAMS]
+
+    profiles = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in counts.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict_languages(docs).collect()}
+    for r in table:
+        mine = ranked(brute_grams(r.text))
+        most = langid.PROFILE_GRAMS
+        far, best = min(
+            (sum(abs(p[g] - k) if g in p else most for k, g in enumerate(mine)), lang)
+            for lang, p in profiles.items()
+        )
+        assert got[r.doc_id] == (best, pytest.approx(1 - far / (most * len(mine))))
