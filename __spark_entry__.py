@@ -20,7 +20,7 @@ import oracle_queries
 from blockscope.fixtures import SETTINGS, chain_tables, driver_table, view
 from blockscope.functions import scalars
 from blockscope.operators import joins, shaping, summaries, windows
-from blockscope.operators.quantiles import grouped_median, trim_quantile
+from blockscope.operators.quantiles import grouped_median, grouped_quantiles, trim_quantile
 from blockscope.plans import arrival, blobs, payments, positions, reorgs, senders
 from blockscope.schemas import BLOCK_DETAILS, BLOCK_ROOTS, RECEIPTS, TRANSACTION_DETAILS
 from blockscope.session import run_dir
@@ -93,6 +93,9 @@ plan(
 plan("half_empty_blobs", blobs.half_empty_blobs)
 plan("half_empty_blobs_by_sender", lambda t: blobs.half_empty_blobs(t, senders=t.address_labels))
 plan("empty_ratio_by_blobs", blobs.empty_ratio_by_blobs)
+ONE_SENDER = "0xAB7"
+plan("half_empty_blobs_one_sender", lambda t: blobs.half_empty_blobs(t, address=ONE_SENDER))
+plan("empty_ratio_one_sender", lambda t: blobs.empty_ratio_by_blobs(t, address=ONE_SENDER))
 plan(
     "empty_ratio_by_sender", lambda t: blobs.empty_ratio_by_blobs(t, senders=t.address_labels)
 )
@@ -103,6 +106,32 @@ plan("gas_nonmev_box", lambda t: blobs.gas_box(t, mev=False), *BOX)
 plan("gas_mev_box", lambda t: blobs.gas_box(t, mev=True), *BOX)
 plan("size_box", blobs.size_box, *BOX)
 
+# --- the ways for large groups and hot keys, forced ---------------------------------------------
+plan(
+    "gas_by_blobs_median_ranges",
+    lambda t: grouped_quantiles(blobs.gas_rows(t, mev=True), ["num_blobs"], "gas_used", {"gas_used": 0.5}, 0),
+    "gas_used",
+)
+plan("box_stats_ranges", lambda t: summaries.box_stats(blobs.gas_rows(t), "num_blobs", "gas_used", 0), *BOX)
+
+
+def _every_repeated(df: DataFrame, *on: str) -> DataFrame:
+    """Keys with more than a few of the rows, as if they were hot."""
+    return joins.hot_keys(df, on, share=8000, min_rows=2, rate=1)
+
+
+plan("non_mev_blocks_hot", lambda t: blobs.non_mev_blocks(t, _every_repeated(t.block_details, "extra_data")))
+plan(
+    "sender_blob_txns_hot",
+    lambda t: senders.sender_blobs(
+        t,
+        t.address_labels,
+        hot=_every_repeated(
+            t.transactions.select(scalars.normal_address(F.col("to_addr")).alias("address")), "address"
+        ),
+    ),
+)
+
 # --- positions -------------------------------------------------------------------------------
 plan("blob_position", positions.blob_position)
 plan("blob_position_hist", positions.blob_position_histogram, "lo", "hi", "density")
@@ -172,6 +201,9 @@ _REGISTRY["miner_tip"] = lambda spark, d: payments.miner_tip(chain_tables(spark,
 )
 _REGISTRY["mev_by_blobs"] = lambda spark, d: payments.payment_by_blobs(chain_tables(spark, d))
 
+_REGISTRY["miner_tip_hot"] = lambda spark, d: payments.miner_tip(
+    chain_tables(spark, d), hot=_every_repeated(view(spark, d, "tx_details"), "block_hash")
+).withColumn("miner_tip", F.col("miner_tip").cast("bigint"))
 plan("miner_tip_box", payments.tip_box, *BOX)
 _REGISTRY["mev_box"] = lambda spark, d: cut_columns(
     payments.payment_box(chain_tables(spark, d)), *BOX, places=18
@@ -226,6 +258,12 @@ def trim_quantile_(spark: SparkSession, d: str) -> DataFrame:
     return cut_columns(trim_quantile(sizes, "size", 0.95), "size")
 
 
+@query
+def trim_quantile_ranges(spark: SparkSession, d: str) -> DataFrame:
+    sizes = view(spark, d, "block_details").select("hash", "size")
+    return cut_columns(trim_quantile(sizes, "size", 0.95, in_memory=0, settle=True), "size")
+
+
 @query
 def finite_pairs(spark: SparkSession, d: str) -> DataFrame:
     pairs = view(spark, d, "tx").select(
@@ -273,6 +311,16 @@ def gap_to_previous(spark: SparkSession, d: str) -> DataFrame:
     return windows.gap_to_previous(posts, ["address"], "slot", "slot_increment")
 
 
+@query
+def gap_to_previous_null_group(spark: SparkSession, d: str) -> DataFrame:
+    """Some senders are one NULL group; stretches are short, so most gaps cross an edge."""
+    t = chain_tables(spark, d)
+    posts = senders.sender_blobs(t, t.address_labels)
+    known = F.when(F.length("address") > 4, F.col("address"))
+    slots = posts.select(known.alias("address"), "slot").distinct()
+    return windows.gap_to_previous(slots, ["address"], "slot", "slot_increment", stretch=7)
+
+
 @query
 def binned_median(spark: SparkSession, d: str) -> DataFrame:
     pairs = driver_table(spark, d, "events").select(
@@ -331,6 +379,16 @@ def hex_to_int(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def hex_to_int_long(spark: SparkSession, d: str) -> DataFrame:
+    """More leading zeros than any prefix would hold."""
+    key = F.col("r_regionkey") + 250
+    text = F.concat(F.lit("0x"), F.repeat(F.lit("0"), F.lit(1_100_000)), F.hex(key.cast("bigint")))
+    return driver_table(spark, d, "region").select(
+        key.cast("bigint").alias("key"), scalars.hex_to_int(text).cast("string").alias("value")
+    )
+
+
 @query
 def int_to_hex(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
@@ -366,6 +424,13 @@ def work_list_remaining(spark: SparkSession, d: str) -> DataFrame:
     return worklists.remaining(work_list(spark, d), landed, "hash")
 
 
+@query
+def number_work_list(spark: SparkSession, d: str) -> DataFrame:
+    """Every order number up to the largest one."""
+    top = driver_table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return worklists.number_work_list(spark, 0, (top or 0) + 1)
+
+
 @query
 def low_water_mark(spark: SparkSession, d: str) -> DataFrame:
     return worklists.low_water_mark(view(spark, d, "mev"), "slot")
@@ -385,11 +450,6 @@ def _day_files(spark: SparkSession, d: str, path: str) -> DataFrame:
     return daily
 
 
-def _rows_per_day(loaded: DataFrame) -> DataFrame:
-    day = F.regexp_extract("file", "date=([0-9-]{10})", 1).cast("date")
-    return days.load_manifest(loaded).groupBy(day.alias("day")).agg(F.sum("rows").alias("rows"))
-
-
 @query
 def load_day_range(spark: SparkSession, d: str) -> DataFrame:
     path = run_dir(spark, "days")
@@ -397,11 +457,29 @@ def load_day_range(spark: SparkSession, d: str) -> DataFrame:
     return days.load_day_range(spark, path, *MONTH, DAY_TEMPLATE).select("event_id", "ts", "user_id")
 
 
+@query
+def load_days_over_month_end(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty days later the events cross a month end; the range starts and stops inside them."""
+    path = run_dir(spark, "month-end")
+    events = driver_table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    later = events.withColumn("ts", F.col("ts") + F.expr("interval 20 days"))
+    days.full_refresh(later.withColumn("date", F.to_date("ts")), path, by=["date"])
+    return days.load_day_range(spark, path, "2024-01-28", "2024-02-03", DAY_TEMPLATE).select("event_id", "ts")
+
+
+def _per_day(lines: DataFrame) -> DataFrame:
+    day = F.regexp_extract("file", "date=([0-9-]{10})", 1).cast("date")
+    return lines.groupBy(day.alias("day")).agg(F.sum("rows").alias("rows"))
+
+
 @query
 def load_manifest(spark: SparkSession, d: str) -> DataFrame:
-    path = run_dir(spark, "manifest")
+    """Two loads, logged one after the other; the log is read back from its own files."""
+    path, log = run_dir(spark, "manifest"), run_dir(spark, "load-log")
     _day_files(spark, d, path)
-    return _rows_per_day(days.load_day_range(spark, path, *MONTH, DAY_TEMPLATE))
+    for half in ((MONTH[0], "2024-01-15"), ("2024-01-16", MONTH[1])):
+        lines = days.log_load(days.load_day_range(spark, path, *half, DAY_TEMPLATE), "events", log)
+    return _per_day(lines)
 
 
 @query
@@ -409,7 +487,7 @@ def full_refresh(spark: SparkSession, d: str) -> DataFrame:
     path = run_dir(spark, "refresh")
     daily = _day_files(spark, d, path)
     days.full_refresh(daily.where(F.col("date") >= SETTINGS.fork), path, by=["date"])
-    return _rows_per_day(spark.read.parquet(path))
+    return _per_day(days.load_manifest(spark.read.parquet(path)))
 
 
 # --- landed responses ------------------------------------------------------------------------
@@ -616,6 +694,24 @@ def land_relay_pages(spark: SparkSession, d: str) -> DataFrame:
     return cut_columns(kept.select("block_hash", "relay", "value"), "value")
 
 
+@query
+def relay_page_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with unreadable numbers, and pages cut off; counted by relay and outcome."""
+    path = run_dir(spark, "bad-pages")
+    bids = view(spark, d, "relay_bids")
+    slot = F.when(F.col("slot") % 50 == 7, F.lit("0xzz")).otherwise(F.col("slot").cast("string"))
+    bid = F.struct(slot.alias("slot"), *[F.col(c).cast("string").alias(c) for c in ("block_hash", "value")])
+    pages = bids.groupBy("relay", F.floor(F.col("slot") / 100).alias("page")).agg(
+        F.to_json(F.collect_list(bid)).alias("text")
+    )
+    text = F.when(F.col("page") % 10 == 3, F.lit("[{\"slot\": ")).otherwise(F.col("text"))
+    pages.select("relay", text.alias("value")).write.partitionBy("relay").text(path)
+    landed = relays.land_relay_pages(spark, path, _PAGE_SCHEMA, page_per_line=True)
+    good = landed.good.select("relay", F.lit("good").alias("outcome"))
+    every = good.unionByName(landed.rejects.select("relay", F.col("reason").alias("outcome")))
+    return every.groupBy("relay", "outcome").agg(F.count(F.lit(1)).alias("rows"))
+
+
 _BID_SCHEMA = T.StructType(
     [T.StructField("block_hash", T.LongType()), T.StructField("value", T.DoubleType())]
 )
@@ -659,20 +755,28 @@ def stream_landing_(spark: SparkSession, d: str) -> DataFrame:
     return _plain(stream_landing.landed_rows(spark, f"{home}/out", RECEIPTS).drop("attempt"))
 
 
-def _bid_drops(spark: SparkSession, d: str, home: str):
-    """The relays' bids dropped one relay at a time, the least preferred first."""
+def _bid_drops(spark: SparkSession, d: str, home: str, spans: int = 1):
+    """The relays' bids dropped span by span of slots, in each the least preferred relay first.
+
+    Yields the stream and a delay as long as a span.
+    """
     bids = view(spark, d, "relay_bids").withColumn("seen", scalars.slot_time(F.col("slot")))
-    for relay in reversed(RELAYS):
-        bids.where(F.col("relay") == relay).write.mode("append").parquet(f"{home}/in")
-        yield spark.readStream.schema(bids.schema).parquet(f"{home}/in")
+    span = (bids.agg(F.max("slot")).first()[0] or 0) // spans + 1
+    for k in range(spans):
+        for relay in reversed(RELAYS):
+            drop = bids.where((F.col("relay") == relay) & (F.floor(F.col("slot") / span) == k))
+            drop.write.mode("append").parquet(f"{home}/in")
+            delay = f"{span * scalars.SECONDS_PER_SLOT} seconds"
+            yield spark.readStream.schema(bids.schema).parquet(f"{home}/in"), delay
 
 
 @query
 def stream_relay_dedup(spark: SparkSession, d: str) -> DataFrame:
     home = run_dir(spark, "stream-relays")
     order = relays.preference(RELAYS)
-    for new in _bid_drops(spark, d, home):
+    for new, _ in _bid_drops(spark, d, home):
         stream_dedup.run_keep_first(new, ["block_hash"], order, f"{home}/out", f"{home}/checkpoint")
+    stream_dedup.compact_log(spark, f"{home}/out", ["block_hash"], order)
     kept = stream_dedup.kept_rows(spark, f"{home}/out", ["block_hash"], order)
     return cut_columns(kept.select("block_hash", "relay", "value"), "value")
 
@@ -680,8 +784,8 @@ def stream_relay_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_first_arrivals(spark: SparkSession, d: str) -> DataFrame:
     home = run_dir(spark, "stream-first")
-    for new in _bid_drops(spark, d, home):
-        first = stream_dedup.first_arrivals(new, "block_hash", "seen", "36500 days")
+    for new, delay in _bid_drops(spark, d, home, spans=3):
+        first = stream_dedup.first_arrivals(new, "block_hash", "seen", delay)
         stream_landing.run_available(first, f"{home}/out", f"{home}/checkpoint")
     return cut_columns(
         spark.read.parquet(f"{home}/out").select("block_hash", "relay", "value"), "value"

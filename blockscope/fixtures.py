@@ -23,18 +23,19 @@ VIEWS: dict[str, str] = {
   l_discount as empty_size, l_tax as full_size, l_shipdate as epoch_start from lineitem""",
     "tx_details": """select l_orderkey*8+l_linenumber as hash, l_orderkey as block_hash,
   cast(floor(l_extendedprice*100) as bigint) as max_fee,
-  cast(floor(l_quantity*100000) as bigint) as max_priority_fee from lineitem where l_returnflag='R'""",
+  cast(floor(l_quantity*100000) as bigint) as max_priority_fee from lineitem where l_returnflag <> 'N'""",
     "block_root": """select o_orderkey as block_root, o_orderkey as block_hash from orders
   where o_orderpriority <> '5-LOW'""",
     "block_details": """select o_orderkey as hash, o_totalprice as gas_used, o_custkey as extra_data,
   o_totalprice/10 as size, cast(floor(o_totalprice*10) as bigint) as base_fee, o_orderdate as block_time
   from orders where o_orderpriority <> '4-NOT SPECIFIED'""",
     "mev": """select o_orderkey as slot, o_orderkey as block_hash, o_totalprice as value from orders
-  where o_orderstatus = 'F' and o_totalprice > 400000""",
+  join customer on o_custkey = c_custkey
+  where o_orderstatus = 'F' and c_mktsegment in ('BUILDING', 'MACHINERY')""",
     "relay_bids": """select 'a' as relay, o_orderkey as slot, o_orderkey as block_hash,
   o_totalprice as value from orders where o_orderstatus <> 'P'
 union all select 'b', o_orderkey, o_orderkey, o_totalprice+1 from orders where o_orderstatus <> 'F'
-union all select 'c', o_orderkey, o_orderkey, o_totalprice+2 from orders where o_totalprice > 250000""",
+union all select 'c', o_orderkey, o_orderkey, o_totalprice+2 from orders where o_orderpriority <> '5-LOW'""",
     "sidecar": f"""select cast(floor(event_id/20) as bigint) as block_root,
   cast(floor(event_id/20) as bigint) as slot, user_id % 5 as client, {IMPL} as impl,
   cast(floor(value) as int) % 6 as blob_index, value*100 as diff_ms, date_trunc('day', ts) as slot_start
@@ -51,7 +52,7 @@ union all select 'c', o_orderkey, o_orderkey, o_totalprice+2 from orders where o
   from supplier where s_acctbal > 0""",
 }
 
-DRIVER_TABLES = ("orders", "lineitem", "events", "supplier")
+DRIVER_TABLES = ("orders", "lineitem", "events", "supplier", "customer")
 
 # The constants of the analyses on this binding.
 SETTINGS = Settings(fork="2024-01-13", before_fork_end="2024-01-05")
@@ -65,7 +66,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One chain table over the driver tables of ``sf_dir``."""
     text = VIEWS[name]
     for table in DRIVER_TABLES:
-        text = text.replace(f"from {table}", f"from {{{table}}}")
+        for word in ("from", "join"):
+            text = text.replace(f"{word} {table}", f"{word} {{{table}}}")
     used = {t: driver_table(spark, sf_dir, t) for t in DRIVER_TABLES if f"{{{t}}}" in text}
     return spark.sql(text, **used)
 

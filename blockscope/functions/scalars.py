@@ -28,7 +28,7 @@ def hex_to_int(text: Column) -> Column:
 
     The last 32 hex digits are cut into two 64-bit halves, which ``conv`` reads exactly.
     """
-    digits = F.right(F.concat(F.lit("0" * 32), F.substring(text, 3, 1 << 20)), F.lit(32))
+    digits = F.right(F.concat(F.lit("0" * 32), F.substr(text, F.lit(3))), F.lit(32))
     high = F.conv(F.substring(digits, 1, 16), 16, 10).cast(WIDE)
     low = F.conv(F.substring(digits, 17, 16), 16, 10).cast(WIDE)
     wide = F.try_add(F.try_multiply(high, F.lit(_TWO_POW_64).cast(WIDE)), low)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from blockscope.session import settled
 
+#: Rows of a few columns that are broadcast at most, after they were counted.
+MOST_SENT = 200_000
+
 _SALT = "__salt"
 _HOT = "__hot"
 _FOUND = "__found"
@@ -43,6 +46,19 @@ def hot_keys(
     )
 
 
+def sent_whole(df: DataFrame) -> tuple[DataFrame, bool]:
+    """The frame settled, marked for broadcast if it was counted and is small, and whether it is."""
+    df = settled(df)
+    small = df.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return (F.broadcast(df) if small else df), small
+
+
+def _null_salt(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows with a NULL key, which match nothing, get a salt of their own each; all others 0."""
+    others = F.xxhash64(*[c for c in df.columns if c not in on])
+    return df.withColumn(_SALT, F.when(_any_null(on), others).otherwise(F.lit(0).cast("long")))
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -53,12 +69,13 @@ def skew_join(
 ) -> DataFrame:
     """Join a fact side whose keys may be hot with a side that has few rows per key.
 
-    Rows of hot keys (``hot_keys`` unless given) never travel: they meet the few right
+    Rows of hot keys (``hot_keys`` unless given) do not travel: they meet the few right
     rows of those keys where they are, be they copies of one row or not.  So do left
     rows with a NULL key, which match nothing.  All other rows are joined as usual.
     With ``one_row_per_key`` the hot right rows are fewer than the hot keys' bound and
-    are broadcast; otherwise Spark ships them as their size allows.  Where no key is
-    hot this is the plain join.
+    are broadcast; otherwise they are counted, and where they are more than
+    ``MOST_SENT`` the hot keys are each shared by many tasks instead (``repeat_join``).
+    Where no key is hot this is the plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not do {how}")
@@ -69,10 +86,16 @@ def skew_join(
     hot = F.broadcast(hot)
     marked = left.join(hot, list(on), "left")
     stays = F.col(_HOT).isNotNull() | _any_null(on)
-    few = right.join(hot.drop(_HOT), list(on), "left_semi")
-    few = F.broadcast(few) if one_row_per_key else few
+    few, small = right.join(hot.drop(_HOT), list(on), "left_semi"), True
+    if one_row_per_key:
+        few = F.broadcast(few)
+    else:
+        few, small = sent_whole(few)
     usual = marked.where(~stays).drop(_HOT).join(right, list(on), how)
-    return usual.unionByName(marked.where(stays).drop(_HOT).join(few, list(on), how))
+    still = marked.where(stays).drop(_HOT)
+    rest = [c for c in left.columns if c not in on] or list(on)
+    there = still.join(few, list(on), how) if small else repeat_join(still, few, on, rest, how)
+    return usual.unionByName(there)
 
 
 def repeat_join(
@@ -81,14 +104,17 @@ def repeat_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a left side with a far smaller right side, each key shared by ``salts`` tasks.
 
     Left rows are spread by a hash of ``spread``, columns that tell the rows of one
-    key apart, and every right row is repeated.  The salts depend on the data alone,
-    so a re-run task places each row as before.
+    key apart, and every right row is repeated.  Without ``salts`` a key is shared by as many
+    tasks as a shuffle has.  The salts depend on the data alone, so a re-run task places
+    each row as before.
     """
+    if salts is None:
+        salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"repeat_join does not do {how}")
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
@@ -106,21 +132,18 @@ def left_join_fill(
     on: Sequence[str],
     fill: Mapping[str, object] | None = None,
     null_keys: bool = False,
-    salts: int = 64,
 ) -> DataFrame:
     """Left join whose unmatched right columns get the given defaults instead of NULL.
 
     Left keys are expected to repeat little (aggregates, keyed tables).  NULL keys,
     which an earlier unmatched join produces in bulk, match nothing; ``null_keys``
-    spreads them over ``salts`` sub-keys.  Only unmatched rows are filled: a NULL
-    stored in a matched row stays NULL.
+    spreads them over all tasks.  Only unmatched rows are filled: a NULL stored in a
+    matched row stays NULL.
     """
     keys = list(on)
     if null_keys:
-        others = F.xxhash64(*[c for c in left.columns if c not in on])
-        salt = F.when(_any_null(on), F.pmod(others, F.lit(salts))).otherwise(F.lit(0))
-        left = left.withColumn(_SALT, salt.cast("int"))
-        right = right.withColumn(_SALT, F.lit(0))
+        left = _null_salt(left, on)
+        right = right.withColumn(_SALT, F.lit(0).cast("long"))
         keys = [*on, _SALT]
     if fill:
         right = right.withColumn(_FOUND, F.lit(True))
@@ -161,13 +184,17 @@ def member_tags(items: DataFrame, members: DataFrame, key: str, tag: str) -> Dat
     return items.join(keys, key, "left_semi").where(F.col(tag).isNotNull()).select(tag).distinct()
 
 
-def items_without_tags(items: DataFrame, tags: DataFrame, key: str, tag: str) -> DataFrame:
+def items_without_tags(
+    items: DataFrame, tags: DataFrame, key: str, tag: str, hot: DataFrame | None = None
+) -> DataFrame:
     """Keys of items whose tag is not in ``tags``.
 
     A tag may sit on a large share of the items, and there are far fewer tags than items.
     """
     tagged = items.where(F.col(tag).isNotNull()).select(key, tag)
-    untagged = skew_join(tagged, tags.distinct(), [tag], how="left_anti", one_row_per_key=True)
+    untagged = skew_join(
+        tagged, tags.distinct(), [tag], how="left_anti", one_row_per_key=True, hot=hot
+    )
     return untagged.select(key).distinct()
 
 
@@ -177,5 +204,6 @@ def only_in(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def not_in(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is not in ``keys``; rows with a NULL key are kept."""
-    return df.join(keys, list(on), "left_anti")
+    """Rows whose key is not in ``keys``; rows with a NULL key are kept, and spread over all tasks."""
+    there = keys.select(*on).withColumn(_SALT, F.lit(0).cast("long"))
+    return _null_salt(df, on).join(there, [*on, _SALT], "left_anti").drop(_SALT)

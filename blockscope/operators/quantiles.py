@@ -1,15 +1,16 @@
 """Exact quantiles with linear interpolation, per group and for a whole column.
 
 Spark's ``percentile`` keeps every distinct value of a group in one task.  That is
-used up to a checked number of distinct values.  Beyond it a group is cut into
+used for groups up to a checked number of distinct values.  Larger groups are cut into
 value ranges, so that only the ranges that hold a wanted rank are ever sorted, each
-in its own task, however large the group is.
+in its own task, however large the group is.  Both ways interpolate alike, to the last bit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,6 @@ _V, _N, _RANGE = "__v", "__n", "__range"
 # So many rows of a few numbers fit into one task's memory many times over.
 IN_MEMORY = 1_000_000
 RANGES = 256
-MOST_RANGES = 4096
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -50,13 +50,33 @@ def _ranged(counts: DataFrame, ranges: int) -> DataFrame:
 def quantiles_of_counts(
     counts: DataFrame, by: Sequence[str], wanted: dict[str, float], in_memory: int = IN_MEMORY
 ) -> DataFrame:
-    """Exact quantiles of settled ``value_counts``: one row per group, one column per name."""
-    distinct = counts.count()
-    if distinct <= in_memory:
-        return counts.groupBy(*by).agg(
-            *[F.percentile(_V, q, F.col(_N)).alias(name) for name, q in wanted.items()]
-        )
-    return quantiles_by_range(counts, by, wanted, max(RANGES, min(MOST_RANGES, distinct // IN_MEMORY)))
+    """Exact quantiles of settled ``value_counts``: one row per group, one column per name.
+
+    Only groups of more than ``in_memory`` distinct values are cut into ranges; however
+    many small groups there are, they are one aggregate.
+    """
+    by = list(by)
+    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))
+    largest = sizes.agg(F.max("__size")).first()[0] or 0
+    if largest <= in_memory:
+        return _quantiles_in_memory(counts, by, wanted)
+    ranges = max(RANGES, largest // IN_MEMORY)
+    if not by:
+        return quantiles_by_range(counts, by, wanted, ranges)
+    # Fewer groups than counted rows divided by the bound.
+    large = settled(sizes.where(F.col("__size") > in_memory).select(*[F.col(c).alias(f"__l_{c}") for c in by]))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__l_{c}")) for c in by])
+    if large.count() <= IN_MEMORY:
+        large = F.broadcast(large)  # the number is checked
+    small = _quantiles_in_memory(counts.join(large, same, "left_anti"), by, wanted)
+    cut = settled(counts.join(large, same, "left_semi"))
+    return small.unionByName(quantiles_by_range(cut, by, wanted, ranges))
+
+
+def _quantiles_in_memory(counts: DataFrame, by: Sequence[str], wanted: dict[str, float]) -> DataFrame:
+    return counts.groupBy(*by).agg(
+        *[F.percentile(_V, q, F.col(_N)).alias(name) for name, q in wanted.items()]
+    )
 
 
 def quantiles_by_range(
@@ -120,16 +140,14 @@ def quantiles_by_range(
         picks.append(F.max(F.when(inside(low(q), "__start", "__stop"), F.col(_V))).alias(f"__lo_{name}"))
         picks.append(F.max(F.when(inside(high(q), "__start", "__stop"), F.col(_V))).alias(f"__hi_{name}"))
     ends = placed.groupBy(*by).agg(*picks)
-    return ends.select(
-        *by,
-        *[
-            (
-                F.col(f"__lo_{name}")
-                + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (rank(q) - low(q))
-            ).alias(name)
-            for name, q in wanted.items()
-        ],
-    )
+
+    def between(name: str, q: float) -> Column:
+        """The formula of ``percentile``, term for term, so that both ways give the same bits."""
+        below, above = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        mixed = (high(q) - rank(q)) * below + (rank(q) - low(q)) * above
+        return F.when((low(q) == high(q)) | (below == above), below).otherwise(mixed)
+
+    return ends.select(*by, *[between(name, q).alias(name) for name, q in wanted.items()])
 
 
 def grouped_quantiles(
@@ -148,17 +166,23 @@ def grouped_median(df: DataFrame, by: Sequence[str], value: str, out: str) -> Da
 
 
 def trim_quantile(
-    df: DataFrame, value: str, q: float, method: str = "exact", in_memory: int = IN_MEMORY
+    df: DataFrame,
+    value: str,
+    q: float,
+    method: str = "exact",
+    in_memory: int = IN_MEMORY,
+    settle: bool = False,
 ) -> DataFrame:
     """Keep rows at or below the column's q-quantile; NULL values are dropped.
 
     ``approx`` takes the bound from ``percentile_approx`` at one part in a million,
     without shuffling the values, for when a near bound will do.
-    The rows are read twice, for the bound and for the result, so they are settled first.
+    The rows are read twice, for the bound and for the result.  A scan or one aggregate is
+    cheaper to read again than to store; ``settle`` stores rows that cost more.
     """
     if method not in ("exact", "approx"):
         raise ValueError(f"unknown quantile method {method}")
-    rows = settled(df)
+    rows = settled(df) if settle else df
     if method == "approx":
         bound = rows.agg(F.percentile_approx(F.col(value).cast("double"), q, 1_000_000))
     else:

@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockscope.functions.bins import edge_count, left_closed_bin, right_closed_bin
-from blockscope.operators.joins import repeat_join
-from blockscope.operators.quantiles import grouped_quantiles, quantiles_of_counts, value_counts
+from blockscope.operators.joins import repeat_join, sent_whole
+from blockscope.operators.quantiles import (
+    IN_MEMORY,
+    grouped_quantiles,
+    quantiles_of_counts,
+    value_counts,
+)
 from blockscope.session import settled
 
 _V, _N = "__v", "__n"
@@ -114,18 +119,18 @@ def histogram_edges(df: DataFrame, value: str, edges: Sequence[float], by: str)
     )
 
 
-def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
+def box_stats(df: DataFrame, by: str, value: str, in_memory: int = IN_MEMORY) -> DataFrame:
     """Box summary per category: quartiles, whiskers, number of outliers.
 
     Whiskers reach the furthest values within 1.5 inter-quartile ranges, never
     inside the box.  Rows without a category are left out.
     """
     counts = settled(value_counts(df.where(F.col(by).isNotNull()), [by], value))
-    quartiles = quantiles_of_counts(counts, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    fences = _with_fences(quartiles)
+    quartiles = quantiles_of_counts(counts, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75}, in_memory)
+    fences, small = sent_whole(_with_fences(quartiles))
     inside = (F.col(_V) >= F.col("__low")) & (F.col(_V) <= F.col("__high"))
     return (
-        repeat_join(counts, fences, [by], spread=[_V])
+        (counts.join(fences, by) if small else repeat_join(counts, fences, [by], spread=[_V]))
         .groupBy(by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(_V))).alias("__wlo"),
@@ -154,8 +159,10 @@ def box_outliers(df: DataFrame, by: str, value: str, spread: Sequence[str]) -> D
     fences = _with_fences(
         grouped_quantiles(df.where(F.col(by).isNotNull()), [by], value, {"q1": 0.25, "q3": 0.75})
     ).select(by, "__low", "__high")
+    # Few fences go to the rows; only more than a broadcast holds are met by a shuffle.
+    fences, small = sent_whole(fences)
     return (
-        repeat_join(df, fences, [by], spread=spread)
+        (df.join(fences, by) if small else repeat_join(df, fences, [by], spread=spread))
         .where((F.col(value) < F.col("__low")) | (F.col(value) > F.col("__high")))
         .select(*df.columns)
     )

@@ -28,12 +28,17 @@ def gap_to_previous(
     )
     lasts = cut.groupBy(*by, part).agg(F.max(order).alias("__last"))
     before = lasts.select(
-        *by, part, F.lag("__last").over(Window.partitionBy(*by).orderBy(part)).alias("__edge")
+        *[F.col(c).alias(f"__e_{c}") for c in by],
+        F.col(part).alias("__e_part"),
+        F.lag("__last").over(Window.partitionBy(*by).orderBy(part)).alias("__edge"),
     )
-    joined = stepped.join(before, [*by, part], "left")
+    same = F.col(part) == F.col("__e_part")
+    for c in by:  # a NULL group has edges too
+        same = same & F.col(c).eqNullSafe(F.col(f"__e_{c}"))
+    joined = stepped.join(before, same, "left")
     return joined.withColumn(
         out, F.col(order) - F.coalesce(F.col("__prev"), F.col("__edge"))
-    ).drop(part, "__prev", "__edge")
+    ).drop(part, "__prev", "__edge", "__e_part", *[f"__e_{c}" for c in by])
 
 
 def gaps_within(

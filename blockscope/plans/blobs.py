@@ -48,11 +48,11 @@ def block_transaction_stats(t: ChainTables, s: Settings = Settings(), q: float =
     return trim_quantile(stats, "num_of_txns", q)
 
 
-def non_mev_blocks(t: ChainTables) -> DataFrame:
+def non_mev_blocks(t: ChainTables, hot: DataFrame | None = None) -> DataFrame:
     """Hashes of blocks whose builder tag never occurs on a relay-delivered block."""
     delivered = t.payloads.select(F.col("block_hash").alias("hash"))
     tags = joins.member_tags(t.block_details, delivered, "hash", "extra_data")
-    return joins.items_without_tags(t.block_details, tags, "hash", "extra_data")
+    return joins.items_without_tags(t.block_details, tags, "hash", "extra_data", hot)
 
 
 def gas_rows(t: ChainTables, s: Settings = Settings(), mev: bool | None = None) -> DataFrame:
@@ -137,14 +137,14 @@ def _per_sender(df: DataFrame, senders: DataFrame | None) -> tuple[DataFrame, li
     return with_sender_label(df, senders), ["label"]
 
 
-def with_sender_label(df: DataFrame, senders: DataFrame) -> DataFrame:
+def with_sender_label(df: DataFrame, senders: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Rows sent to a listed address, with ``address`` and ``label``.
 
     One join for all senders; a sender with a large share of the rows stays where it is.
     """
     addressed = df.withColumn("address", scalars.normal_address(F.col("to_addr")))
     book = senders.select(scalars.normal_address(F.col("address")).alias("address"), "label")
-    return joins.skew_join(addressed, book, ["address"])
+    return joins.skew_join(addressed, book, ["address"], hot=hot)
 
 
 def half_empty_blobs(

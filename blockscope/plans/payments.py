@@ -13,13 +13,15 @@ from blockscope.plans.blobs import blobs_per
 from blockscope.plans.tables import ChainTables, Settings
 
 
-def miner_tip(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> DataFrame:
+def miner_tip(
+    t: ChainTables, s: Settings = Settings(), q: float = 0.95, hot: DataFrame | None = None
+) -> DataFrame:
     """(num_blobs, miner_tip) per transaction, the largest tips trimmed.
 
     A transaction of an unknown block pays no base fee; one without blobs counts 0.
     """
     fees = t.block_details.select(F.col("hash").alias("block_hash"), "base_fee")
-    priced = joins.skew_join(t.tx_details, fees, ["block_hash"], how="left")
+    priced = joins.skew_join(t.tx_details, fees, ["block_hash"], how="left", hot=hot)
     tips = priced.select(
         "hash",
         scalars.effective_tip(

@@ -23,9 +23,11 @@ def address_book(spark: SparkSession, senders: Mapping[str, str] = TRACKED_SENDE
     )
 
 
-def sender_blobs(t: ChainTables, senders: DataFrame, s: Settings = Settings()) -> DataFrame:
+def sender_blobs(
+    t: ChainTables, senders: DataFrame, s: Settings = Settings(), hot: DataFrame | None = None
+) -> DataFrame:
     """(label, address, slot, num_blobs, num_blob_txns) for all listed senders in one pass."""
-    rows = with_sender_label(blob_transactions(t, s), senders)
+    rows = with_sender_label(blob_transactions(t, s), senders, hot)
     return rows.groupBy("label", "address", "slot").agg(
         F.sum(scalars.blobs(F.col("blob_gas"))).alias("num_blobs"),
         F.count(F.lit(1)).alias("num_blob_txns"),

@@ -11,51 +11,112 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 WIDE = T.DecimalType(38, 0)
-
-
-def _struct(required: str = "", nullable: str = "") -> T.StructType:
-    """``name:type`` words to a StructType."""
-    types = {"text": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "wide": WIDE,
-             "time": T.TimestampType()}
-    fields = []
-    for words, null in ((required, False), (nullable, True)):
-        for word in words.split():
-            name, kind = word.split(":")
-            fields.append(T.StructField(name, types[kind], null))
-    return T.StructType(fields)
-
-
-# The landed tables, as their producers and readers name them.
-RELAY_PAYLOADS = _struct(
-    "slot:long parent_hash:text block_hash:text builder_pubkey:text proposer_pubkey:text "
-    "proposer_fee_recipient:text gas_limit:long gas_used:long value:wide block_number:long "
-    "num_tx:long relay_name:text"
+TEXT, LONG, INT = T.StringType(), T.LongType(), T.IntegerType()
+
+# The landed tables in their declared column order.  Nullable are the columns declared
+# so, and those that a response may leave out and that get no default.
+RELAY_PAYLOADS = T.StructType(
+    [
+        T.StructField("slot", LONG, False),
+        T.StructField("parent_hash", TEXT, False),
+        T.StructField("block_hash", TEXT, False),
+        T.StructField("builder_pubkey", TEXT, False),
+        T.StructField("proposer_pubkey", TEXT, False),
+        T.StructField("proposer_fee_recipient", TEXT, False),
+        T.StructField("gas_limit", LONG, False),
+        T.StructField("gas_used", LONG, False),
+        T.StructField("value", WIDE, False),
+        T.StructField("block_number", LONG, False),
+        T.StructField("num_tx", LONG, False),
+        T.StructField("relay_name", TEXT, False),
+    ]
 )
-RECEIPTS = _struct(
-    "blockHash:text blockNumber:wide cumulativeGasUsed:wide effectiveGasPrice:wide gasUsed:wide "
-    "status:int transactionHash:text transactionIndex:long type:int",
-    "contractAddress:text from:text to:text",
+RECEIPTS = T.StructType(
+    [
+        T.StructField("blockHash", TEXT, False),
+        T.StructField("blockNumber", WIDE, False),
+        T.StructField("contractAddress", TEXT, True),
+        T.StructField("cumulativeGasUsed", WIDE, False),
+        T.StructField("effectiveGasPrice", WIDE, False),
+        T.StructField("from", TEXT, True),
+        T.StructField("gasUsed", WIDE, False),
+        T.StructField("status", INT, False),
+        T.StructField("to", TEXT, True),
+        T.StructField("transactionHash", TEXT, False),
+        T.StructField("transactionIndex", LONG, False),
+        T.StructField("type", INT, False),
+    ]
 )
-BLOCK_DETAILS = _struct(
-    "baseFeePerGas:wide blobGasUsed:wide excessBlobGas:wide extraData:text gasLimit:wide "
-    "gasUsed:wide hash:text miner:text number:wide receiptsRoot:text size:wide timestamp:wide"
+BLOCK_DETAILS = T.StructType(
+    [
+        T.StructField("baseFeePerGas", WIDE, True),
+        T.StructField("blobGasUsed", WIDE, True),
+        T.StructField("excessBlobGas", WIDE, True),
+        T.StructField("extraData", TEXT, True),
+        T.StructField("gasLimit", WIDE, True),
+        T.StructField("gasUsed", WIDE, True),
+        T.StructField("hash", TEXT, False),
+        T.StructField("miner", TEXT, True),
+        T.StructField("number", WIDE, False),
+        T.StructField("receiptsRoot", TEXT, True),
+        T.StructField("size", WIDE, True),
+        T.StructField("timestamp", WIDE, True),
+    ]
 )
-TRANSACTION_DETAILS = _struct(
-    "blockHash:text blockNumber:wide chainId:wide from:text gas:wide gasPrice:wide hash:text "
-    "maxFeePerGas:wide maxPriorityFeePerGas:wide nonce:long to:text transactionIndex:long "
-    "type:long value:wide"
+TRANSACTION_DETAILS = T.StructType(
+    [
+        T.StructField("blockHash", TEXT, False),
+        T.StructField("blockNumber", WIDE, False),
+        T.StructField("chainId", WIDE, True),
+        T.StructField("from", TEXT, True),
+        T.StructField("gas", WIDE, True),
+        T.StructField("gasPrice", WIDE, True),
+        T.StructField("hash", TEXT, False),
+        T.StructField("maxFeePerGas", WIDE, True),
+        T.StructField("maxPriorityFeePerGas", WIDE, True),
+        T.StructField("nonce", LONG, True),
+        T.StructField("to", TEXT, True),
+        T.StructField("transactionIndex", LONG, True),
+        T.StructField("type", LONG, True),
+        T.StructField("value", WIDE, True),
+    ]
 )
-PAYLOADS = _struct(
-    "slot:long parent_hash:text block_hash:text builder_pubkey:text proposer_pubkey:text "
-    "proposer_fee_recipient:text gas_limit:long gas_used:long value:wide num_tx:long "
-    "block_number:long"
+PAYLOADS = T.StructType(
+    [
+        T.StructField("slot", LONG, False),
+        T.StructField("parent_hash", TEXT, False),
+        T.StructField("block_hash", TEXT, False),
+        T.StructField("builder_pubkey", TEXT, False),
+        T.StructField("proposer_pubkey", TEXT, False),
+        T.StructField("proposer_fee_recipient", TEXT, False),
+        T.StructField("gas_limit", LONG, False),
+        T.StructField("gas_used", LONG, False),
+        T.StructField("value", WIDE, False),
+        T.StructField("num_tx", LONG, False),
+        T.StructField("block_number", LONG, False),
+    ]
 )
-BLOCK_ROOTS = _struct(
-    "parent_hash:text fee_recipient:text state_root:text receipts_root:text logs_bloom:text "
-    "prev_randao:text block_number:wide gas_limit:wide gas_used:wide timestamp:wide "
-    "extra_data:text base_fee_per_gas:wide block_hash:text transactions_root:text "
-    "withdrawals_root:text block_root:text",
-    "blob_gas_used:wide excess_blob_gas:wide",
+BLOCK_ROOTS = T.StructType(
+    [
+        T.StructField("parent_hash", TEXT, False),
+        T.StructField("fee_recipient", TEXT, False),
+        T.StructField("state_root", TEXT, False),
+        T.StructField("receipts_root", TEXT, False),
+        T.StructField("logs_bloom", TEXT, False),
+        T.StructField("prev_randao", TEXT, False),
+        T.StructField("block_number", WIDE, False),
+        T.StructField("gas_limit", WIDE, False),
+        T.StructField("gas_used", WIDE, False),
+        T.StructField("timestamp", WIDE, False),
+        T.StructField("extra_data", TEXT, False),
+        T.StructField("base_fee_per_gas", WIDE, False),
+        T.StructField("block_hash", TEXT, False),
+        T.StructField("transactions_root", TEXT, False),
+        T.StructField("withdrawals_root", TEXT, False),
+        T.StructField("blob_gas_used", WIDE, True),
+        T.StructField("excess_blob_gas", WIDE, True),
+        T.StructField("block_root", TEXT, False),
+    ]
 )
 
 

@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="blockscope-"))
     return context.getCheckpointDir()

@@ -32,6 +32,13 @@ def load_manifest(loaded: DataFrame) -> DataFrame:
     )
 
 
+def log_load(loaded: DataFrame, table: str, log: str) -> DataFrame:
+    """Append (table, file, rows) of a load to the Parquet log at ``log``; returns the whole log."""
+    lines = load_manifest(loaded).select(F.lit(table).alias("table"), "file", "rows")
+    lines.write.mode("append").parquet(log)
+    return loaded.sparkSession.read.schema(lines.schema).parquet(log)
+
+
 def full_refresh(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replace what ``path`` holds; with ``by``, only the partitions that ``df`` brings."""
     writer = df.write.mode("overwrite")

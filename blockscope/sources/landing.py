@@ -52,7 +52,7 @@ def _nested(path: tuple[str, ...], inner: T.StructType) -> T.StructType:
 
 
 def classify(raw: DataFrame, schema: T.StructType, path: tuple[str, ...] = ("result",)) -> DataFrame:
-    """key, attempt, reason, body and the typed columns of ``schema``; reason is NULL for good rows.
+    """key, attempt, reason, body and the typed columns of ``schema``; reason and body are NULL for good rows.
 
     A number that cannot be read, or does not fit its column, rejects the response;
     an absent field is NULL.  Works on batch and streaming frames alike.
@@ -85,7 +85,8 @@ def classify(raw: DataFrame, schema: T.StructType, path: tuple[str, ...] = ("res
         "line.key",
         "line.attempt",
         reason.alias("reason"),
-        "line.body",
+        # Only rejects show their body; that of a good row is in its columns.
+        F.when(reason.isNotNull(), F.col("line.body")).alias("body"),
         *[typed(f).alias(f.name) for f in schema.fields],
     )
 

@@ -36,8 +36,48 @@ def run_keep_first(
     )
 
 
+def _finished(spark: SparkSession, out: str) -> tuple[dict[int, str], dict[int, str]]:
+    """Number and folder of the log's batches and of its compactions, only those fully written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, dict[int, str]] = {"batch": {}, "upto": {}}
+    for status in files.listStatus(path):
+        folder = status.getPath()
+        kind, _, number = folder.getName().partition("=")
+        if kind in found and files.exists(folder.suffix("/_SUCCESS")):
+            found[kind][int(number)] = folder.toString()
+    return found["batch"], found["upto"]
+
+
+def _live(batches: dict[int, str], upto: dict[int, str]) -> list[str]:
+    """Folders that hold the log: the last compaction and the batches after it."""
+    last = max(upto, default=-1)
+    return [*[upto[k] for k in upto if k == last], *[p for k, p in sorted(batches.items()) if k > last]]
+
+
 def kept_rows(
     spark: SparkSession, out: str, key: Sequence[str], order: Sequence[Column]
 ) -> DataFrame:
-    """The first row per key over all batches logged so far."""
-    return keep_first(spark.read.parquet(out).drop("batch"), key, order)
+    """The first row per key over all batches logged so far; a batch being written is not seen."""
+    return keep_first(spark.read.parquet(*_live(*_finished(spark, out))), key, order)
+
+
+def compact_log(spark: SparkSession, out: str, key: Sequence[str], order: Sequence[Column]) -> None:
+    """Reduce the log to one folder of first rows, then remove the folders it stands for.
+
+    Run it between runs of the stream.  Cut short, it leaves the log as it was, or with
+    folders that the next compaction removes.
+    """
+    batches, upto = _finished(spark, out)
+    if not batches:
+        return
+    last = max(batches)
+    if last not in upto:
+        keep_first(spark.read.parquet(*_live(batches, upto)), key, order).write.mode("overwrite").parquet(
+            f"{out}/upto={last}"
+        )
+    jvm = spark.sparkContext._jvm
+    old = [*[p for k, p in batches.items() if k <= last], *[p for k, p in upto.items() if k < last]]
+    for folder in map(jvm.org.apache.hadoop.fs.Path, old):
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(folder, True)

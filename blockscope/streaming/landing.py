@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from blockscope.sources.landing import LANDED_LINE, classify
 
@@ -15,8 +16,10 @@ def read_landed_stream(spark: SparkSession, path: str, files_per_batch: int = 10
     )
 
 
-def run_available(df: DataFrame, out: str, checkpoint: str, by: list[str] | None = None) -> None:
-    """Append what is new since the last run to Parquet, then stop.
+def run_available(
+    df: DataFrame, out: str, checkpoint: str, by: list[str] | None = None
+) -> StreamingQuery:
+    """Append what is new since the last run to Parquet, then stop; returns the ended query.
 
     The checkpoint knows the files already taken, and the sink's log lists each
     batch's files once, so a run that was cut short can simply be repeated.
@@ -29,7 +32,9 @@ def run_available(df: DataFrame, out: str, checkpoint: str, by: list[str] | None
     )
     if by:
         writer = writer.partitionBy(*by)
-    writer.start(out).awaitTermination()
+    run = writer.start(out)
+    run.awaitTermination()
+    return run
 
 
 def land_new(

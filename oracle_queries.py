@@ -211,6 +211,14 @@ def _queries() -> dict[str, str]:
         "(select * from size_rows where size <= (select quantile_cont(size, 0.99) from size_rows))",
         "num_blobs", "size", "num_blobs",
     )
+    q["gas_by_blobs_median_ranges"] = median
+    q["box_stats_ranges"] = q["box_stats"]
+    q["non_mev_blocks_hot"] = q["non_mev_blocks"]
+    mine = "from tx where type=3 and lower(to_addr) = '0xab7' group by"
+    q["half_empty_blobs_one_sender"] = f"""select block_root, sum(blob_gas/131072) as num_blobs,
+  {half} as num_half_empty {mine} 1"""
+    q["empty_ratio_one_sender"] = f"""select block_root, {ratio}, sum(blob_gas/131072) as num_blobs
+  {mine} 1, 2"""
     # positions
     shown = f"bin, {cut('lo', 'lo')}, {cut('hi', 'hi')}, n, {cut('density', 'density')}"
     q["blob_position"] = "select block_root, position from tx where type=3"
@@ -274,6 +282,7 @@ def _queries() -> dict[str, str]:
     # tips and payments
     q["miner_tip"] = """select num_blobs, miner_tip from tips
   where miner_tip <= (select quantile_cont(cast(miner_tip as double), 0.95) from tips)"""
+    q["miner_tip_hot"] = q["miner_tip"]
     q["mev_by_blobs"] = """select num_blobs, value/1e18 as mev_extracted from paid
   where value <= (select quantile_cont(value, 0.95) from paid)"""
     q["miner_tip_box"] = box(
@@ -287,6 +296,7 @@ def _queries() -> dict[str, str]:
     # senders
     q["posting_gap"] = "select label, address, slot, num_blobs, slot_increment from gaps"
     q["sender_blob_txns"] = "select label, address, slot, num_blobs, num_blob_txns from posts"
+    q["sender_blob_txns_hot"] = q["sender_blob_txns"]
     q["top_senders"] = "select to_addr, num_blobs from top10"
     q["top_sender_behaviour"] = f"""select t.address, coalesce(l.label, '') as label,
   {cut('median(t.b/t.n)', 'num_blob_per_txn')} from (
@@ -316,6 +326,7 @@ def _queries() -> dict[str, str]:
     q["facet_split"] = "select slot, impl from reorg where impl='lighthouse'"
     q["trim_quantile"] = f"""select hash, {cut('size', 'size')} from block_details
   where size <= (select quantile_cont(size, 0.95) from block_details)"""
+    q["trim_quantile_ranges"] = q["trim_quantile"]
     q["finite_pairs"] = f"""select {cut('empty_size/full_size', 'x')}, {cut('size', 'y')} from tx
   where full_size <> 0 and not (type = 2 and empty_size > 0.05)"""
     q["left_join_fill"] = f"""select r.block_root, {cut('coalesce(d.gas_used, 0)', 'gas_used')}
@@ -326,6 +337,9 @@ def _queries() -> dict[str, str]:
   from blob_seen bb full outer join block_seen bk on bb.client = bk.client and bb.block_root = bk.block"""
     q["gap_to_previous"] = """select address, slot,
   slot - lag(slot) over (partition by address order by slot) as slot_increment from posts"""
+    q["gap_to_previous_null_group"] = """select address, slot,
+  slot - lag(slot) over (partition by address order by slot) as slot_increment from (
+  select distinct case when length(address) > 4 then address end as address, slot from posts)"""
     q["binned_median"] = binned("events", "value/100", "value", 100)
     q["regression_line"] = f"""select {cut('regr_slope(size, x)', 'slope')},
   {cut('regr_intercept(size, x)', 'intercept')}, {cut('regr_r2(size, x)', 'r2')}, cast(count(*) as bigint) as n
@@ -344,6 +358,8 @@ def _queries() -> dict[str, str]:
     q["hex_to_int"] = """select o_orderkey as key, case o_orderpriority when '4-NOT SPECIFIED' then null
   when '5-LOW' then cast(cast(o_orderkey as hugeint) * 18446744073709551616 as varchar)
   else cast(o_orderkey as varchar) end as value from orders"""
+    q["hex_to_int_long"] = """select cast(r_regionkey + 250 as bigint) as key,
+  cast(r_regionkey + 250 as varchar) as value from region"""
     q["int_to_hex"] = "select o_orderkey as key, '0x' || lower(to_hex(o_orderkey)) as value from orders"
     q["bytes_to_text"] = "select o_orderkey as key, o_orderpriority as value from orders"
     # work lists
@@ -351,9 +367,13 @@ def _queries() -> dict[str, str]:
     q["work_list_since"] = "select distinct hash from tx where type=3 and epoch_start >= timestamp '2000-01-01'"
     q["work_list_remaining"] = """select distinct hash from tx where type=3 and hash not in (
   select hash from tx_details where block_hash in (select hash from block_details))"""
+    q["number_work_list"] = """select range as number, '0x' || lower(to_hex(range)) as parameter
+  from range((select max(o_orderkey) + 1 from orders))"""
     q["low_water_mark"] = "select min(slot)-1 as slot from mev"
     # daily files
     q["load_day_range"] = "select event_id, ts, user_id from events where ts >= '2024-01-01' and ts < '2024-01-31'"
+    q["load_days_over_month_end"] = """select event_id, ts + interval 20 days as ts from events
+  where ts + interval 20 days >= '2024-01-28' and ts + interval 20 days < '2024-02-04'"""
     per_day = "select cast(ts as date) as day, cast(count(*) as bigint) as rows from events group by 1"
     q["load_manifest"] = per_day
     q["full_refresh"] = per_day
@@ -400,6 +420,11 @@ def _queries() -> dict[str, str]:
     q["relay_union_dedup"] = f"""select block_hash, relay, {cut('value', 'value')} from (
   select *, row_number() over (partition by block_hash order by relay) as rn from relay_bids) where rn = 1"""
     q["land_relay_pages"] = q["relay_union_dedup"]
+    q["relay_page_rejects"] = """select relay, outcome, cast(count(*) as bigint) as rows from (
+  select distinct relay, 'malformed' as outcome, floor(slot/100) as page, 0 as slot, 0 as value from relay_bids
+    where floor(slot/100)::bigint % 10 = 3
+  union all select relay, case when slot % 50 = 7 then 'bad_number' else 'good' end, 0, slot, value from relay_bids
+    where floor(slot/100)::bigint % 10 <> 3) group by 1, 2"""
     q["typed_append"] = f"select block_hash, {cut('value', 'value')} from relay_bids"
     q["sorted_layout"] = f"select hash, {cut('gas_used', 'gas_used')}, extra_data from block_details"
     q["alternate_layout"] = f"""select block_root, client, impl, {cut('diff_ms', 'diff_ms')} from sidecar
