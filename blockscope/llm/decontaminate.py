@@ -189,7 +189,7 @@ def leaks(
 ) -> DataFrame:
     """(id, item, ``start_word``, ``similarity``): documents that hold a benchmark item, and where best.
 
-    One row per document id and item, at its most similar window, the first among equals.
+    One row per document id and item, at its most similar aligned window, the first among equals.
     Words are runs of letters and digits, so case, punctuation and white space do not
     hide a copy.  Items of fewer words than a shingle are one shingle.  Null and empty
     texts and items match nothing; repeated rows count once; ids may be null.

@@ -70,7 +70,7 @@ def rule_verdict(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def shape_of(path: Column) -> Column:
     """The path with every run of digits as a wildcard, repeated and closing slashes left out."""
     digits = F.regexp_replace(path, "[0-9]+", F.lit(WILD))
-    return F.regexp_replace(F.regexp_replace(digits, "/+", "/"), "(?<=.)/$", "")
+    return F.regexp_replace(F.regexp_replace(digits, "/+", "/"), r"(?s)(?<=.)/\z", "")
 
 
 def _segments(shape: Column) -> Column:

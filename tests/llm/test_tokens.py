@@ -1,0 +1,136 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from blockscope.llm import bpe, queries, token_counts
+from blockscope.llm.common import utf8
+
+WORD, BYTE = bpe.read_vocabulary(queries.WORD_BPE), bpe.read_vocabulary(queries.BYTE_BPE)
+PARTS = [
+    "a", "B", "É", "é", " ", "\n", " ", " ", "\x1c", "\x85", "'s", "'LL", "'", "İ", "Σ", "ΣΑΣ", "ς", "ß",
+    "1", "²", "Ⅷ", "中", "文", "한국", "😀", "🏽", "<|endoftext|>", "<|startoftext|>", "<|END", "...", "!!", "_", "-",
+    "​", "﻿", "̀", "the", "ing", "tion", "\t", "\r\n", "hello", "ﬁ", "ǅ", "\x00", "　", "  ", "   ",
+]
+
+
+def library(name):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    return tokenizer
+
+
+@pytest.fixture(scope="module")
+def word():
+    return bpe.WordBpe(WORD), library("word_bpe_49k.json")
+
+
+def mixed(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_ids_and_decoding_equal_the_library(word):
+    mine, theirs = word
+    texts = mixed(4000, 1) + ["", "antidisestablishmentarianism " * 3, "x" * 5000, "aaaaaaaaaaaaaaaaa " * 4]
+    for text, (n, ids, out) in zip(texts, bpe.encode_texts(mine, [t.encode() for t in texts], {})):
+        encoded = theirs.encode(text, add_special_tokens=False).ids
+        assert ids.decode() == " ".join(map(str, encoded)) and n == len(encoded), repr(text)
+        assert out.decode() == theirs.decode(encoded, skip_special_tokens=False), repr(text)
+
+
+def test_compatibility_is_what_exact_merging_gives(word):
+    mine, _ = word
+    rng = np.random.default_rng(4)
+    inner = np.array([i for t, i in mine.vocab.items() if not t.endswith(mine.end)])
+    last = np.array([i for t, i in mine.vocab.items() if t.endswith(mine.end) and t != mine.end])
+    a, b = rng.choice(inner, 6000), rng.choice(last, 6000)
+    good = mine.compatible(a, b)
+    for x, y, fits in zip(a.tolist(), b.tolist(), good):
+        symbols = mine.symbols(mine.names[x] + mine.names[y].removesuffix(mine.end))
+        assert (mine.merged([symbols])[0] == [x, y]) == bool(fits)
+
+
+def test_proposals_that_fail_are_merged_exactly(word):
+    mine, theirs = word
+    rng = random.Random(8)
+    words = ["".join(rng.choice(["th", "tion", "er", "and", "ou", "ing", "es", "sch"]) for _ in range(4)) for _ in range(300)]
+    exact = mine.encode_words(words)
+    assert exact == [theirs.encode(w, add_special_tokens=False).ids for w in words]
+    assert [mine.greedy(w) for w in words] != exact  # some were wrong, so the check had work
+
+
+def docs(spark, rows):
+    kind = "doc_id long, text string, id int, found int, block int, n_tokens string"
+    return spark.createDataFrame([(i, t, 0, 0, 0, "x") for i, t in rows], kind)
+
+
+EDGE = [(1, None), (2, ""), (3, " \n"), (4, "one"), (4, "one"), (None, "two words"), (5, "thtion andbl, " * 40_000),
+        (6, "<|endoftext|>a<|endoftext|>")]
+
+
+def test_round_trip_rows(spark, word):
+    out = bpe.encode_documents(docs(spark, EDGE), WORD)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def expected(i, text):
+        ids = word[1].encode(text or "", add_special_tokens=False).ids
+        text = word[1].decode(ids, skip_special_tokens=False)
+        digests = (hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), text))
+        return (i, len(ids), *digests)
+
+    assert sorted(map(tuple, out.collect()), key=str) == sorted((expected(*r) for r in EDGE), key=str)
+    assert bpe.encode_documents(docs(spark, []), WORD).count() == 0
+
+
+def test_ids_and_text_as_columns(spark, word):
+    rows = [(k, t) for k, t in enumerate(mixed(200, 7))] + [(999, None)]
+    df = docs(spark, rows).select("doc_id", bpe.ids_of(utf8("text"), WORD).alias("ids"))
+    df = df.withColumn("out", bpe.decoded_of(F.col("ids"), WORD))
+    texts = dict(rows)
+    for r in df.collect():
+        ids = word[1].encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.out == word[1].decode(ids, skip_special_tokens=False)
+
+
+def test_counts_equal_the_library(spark, monkeypatch):
+    theirs = library("byte_bpe_50k.json")
+    rows = [(k, t) for k, t in enumerate(mixed(1500, 2))] + [(10_000 + (i or 0), t) for i, t in EDGE]
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 3000)  # many blocks
+    out = token_counts.count_tokens(docs(spark, rows).repartition(5), BYTE)
+    assert out.columns == ["doc_id", "n_bytes", "n_tokens"]
+    got = sorted(map(tuple, out.collect()))
+    expected = [(i, len((t or "").encode()), len(theirs.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert got == sorted(expected)
+
+
+def test_counts_of_null_ids_and_empty_table(spark):
+    assert token_counts.count_tokens(docs(spark, []), BYTE).count() == 0
+    out = token_counts.count_tokens(docs(spark, [(None, "one"), (None, "one")]), BYTE).collect()
+    assert list(map(tuple, out)) == [(None, 3, 1)] * 2
+
+
+def test_pieces_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 10)
+    counter = token_counts.PieceCounter(BYTE)
+    words = [f" qz{k}x" for k in range(25)]
+    theirs = library("byte_bpe_50k.json")
+    for _ in range(3):
+        assert counter.counts(words).tolist() == [len(theirs.encode(w, add_special_tokens=False).ids) for w in words]
+
+
+def test_whole_tables_equal_the_library(spark):
+    home = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{home}/documents.parquet").collect()}
+    by, wo = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+    for r in queries.op8_token_counts(spark, home).collect():
+        n = len(by.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_tokens, r.over_limit) == (n, n > 512)
+    for r in queries.op9_bpe_round_trip(spark, home).collect():
+        ids = wo.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()

@@ -1,0 +1,126 @@
+import base64
+import gzip
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from blockscope.llm import queries, warc
+from blockscope.session import run_dir
+
+HTML = "<html>" + "page " * 40 + "</html>"
+
+
+def record(kind="response", payload=b"payload", digest=None, extra=""):
+    digest = digest or "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Payload-Digest: {digest}\r\n{extra}Content-Length: {len(payload)}\r\n\r\n"
+    return head.encode() + payload + b"\r\n\r\n"
+
+
+def kinds(data):
+    return [(f.get("warc-type"), why, at, end) for at, end, why, f, _ in warc.salvage(data)]
+
+
+def test_sound_archives_have_no_gap():
+    a, b = record(payload=b""), record("metadata", b"WARC/1.0\r\n in the payload\r\n\r\n")
+    assert kinds(b"") == []
+    assert kinds(a + b) == [("response", None, 0, len(a)), ("metadata", None, len(a), len(a + b))]
+    member = gzip.compress(a) + gzip.compress(b)
+    assert [k[:2] for k in kinds(member)] == [("response", None), ("metadata", None)]
+
+
+def test_damage_is_quarantined_and_the_rest_recovered():
+    a, bad, b = record(payload=b"one"), record(payload=b"two", digest="sha256:00"), record(payload=b"three")
+    found = kinds(a + bad + b"rubbish" + b)
+    at = len(a + bad) + 7
+    assert found == [
+        ("response", None, 0, len(a)),
+        (None, "payload digest", len(a), at),
+        ("response", None, at, at + len(b)),
+    ]
+    cut = record(payload=b"x" * 50)[:-20]
+    assert kinds(cut) == [(None, "block does not end at its length", 0, len(cut))]
+    assert kinds(b"\0\0" + a)[0] == (None, "no version line", 0, 2)
+
+
+def test_damaged_members_are_passed_over():
+    parts = [gzip.compress(record(payload=f"payload {k}".encode() * 30)) for k in range(3)]
+    broken = bytearray(parts[1])
+    broken[len(broken) // 2] ^= 0xFF
+    found = list(warc.salvage(parts[0] + bytes(broken) + parts[2]))
+    assert [(f[2] is None) for f in found] == [True, False, True]
+    assert found[2][4].startswith(b"payload 2") and found[1][:2] == (len(parts[0]), len(parts[0] + parts[1]))
+    assert [f[2] for f in warc.salvage(parts[0][:-3])] == ["member is cut off"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_any_flipped_or_lost_byte_costs_one_record_at_most(seed):
+    rng = random.Random(seed)
+    whole = [record(payload=rng.randbytes(rng.randint(0, 300))) for _ in range(6)]
+    data, at = bytearray(b"".join(whole)), 0
+    at = rng.randrange(len(data))
+    if seed % 2:
+        data[at] ^= 1 << rng.randrange(8)
+    else:
+        del data[at]
+    found = list(warc.salvage(bytes(data)))
+    good = [f for f in found if f[2] is None]
+    assert len(good) >= 5
+    # records and gaps cover the file, in order, without overlap
+    assert [f[0] for f in found] == [0, *[f[1] for f in found][:-1]] and found[-1][1] == len(data)
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, bytes int")
+
+
+def test_archives_read_back(spark):
+    rows = [
+        (5, "http://a/\r\nb", HTML), (3, "http://b/", HTML), (9, None, HTML), (9, None, HTML), (3, "u", HTML), (7, "http://c/", None),
+        (8, "http://c/", ""), (1, "é", "short"), (2, "é", "short"), (None, "n", HTML), (4, "x", "WARC/1.1\r\n\r\n" * 900),
+        (6, "long", "ä" * 300_000),
+    ]
+    home = run_dir(spark, "archives-test")
+    warc.write_archives(pages(spark, rows), home)
+    out = warc.read_archives(spark, home, payloads=True).collect()
+    assert len(out) == len(rows) and all(r.gap is None for r in out)
+    texts = {}
+    for page_id, _, html in rows:
+        texts.setdefault(page_id, []).append(html or "")
+    for r in out:
+        page = warc._PAGE.match(r.record_id)[1]
+        page = int(page) if page else None
+        html = texts[page][0].encode()
+        again = page in (5, 9)
+        assert (r.record_type, r.payload_bytes) == ("revisit" if again else "response", len(html))
+        assert r.payload_digest == hashlib.sha256(html).hexdigest()
+        assert r.payload == (b"" if again else html)
+        assert bool(r.refers_to) == again and (not again or "page:3:" in r.refers_to)
+    query = spark.createDataFrame([("<urn:page:3:0123456789abcdef>",), ("<urn:page::0123456789abcdef>",), (None,)], "r string")
+    assert [x[0] for x in query.select(warc.page_of(F.col("r"))).collect()] == ["3", None, None]
+
+
+def test_empty_table(spark):
+    home = run_dir(spark, "archives-empty")
+    warc.write_archives(pages(spark, []), home)
+    assert warc.read_archives(spark, home).count() == 0
+
+
+def test_damaged_files_give_gaps_as_rows(spark, tmp_path):
+    data = record(payload=b"one") + b"junk" + record(payload=b"two")
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(payload=b"three")) + zlib.compress(b"x"))
+    (tmp_path / "c.warc").write_bytes(b"")
+    out = warc.read_archives(spark, str(tmp_path)).collect()
+    gaps = {(r.path[-6:], r.offset, r.size, r.gap) for r in out if r.gap}
+    first = len(record(payload=b"one"))
+    assert ("a.warc", first, 4, "no version line") in gaps and len(gaps) == 2
+    assert sum(r.gap is None for r in out) == 3
+
+
+def test_query_covers_every_page(spark):
+    home = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{home}/pages.parquet").count()
+    assert queries.op5_warc(spark, home).select("page_id").distinct().count() == n
