@@ -64,7 +64,7 @@ def quoted_passages(text: Column) -> Column:
     def at_level(level: Column) -> Column:
         body = F.transform(lines, lambda x: F.when(x["level"] == level, x["body"]).otherwise(F.lit("\x00")))
         runs = F.split(F.array_join(body, "\n"), "\n?\x00\n?")
-        runs = F.filter(runs, lambda r: F.trim(r) != "")
+        runs = F.filter(runs, lambda r: normalised(r) != "")
         return F.transform(runs, lambda r: F.struct(level.alias("level"), r.alias("passage")))
 
     none = F.array().cast("array<struct<level:int,passage:string>>")
