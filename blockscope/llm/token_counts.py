@@ -7,6 +7,7 @@ sum back to its block.  No token id is ever made into a row.
 """
 
 import json
+import os
 import struct
 import zlib
 from collections import Counter
@@ -30,14 +31,16 @@ PRE_TOKEN = (
 #: UTF-8 bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Distinct pre-tokens a task remembers before it starts anew.
-REMEMBERED = 400_000
-BUCKETS_PER_PARTITION = 2
+REMEMBERED = 200_000
+#: Buckets at least; more shuffle partitions have as many.
+LEAST_BUCKETS = 64
 
 
 class PieceCounter:
     """Pieces of single pre-tokens by a byte-level vocabulary file."""
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         file = json.loads(vocabulary)
@@ -69,18 +72,20 @@ def single_pieces(vocabulary: str) -> set[str]:
 
 # --- blocks ------------------------------------------------------------------------------------
 def _packed(*arrays: np.ndarray) -> bytes:
-    parts = [a.astype("<u4").tobytes() for a in arrays]
-    head = struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts))
-    return zlib.compress(head + b"".join(parts), 1)
+    """Whole numbers, each array in the narrowest type that holds it."""
+    out = b""
+    for a in arrays:
+        a = a.astype(np.min_scalar_type(int(a.max(initial=0))))
+        out += struct.pack("<BQ", a.itemsize, len(a)) + a.tobytes()
+    return zlib.compress(out, 1)
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
-    data = zlib.decompress(data)
-    n = struct.unpack_from("<I", data)[0]
-    sizes, at, out = struct.unpack_from(f"<{n}I", data, 4), 4 + 4 * n, []
-    for size in sizes:
-        out.append(np.frombuffer(data, "<u4", size // 4, at).astype(np.int64))
-        at += size
+    data, at, out = zlib.decompress(data), 0, []
+    while at < len(data):
+        width, n = struct.unpack_from("<BQ", data, at)
+        out.append(np.frombuffer(data, f"<u{width}", n, at + 9).astype(np.int64))
+        at += 9 + width * n
     return out
 
 
@@ -139,13 +144,16 @@ class Block:
                 "bucket": b,
                 "block": block,
                 "words": zlib.compress(b"".join([texts[k] for k in mine]), 1),
-                "postings": _packed(lengths[mine], word[at:to] - low, owner[at:to], often[at:to]),
+                "postings": _packed(
+                    lengths[mine], np.bincount(word[at:to] - low, minlength=high - low), owner[at:to], often[at:to]
+                ),
             }
 
 
 def document_sums(row: dict, counter: PieceCounter) -> tuple[np.ndarray, np.ndarray]:
     """Places of documents in their block, and the pieces of a bucket's pre-tokens in each."""
-    lengths, word, owner, often = _unpacked(row["postings"])
+    lengths, held, owner, often = _unpacked(row["postings"])
+    word = np.repeat(np.arange(len(lengths)), held)
     data, ends = zlib.decompress(row["words"]), np.cumsum(lengths).tolist()
     words = [data[s:e].decode("utf-8", "surrogatepass") for s, e in zip([0, *ends], ends)]
     sums = np.bincount(owner, weights=often * counter.counts(words)[word]).astype(np.int64)
@@ -166,7 +174,7 @@ def count_tokens(
     single = docs.sparkSession.sparkContext.broadcast(single_pieces(vocabulary))  # at most the vocabulary
     special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS_PER_PARTITION * partitions
+    buckets = max(LEAST_BUCKETS, partitions)
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     cut_kind = (
