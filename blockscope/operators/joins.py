@@ -31,19 +31,18 @@ def hot_keys(
 ) -> DataFrame:
     """Keys, NULL among them, that hold more than 1/share of the rows, counted on a drawn part.
 
-    Fewer than ``share`` keys can pass, whatever the size of the data.  The keys only
-    decide how work is divided: no result depends on them.  They are settled, so that
-    all that use them see the same.
+    Fewer than ``share`` keys can pass, whatever the size of the data, so they are fetched
+    and sent out with the plan.  They only decide how work is divided: no result depends on
+    them.
     """
     keys = df.select(*on)
     drawn = keys if rate >= 1 else keys.sample(rate, seed=1)
     per_key = drawn.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = per_key.agg(F.sum("__n")).scalar()
-    return settled(
-        per_key.where(
-            (F.col("__n") / F.lit(rate) >= F.lit(min_rows)) & (F.col("__n") * F.lit(share) > total)
-        ).select(*on, F.lit(True).alias(_HOT))
-    )
+    hot = per_key.where(
+        (F.col("__n") / F.lit(rate) >= F.lit(min_rows)) & (F.col("__n") * F.lit(share) > total)
+    ).select(*on, F.lit(True).alias(_HOT))
+    return df.sparkSession.createDataFrame(hot.limit(share).collect(), hot.schema)
 
 
 def sent_whole(df: DataFrame) -> tuple[DataFrame, bool]:
@@ -54,8 +53,9 @@ def sent_whole(df: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _null_salt(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows with a NULL key, which match nothing, get a salt of their own each; all others 0."""
-    others = F.xxhash64(*[c for c in df.columns if c not in on])
+    """Rows with a NULL key, which match nothing, get a salt from their other columns; all others 0."""
+    rest = [c for c in df.columns if c not in on]
+    others = F.xxhash64(*rest) if rest else F.lit(0).cast("long")
     return df.withColumn(_SALT, F.when(_any_null(on), others).otherwise(F.lit(0).cast("long")))
 
 
@@ -69,18 +69,18 @@ def skew_join(
 ) -> DataFrame:
     """Join a fact side whose keys may be hot with a side that has few rows per key.
 
-    Rows of hot keys (``hot_keys`` unless given) do not travel: they meet the few right
+    Without ``hot`` this is the plain join, whose skewed partitions Spark splits as it
+    runs.  Where the hot keys are known beforehand (``hot_keys``), as when one join is run
+    over and over, their rows do not travel: they meet the few right
     rows of those keys where they are, be they copies of one row or not.  So do left
     rows with a NULL key, which match nothing.  All other rows are joined as usual.
     With ``one_row_per_key`` the hot right rows are fewer than the hot keys' bound and
     are broadcast; otherwise they are counted, and where they are more than
     ``MOST_SENT`` the hot keys are each shared by many tasks instead (``repeat_join``).
-    Where no key is hot this is the plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not do {how}")
-    hot = hot_keys(left, on) if hot is None else hot
-    if hot.isEmpty():
+    if hot is None or hot.isEmpty():
         return left.join(right, list(on), how)
     # Bounded broadcast: fewer rows than the share that makes a key hot.
     hot = F.broadcast(hot)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from blockscope.functions import scalars
 from blockscope.operators import joins
 from blockscope.operators.quantiles import grouped_quantiles, trim_quantile
-from blockscope.operators.shaping import stack_series
 from blockscope.operators.summaries import box_stats
 from blockscope.plans.tables import ChainTables, Settings
 from blockscope.session import settled
@@ -104,16 +103,20 @@ def gas_series(t: ChainTables, s: Settings = Settings()) -> DataFrame:
         )
     )
 
-    def mean(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("num_blobs").agg(F.avg("gas_used").alias("gas_used"))
-
-    mev = marked.where("mev")
-    return stack_series(
-        {
-            "All": mean(marked),
-            "Non-MEV": mean(marked.where(~F.col("mev"))),
-            "MEV": grouped_quantiles(mev, ["num_blobs"], "gas_used", {"gas_used": 0.5}),
-        }
+    other = F.when(~F.col("mev"), F.col("gas_used"))
+    means = marked.groupBy("num_blobs").agg(
+        F.avg("gas_used").alias("all"),
+        F.avg(other).alias("other"),
+        F.count_if(~F.col("mev")).alias("others"),
+    )
+    both = F.array(
+        F.struct(F.lit("All").alias("series"), F.col("all").alias("gas_used"), F.lit(True).alias("there")),
+        F.struct(F.lit("Non-MEV"), F.col("other"), F.col("others") > 0),
+    )
+    means = means.select("num_blobs", F.inline(both)).where("there")
+    medians = grouped_quantiles(marked.where("mev"), ["num_blobs"], "gas_used", {"gas_used": 0.5})
+    return means.select("series", "num_blobs", "gas_used").unionByName(
+        medians.withColumn("series", F.lit("MEV"))
     )
 
 

@@ -77,6 +77,43 @@ def test_hot_rows_do_not_travel(spark, facts, facts_dim):
     assert len(stays) == 2 and "BroadcastHashJoin" in stays[1]
 
 
+def test_hot_rows_do_not_travel_without_the_flag(spark, facts, facts_dim):
+    """The few right rows are counted and sent; a right side with too many is repeated instead."""
+    hot = joins.hot_keys(facts, ["k"], share=10, min_rows=1, rate=1.0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.skew_join(facts, facts_dim, ["k"], how="left", hot=hot)
+        text = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stays = text.split("Union")[1].split("SortMergeJoin")
+    assert len(stays) == 2 and "BroadcastHashJoin" in stays[1]
+    assert rows(got) == rows(facts.join(facts_dim, ["k"], "left"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_too_many_hot_right_rows_are_repeated(spark, monkeypatch, facts, facts_dim, how):
+    hot = joins.hot_keys(facts, ["k"], share=10, min_rows=1, rate=1.0)
+    monkeypatch.setattr(joins, "MOST_SENT", 0)
+    got = joins.skew_join(facts, facts_dim, ["k"], how=how, hot=hot)
+    assert rows(got) == rows(facts.join(facts_dim, ["k"], how))
+
+
+def test_null_keys_are_spread_in_membership(spark):
+    """The anti join is dealt by the key and a salt that NULL keys have of their own."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).select(F.when(F.col("id") > 90, F.col("id")).alias("k"), "id")
+        keys = spark.createDataFrame([(95,), (None,)], "k long")
+        got = joins.not_in(df, keys, ["k"])
+        text = got._jdf.queryExecution().executedPlan().toString()
+        n = got.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n == 99 and got.columns == ["k", "id"]
+    assert "__salt" in text.split("SortMergeJoin")[1]
+
+
 def test_left_join_fill_fills_unmatched_rows_only(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d")], "k long, l string")
     right = spark.createDataFrame([(1, 10), (3, None)], "k long, v int")
