@@ -109,13 +109,13 @@ def gas_series(t: ChainTables, s: Settings = Settings()) -> DataFrame:
         F.avg(other).alias("other"),
         F.count_if(~F.col("mev")).alias("others"),
     )
-    both = F.array(
-        F.struct(F.lit("All").alias("series"), F.col("all").alias("gas_used"), F.lit(True).alias("there")),
-        F.struct(F.lit("Non-MEV"), F.col("other"), F.col("others") > 0),
-    )
+    def entry(series: str, value: str, there: Column) -> Column:
+        return F.struct(F.lit(series).alias("series"), F.col(value).alias("gas_used"), there.alias("there"))
+
+    both = F.array(entry("All", "all", F.lit(True)), entry("Non-MEV", "other", F.col("others") > 0))
     means = means.select("num_blobs", F.inline(both)).where("there")
     medians = grouped_quantiles(marked.where("mev"), ["num_blobs"], "gas_used", {"gas_used": 0.5})
-    return means.select("series", "num_blobs", "gas_used").unionByName(
+    return means.select("num_blobs", "gas_used", "series").unionByName(
         medians.withColumn("series", F.lit("MEV"))
     )
 
