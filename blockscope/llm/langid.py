@@ -165,8 +165,11 @@ def keep_known(
     """The documents whose language is known: not ``und``, and at least ``least`` near a profile.
 
     The bound only rejects text that shares next to no gram with any language learned.
-    All columns are kept and no row moves.
+    All columns are kept and no row moves.  If no row has a language to learn from, all text
+    with a letter is kept.
     """
     learned = profiles(docs.where(~held_out(id_col)), text_col, lang_col)
+    if not learned:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     found = language_of(F.col(text_col), learned)
     return docs.where((found["lang"] != UNKNOWN) & (found["score"] >= least))

@@ -65,5 +65,81 @@ from (
 """
 
 
+
+def _tree_levels(levels: int) -> str:
+    """The template after each level: wild children are small ones of many, and those like their node."""
+    out = ""
+    for k in range(1, levels + 1):
+        pooled = "(ag / greatest(al, 1))"
+        out += f"""
+child{k} as (
+  select host, template, segments[{k}] as segment, sum(n) as n, sum(labelled) as l, sum(good) as g
+  from tree{k - 1} where len(segments) >= {k} group by all),
+key{k} as (
+  select host, template, segment,
+    case when (b > 16 and n * 16 < an) or abs(g - l * {pooled}) <= 2.0 * sqrt(l * {pooled} * (1 - {pooled})) + 1e-9
+      then '*' else segment end as key
+  from child{k} join (
+    select host, template, count(*) as b, sum(n) as an, sum(l) as al, sum(g) as ag from child{k} group by all)
+  using (host, template)),
+tree{k} as (
+  select t.host, t.shape, t.segments, t.n, t.labelled, t.good,
+    case when key is null then t.template else t.template || '/' || key end as template
+  from tree{k - 1} t left join key{k} k
+    on k.host = t.host and k.template = t.template and k.segment = t.segments[{k}]),"""
+    return out
+
+
+def _urls() -> str:
+    """Rules as cases, longest first; the tree of ``url_templates`` with its eight levels."""
+    fits = "host = '{0}' or host like '%.{0}'"
+    rules = [("example.com/de/", "block"), ("example.net/en/", "allow"), ("org/fr/", "allow"), ("net/", "block")]
+    cases = [
+        f"when ({fits.format(rule.partition('/')[0])}) and starts_with(path, '/{rule.partition('/')[2]}') then '{rule}'"
+        for rule, _ in rules
+    ]
+    verdicts = " ".join(f"when '{rule}' then '{verdict}'" for rule, verdict in rules)
+    split = r"'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    parts = f"""translate(regexp_extract(coalesce(url, ''), {split}, 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(coalesce(url, ''), {split}, 2) as path"""
+    return f"""
+with numbered as (
+  select url, try_cast(regexp_extract(url, '/([0-9]{{1,18}})(?:[./?#]|$)', 1) as bigint) as doc_id from pages),
+urls as (
+  select url, cast(null as boolean) as good from pages
+  union all select url, quality = 1 and toxic = 0 from numbered join labels using (doc_id)
+    where (quality = 1 and toxic = 0) is not null),
+shaped as (
+  select host, path, good, regexp_replace(
+    regexp_replace(regexp_replace(path, '[0-9]+', '*', 'g'), '/+', '/', 'g'), '(.)/$', '\\1') as shape
+  from (select good, {parts} from urls)),
+counted as (
+  select host, shape, count(*) as n, count(good) as labelled, coalesce(sum(good::int), 0) as good,
+    list_filter(string_split(shape, '/'), lambda x: x <> '') as s
+  from shaped group by host, shape),
+tree0 as (
+  select host, shape, n, labelled, good, '' as template,
+    case when len(s) <= 8 then s else list_concat(s[1:7], [array_to_string(s[8:], '/')]) end as segments
+  from counted),{_tree_levels(8)}
+pooled as (
+  select host, template, sum(good) as good, sum(labelled) as labelled from tree8 group by all),
+prior as (
+  select case when sum(labelled) > 0 then sum(good) / sum(labelled) else 1.0 end as share from tree8),
+rejected as (
+  select t.host, t.shape, t.template, (p.good + 8.0 * share) / (p.labelled + 8.0) as purity
+  from tree8 t join pooled p using (host, template) cross join prior
+  where (p.good + 8.0 * share) / (p.labelled + 8.0) < 0.5),
+judged as (
+  select page_id, host, path, case {" ".join(cases)} end as rule, regexp_replace(
+    regexp_replace(regexp_replace(path, '[0-9]+', '*', 'g'), '/+', '/', 'g'), '(.)/$', '\\1') as shape
+  from (select page_id, {parts} from pages))
+select page_id, host, path, rule,
+  coalesce(case rule {verdicts} end, case when purity is not null then 'block' else 'allow' end) as verdict,
+  template as rejected_template, purity
+from judged left join rejected using (host, shape)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_leaks": LEAKS, "op5_warc": WARC}
+    return {"op4_benchmark_leaks": LEAKS, "op5_warc": WARC, "op6_url_templates": _urls()}

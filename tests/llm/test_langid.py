@@ -89,6 +89,8 @@ def test_nothing_learned_and_empty_table(spark):
     assert langid.predict_languages(rows(spark, [])).count() == 0
     out = langid.predict_languages(rows(spark, [(1, EN, None, None, None)])).first()
     assert (out.lang_pred, out.score) == ("und", 0.0)
+    unlabelled = rows(spark, [(1, EN, None, None, None), (2, "12", None, None, None), (3, None, None, None, None)])
+    assert [r.doc_id for r in langid.keep_known(unlabelled).collect()] == [1]
 
 
 def test_held_out_accuracy(spark):
