@@ -8,6 +8,7 @@ The text runs unchanged in Spark SQL and in the oracle's SQL.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from blockscope.plans.tables import ChainTables, Settings
 from blockscope.session import prepare_session
@@ -58,8 +59,16 @@ DRIVER_TABLES = ("orders", "lineitem", "events", "supplier", "customer")
 SETTINGS = Settings(fork="2024-01-13", before_fork_end="2024-01-05")
 
 
+# Schemas by path, so that the footers of a table are asked once and not for every query.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    reader = prepare_session(spark).read
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = reader.parquet(path).schema
+    return reader.schema(_SCHEMAS[path]).parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
