@@ -33,7 +33,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that name a part which is not the article.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|popup|modal|"
+    r"(?:^|[\s_-])(?:ad(?:s|box|slot|unit|vert\w*)?|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|disclaimer|notices?|alert|popup|modal|"
     r"newsletter|subscribe|nav\w*|menu|breadcrumbs?|side-?bar|footer|masthead|toolbar|share|social|"
     r"related|recommend\w*|comments?|commentlist|respond|disqus|repl(?:y|ies)|contentinfo|"
     r"complementary|search|login|signup|pagination|pager|widget\w*)(?:$|[\s_-])",
@@ -72,6 +72,8 @@ class Lines(HTMLParser):
             return "silent"
         if tag in BOILERPLATE and not (tag == "header" and self.count["article"]):
             return "boilerplate"
+        if any(k == "hidden" for k, _ in attrs):
+            return "boilerplate"
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         if named and tag not in ("html", "body", "main"):
             if (COMMENT if tag == "article" else NAMED).search(named):

@@ -36,6 +36,7 @@ LONG = "A paragraph that is long enough to be taken for text by its length alone
         ("<head><title>t</title><body><article><p>text</article>", "text"),
         ("<article><header><h1>Title</h1></header><p>text</p></article>", "Title\ntext"),
         ("<article><p class=ad>buy<p>text</article>", "text"),
+        ("<article><p hidden>unseen</p><p class='adbox top'>buy</p><p class=address>Main St</p></article>", "Main St"),
     ],
 )
 def test_main_text(page, text):
