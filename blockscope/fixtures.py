@@ -32,7 +32,7 @@ VIEWS: dict[str, str] = {
   from orders where o_orderpriority <> '4-NOT SPECIFIED'""",
     "mev": """select o_orderkey as slot, o_orderkey as block_hash, o_totalprice as value from orders
   join customer on o_custkey = c_custkey
-  where o_orderstatus = 'F' and c_mktsegment in ('BUILDING', 'MACHINERY')""",
+  where o_orderstatus <> 'P' and c_mktsegment in ('BUILDING', 'HOUSEHOLD', 'MACHINERY')""",
     "relay_bids": """select 'a' as relay, o_orderkey as slot, o_orderkey as block_hash,
   o_totalprice as value from orders where o_orderstatus <> 'P'
 union all select 'b', o_orderkey, o_orderkey, o_totalprice+1 from orders where o_orderstatus <> 'F'
