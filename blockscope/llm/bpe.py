@@ -24,7 +24,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 
 #: Distinct pieces of text whose tokens a worker remembers at most before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Bytes of text whose pieces are encoded together.
 SLICE_BYTES = 4 << 20
 NEVER = np.int64(1) << 60
