@@ -3,7 +3,7 @@
 Markup that is never article text is dropped, the rest becomes one line per block element.  The
 text lengths of neighbouring lines are summed in a sliding window; text starts where the sum
 surges and ends where it dives.  Link lists and lines of boilerplate blocks weigh nothing, so that
-the curve falls to zero on them.
+the curve falls to zero on them; lines in an article or main element weigh more than their length.
 """
 
 import re
@@ -49,7 +49,7 @@ class Line:
     text: str
     linked: int  # characters inside links
     boilerplate: bool
-    inside: int  # 2 in an article element, 1 in a main element, else 0
+    inside: bool  # in an article or main element
 
 
 class Lines(HTMLParser):
@@ -83,7 +83,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = WHITE.sub(" ", "".join(self.text)).strip()
         if text:
-            inside = 2 if self.count["article"] else int(self.count["main"] > 0)
+            inside = self.count["article"] + self.count["main"] > 0
             self.lines.append(Line(text, self.linked, self.count["boilerplate"] > 0, inside))
         self.text, self.linked = [], 0
 
@@ -171,23 +171,23 @@ def spans(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[in
 def main_text(page: str | None) -> str:
     """The article of a page, one line per block; empty if there is none.
 
-    In a page with an article or main element only lines in it weigh, however short or
-    linked; elsewhere lines that are mostly links weigh nothing and text must surge to
-    ``SURGE`` characters.  If nothing does, all lines of weight are the text.
+    Text must surge to ``SURGE`` characters.  A line in an article or main element weighs so
+    much more that it surges by itself, however short or linked; elsewhere lines that are
+    mostly links weigh nothing.  Text outside such elements is found by its own length, whether
+    the page has one or not.  If nothing surges, all lines of weight are the text.
     """
     if not page:
         return ""
     lines = lines_of(page)
-    deepest = max((x.inside for x in lines if not x.boilerplate), default=0)
     weights = [
         0
-        if x.boilerplate or x.inside < deepest or (not deepest and 2 * x.linked > len(x.text))
-        else len(x.text)
+        if x.boilerplate or (not x.inside and 2 * x.linked > len(x.text))
+        else len(x.text) + SURGE * x.inside
         for x in lines
     ]
-    found = spans(weights, 1 if deepest else SURGE) or spans(weights, 1)
+    found = spans(weights, SURGE) or spans(weights, 1)
     kept = [x for low, high in found for x in lines[low:high]]
-    return "\n".join(x.text for x in kept if not x.boilerplate and x.inside >= deepest)
+    return "\n".join(x.text for x in kept if not x.boilerplate)
 
 
 def main_text_of(page: Column) -> Column:

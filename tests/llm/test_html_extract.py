@@ -43,6 +43,24 @@ def test_main_text(page, text):
     assert h.main_text(page) == text
 
 
+LINKS = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>Jobs</a></li></ul>"
+TEASER = "<article><h2><a href=t>More</a></h2><p>teaser</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><h1>T</h1><p>{LONG}</p><p>{LONG}</p></main>{LINKS}{TEASER}", f"T\n{LONG}\n{LONG}\nMore\nteaser"),
+        (f"<main><h1>T</h1><p>{LONG}</p>{TEASER}<p>end</p></main>", f"T\n{LONG}\nMore\nteaser\nend"),
+        (f"{TEASER}{LINKS}<div><p>{LONG}</p><p>short</p></div>{LINKS}", f"More\nteaser\n{LONG}\nshort"),
+        (f"<div>far</div>{LINKS}<article><p>x</p></article>{LINKS}<div>off</div>", "x"),
+        (f"<div>far</div>{LINKS}<div><p>{LONG}</p><p>short</p></div>{LINKS}<div>off</div>", f"{LONG}\nshort"),
+    ],
+)
+def test_window_sums_choose_with_and_without_an_article(page, text):
+    assert h.main_text(page) == text
+
+
 def test_surge_and_dive():
     assert h.spans([0, 50, 0, 0, 5, 0, 0, 0, 60], 40) == [(1, 5), (8, 9)]
     assert h.spans([10, 10, 10], 40) == []
