@@ -1,8 +1,8 @@
 """URL filter with DataFrame functions only: rules first, else a tree of path templates per host.
 
-Level by level a host's paths are generalised: digits become wildcards, children of a node that has
-very many become one wildcard unless they hold a fair share of it, and children whose share of good
-labels does not differ from the node's are merged.  A template is rejected if its smoothed
+Level by level a host's paths are generalised: digits become wildcards, children whose share of good
+labels does not differ from the node's are merged, and of a node that has very many children also
+those that hold little of it and too few labels to tell.  A template is rejected if its smoothed
 purity, the share of good labels, is low.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from blockscope.llm.common import stored
 
 WILD = "*"
-#: A node with more children than this keeps those with a larger share than one in as many.
+#: In a node with more children than this, those with less than one row in as many need ``PRIOR_LABELS`` to stay apart.
 MOST_BRANCHES = 16
 #: Standard errors by which a child's purity must differ from its node's to stay apart.
 APART = 2.0
@@ -100,11 +100,13 @@ def _one_level(tree: DataFrame, level: int) -> DataFrame:
     )
     judged = child.join(whole, node)
     small = (F.col("branches") > MOST_BRANCHES) & (F.col("rows") * MOST_BRANCHES < F.col("all_rows"))
+    # with fewer labels than the prior's worth a template of its own says little; more are never pooled away
+    unsure = small & (F.col("labelled") < PRIOR_LABELS)
     pooled = F.col("all_good") / F.greatest("all_labelled", F.lit(1))
     differs = F.abs(F.col("good") - F.col("labelled") * pooled)
     error = F.sqrt(F.col("labelled") * pooled * (1 - pooled))
     same = differs <= APART * error + F.lit(1e-9)
-    key = F.when(small | same, F.lit(WILD)).otherwise(F.col("segment"))
+    key = F.when(unsure | same, F.lit(WILD)).otherwise(F.col("segment"))
     keys = judged.select(*node, "segment", key.alias("key"))
     joined = here.join(keys, [*node, "segment"], "left")
     longer = F.when(F.col("key").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "key"))

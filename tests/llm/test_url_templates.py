@@ -152,6 +152,19 @@ def test_bad_sections_are_rejected_and_others_not(spark):
     assert blocked == {"/cheap/*"}
 
 
+@pytest.mark.parametrize("sections", [15, 40])
+def test_a_bad_section_is_blocked_among_few_and_among_many(spark, sections):
+    """With the last section all bad; single bad labels of many titles stay with their siblings."""
+    names = ["s" + "abcdefgh"[k // 8] + "abcdefgh"[k % 8] for k in range(sections)]
+    urls = [(25 * k + n, f"http://h/{name}/{n}") for k, name in enumerate(names) for n in range(25)]
+    labels = [(url, f"/{names[-1]}/" not in url) for _, url in urls for _ in range(4)]
+    titles = ["t" + "abcdefgh"[k // 8] + "abcdefgh"[k % 8] for k in range(40)]
+    urls += [(10_000 + k, f"http://g/{x}") for k, x in enumerate(titles)]
+    labels += [(f"http://g/{x}", k > 1) for k, x in enumerate(titles)]
+    blocked = {r[2].split("/")[1] for r in judged(spark, urls, labels) if r[4] == "block"}
+    assert blocked == {names[-1]}
+
+
 def test_edge_rows(spark):
     urls = [(1, None), (2, ""), (3, "x"), (None, "http://a/b"), (4, "http://a/b"), (4, "http://a/b"), (5, "http://a/" + "s/" * 4000), (6, "http://a.net/")]
     labels = [("http://a/b", None), ("http://a/b", False), ("http://a/b", True), (None, False), ("http://unseen/", False)]
