@@ -25,6 +25,14 @@ SLICE = 1 << 20
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BLANK = 32
 
+#: A bound is this share of the score that lies ``SPREAD`` standard deviations below the mean, and
+#: ``HIGHEST`` at most, as a few learning rows lie nearer to their own profile than others do.
+SHARE, SPREAD, HIGHEST = 0.75, 4.0, 0.3
+#: Learning rows of a length from which the language has a bound of its own for that length.
+ENOUGH_ROWS = 30
+#: With so many grams a text is held to half its bound, with more to more of it.
+HALF_BOUND_GRAMS = 16
+
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a whole text, ascending, and how often each occurs.
@@ -112,13 +120,19 @@ def out_of_place(ranked: np.ndarray, profile: np.ndarray, most: int = PROFILE_GR
     return int(np.where(profile[theirs] == ranked, differ, most).sum())
 
 
-def language(text: str | None, learned: dict[str, np.ndarray]) -> tuple[str, float]:
-    """The nearest profile, by name among equals, and its nearness (1: same ranks, 0: no gram shared)."""
+def nearest(text: str | None, learned: dict[str, np.ndarray]) -> tuple[str, float, int]:
+    """The nearest profile, by name among equals, its nearness (1: same ranks, 0: no gram shared), and
+    the number of ranked grams."""
     ranked = ranking(*gram_counts(text))
     if not len(ranked) or not learned:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, len(ranked)
     far, best = min((out_of_place(ranked, profile), lang) for lang, profile in learned.items())
-    return best, 1 - far / (PROFILE_GRAMS * len(ranked))
+    return best, 1 - far / (PROFILE_GRAMS * len(ranked)), len(ranked)
+
+
+def language(text: str | None, learned: dict[str, np.ndarray]) -> tuple[str, float]:
+    """The language and score of ``nearest``."""
+    return nearest(text, learned)[:2]
 
 
 def language_of(text: Column, learned: dict[str, np.ndarray]) -> Column:
@@ -155,6 +169,51 @@ def predict_languages(
     )
 
 
+# --- rejection ---------------------------------------------------------------------------------
+def length_class(grams: int) -> int:
+    """Texts whose numbers of ranked grams have as many binary digits are of one length."""
+    return int(grams).bit_length()
+
+
+def bounds(
+    docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang"
+) -> dict[tuple[str, int | None], float]:
+    """The least score per language and length of text, and per language (None), before ``held_to``.
+
+    It lies well below the scores of the rows whose nearest profile is that of the language
+    they name.  Mean and deviation carry it, so that a few strange rows among many do not.
+    """
+
+    @F.pandas_udf("lang string, score double, length int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [nearest(t, learned) for t in texts]
+        return pd.DataFrame([(a, s, length_class(n)) for a, s, n in found], columns=["lang", "score", "length"])
+
+    rows = docs.select(F.col(lang_col).alias("named"), run(F.col(text_col)).alias("found"))
+    rows = rows.where(F.col("named") == F.col("found.lang")).select("found.*")
+    # sums, so that lengths add up to the language; the learned languages bound the rows
+    cells = rows.groupBy("lang", "length").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("q")
+    )
+    sums: dict[tuple[str, int | None], np.ndarray] = {}
+    for row in cells.collect():
+        cell = np.array([row.n, row.s, row.q])
+        sums[row.lang, None] = sums.get((row.lang, None), 0) + cell
+        if row.n >= ENOUGH_ROWS:
+            sums[row.lang, row.length] = cell
+    out = {}
+    for key, (n, s, q) in sums.items():
+        deviation = np.sqrt(max(q / n - (s / n) ** 2, 0.0))
+        out[key] = float(min(HIGHEST, SHARE * (s / n - SPREAD * deviation)))
+    return out
+
+
+def held_to(lang: str, grams: int, found: dict[tuple[str, int | None], float], least: float) -> float:
+    """The score a text must reach: its language's for its length, less for few grams, ``least`` at least."""
+    bound = found.get((lang, length_class(grams)), found.get((lang, None), least))
+    return max(least, bound * grams / (grams + HALF_BOUND_GRAMS))
+
+
 def keep_known(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -162,14 +221,22 @@ def keep_known(
     lang_col: str = "lang",
     least: float = 0.05,
 ) -> DataFrame:
-    """The documents whose language is known: not ``und``, and at least ``least`` near a profile.
+    """The documents whose language is known: not ``und``, and near enough to a profile.
 
-    The bound only rejects text that shares next to no gram with any language learned.
-    All columns are kept and no row moves.  If no row has a language to learn from, all text
-    with a letter is kept.
+    How near follows from the scores of the learning rows (``bounds``), so that text in a
+    language not learned and letter noise go; a few words cannot be told from noise and are
+    held to less, down to ``least``.  All columns are kept and no row moves.  If no row has a
+    language to learn from, all text with a letter is kept.
     """
-    learned = profiles(docs.where(~held_out(id_col)), text_col, lang_col)
+    teaching = docs.where(~held_out(id_col))
+    learned = profiles(teaching, text_col, lang_col)
     if not learned:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    found = language_of(F.col(text_col), learned)
-    return docs.where((found["lang"] != UNKNOWN) & (found["score"] >= least))
+    bound = bounds(teaching, learned, text_col, lang_col)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        found = [nearest(t, learned) for t in texts]
+        return pd.Series([a != UNKNOWN and s >= held_to(a, n, bound, least) for a, s, n in found], dtype=bool)
+
+    return docs.where(known(F.col(text_col)))

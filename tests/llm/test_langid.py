@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blockscope.llm import langid
 
@@ -85,6 +86,40 @@ def test_edge_rows(spark):
     )
 
 
+FINNISH = (
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+    "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä "
+    "julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin, sukupuoleen, kieleen, "
+    "uskontoon, poliittiseen tai muuhun mielipiteeseen perustuvaa erotusta."
+)
+
+
+def test_clean_text_stays_and_unlearned_languages_and_noise_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = np.random.default_rng(7)
+    words = lambda n: " ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(2, 10))) for _ in range(n))
+    strange = [FINNISH, FINNISH * 30, *(words(n) for n in (50, 100, 200, 500, 5000)), "Привет, мир и люди"]
+    added = [(10**9 + k, t) for k, t in enumerate(strange)]
+    some = [(2 * 10**9, "the"), (2 * 10**9 + 1, "und der")]
+    extra = spark.createDataFrame(added + some, "doc_id long, text string").select(
+        *[c if c in ("doc_id", "text") else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    )
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(extra)).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert kept == clean | {i for i, _ in some}
+
+
+def test_bounds_follow_the_learning_rows(spark):
+    data = [(i, EN + " " + str(i), "en", None, None) for i in range(40)]
+    docs = rows(spark, [*data, (99, "zq xj vk", "en", None, None)])
+    learned = langid.profiles(docs)
+    found = langid.bounds(docs, learned)
+    assert set(found) == {("en", None), ("en", langid.length_class(langid.nearest(EN, learned)[2]))}
+    assert max(found.values()) == langid.HIGHEST and min(found.values()) <= langid.HIGHEST
+    assert langid.held_to("en", 400, found, 0.05) > langid.held_to("en", 8, found, 0.05) >= 0.05
+    assert langid.held_to("xx", 400, found, 0.05) == 0.05
+
+
 def test_nothing_learned_and_empty_table(spark):
     assert langid.predict_languages(rows(spark, [])).count() == 0
     out = langid.predict_languages(rows(spark, [(1, EN, None, None, None)])).first()
