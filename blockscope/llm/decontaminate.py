@@ -222,7 +222,25 @@ def leaks(
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; null ids stay."""
-    found = stored(leaks(docs, benchmark, id_col, text_col), "leaks")
-    return without_ids(docs, id_col, found.select(id_col))
+def keep_clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    judge_null_ids: bool = False,
+) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns.
+
+    Rows with a null id stay, or are judged by their text with ``judge_null_ids``.
+    """
+    if not judge_null_ids:
+        found = stored(leaks(docs, benchmark, id_col, text_col), "leaks")
+        return without_ids(docs, id_col, found.select(id_col))
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    by_id = F.concat(F.lit("i"), F.col(id_col).cast("string"))
+    by_text = F.concat(F.lit("t"), F.sha2(F.col(text_col).cast("binary"), 256))
+    keyed = docs.withColumn(key, F.coalesce(by_id, by_text))
+    found = stored(leaks(keyed, benchmark, key, text_col), "leaks")
+    return without_ids(keyed, key, found.select(key)).drop(key)

@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item stay."""
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item stay; one without an id is judged by its text."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), judge_null_ids=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,6 +109,25 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 2, 3, None]
 
 
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    item = "one two three four five six seven"
+    docs = [(None, item), (None, item), (None, "x " * 9 + item), (None, "clean words of its own"), (None, None), (None, ""), (4, item), (5, "clean")]
+    docs, items = frames(spark, docs, [(1, item)])
+    left = d.keep_clean(docs.withColumnRenamed("words", "_key"), items, judge_null_ids=True)
+    assert left.columns == ["doc_id", "text", "_key", "size"]
+    kept = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert kept == sorted([(5, "clean"), (None, ""), (None, "clean words of its own"), (None, None)], key=str)
+
+
+def test_stage_takes_out_copies_without_an_id(spark):
+    import corpus_pipeline
+
+    home = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{home}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(None, item), (None, "clean words of its own")], "doc_id long, text string")
+    assert [r.text for r in corpus_pipeline.decontamination(spark, docs, home).collect()] == ["clean words of its own"]
+
+
 def test_empty_tables(spark):
     full = [(1, "one two three four five")]
     for docs, items in (([], full), (full, []), ([], [])):
