@@ -141,5 +141,45 @@ from judged left join rejected using (host, shape)
 """
 
 
+_TERMS = r"""regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+#: All documents scored for all items, term by term.
+RANKED = f"""
+with split as (
+  select row_number() over () as k, doc_id, {_TERMS} as terms from documents),
+docs as (select k, doc_id, terms, len(terms)::bigint as n from split where len(terms) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as terms from docs),
+lengths as (
+  select k, doc_id, 25 + ((75 * n * total.docs) // total.terms) as m from docs, total),
+held as (
+  select k, term, count(*)::bigint as tf from (select k, unnest(terms) as term from docs) group by k, term),
+weights as (
+  select term, floor(1000 * ln((2 * total.docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select term, count(*)::bigint as df from held group by term), total),
+asked as (
+  select j, item_id, term, count(*)::bigint as times
+  from (select j, item_id, unnest(terms) as term
+    from (select row_number() over () as j, item_id, {_TERMS} as terms from benchmark))
+  group by j, item_id, term),
+scored as (
+  select j, item_id, k, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked join weights using (term) join held using (term) join lengths using (k)
+  group by j, item_id, k, doc_id)
+select item_id, rank, doc_id, score
+from (select item_id, doc_id, score,
+    (row_number() over (partition by j order by score desc, doc_id nulls last))::int as rank
+  from scored where score > 0)
+where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_leaks": LEAKS, "op5_warc": WARC, "op6_url_templates": _urls()}
+    return {
+        "op4_benchmark_leaks": LEAKS,
+        "op5_warc": WARC,
+        "op6_url_templates": _urls(),
+        "op12_ranked_search": RANKED,
+    }
