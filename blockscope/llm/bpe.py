@@ -9,11 +9,14 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockscope.llm.common import utf8
@@ -23,13 +26,16 @@ PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 
-#: Distinct pieces of text whose tokens a worker remembers at most before it starts anew.
-REMEMBERED = 250_000
+#: Bytes of the pieces whose tokens a task remembers at most before it starts anew, ``PIECE_BYTES`` more for each.
+REMEMBERED_BYTES = 40_000_000
+PIECE_BYTES = 300
 #: Bytes of text whose pieces are encoded together.
 SLICE_BYTES = 4 << 20
 NEVER = np.int64(1) << 60
 #: Symbols in the table of words that are merged together.
 CELLS = 1 << 20
+#: Words of more symbols are merged one by one.
+LONG = 512
 
 
 def byte_characters() -> list[str]:
@@ -85,11 +91,9 @@ class WordBpe:
     # --- words to tokens -----------------------------------------------------------------------
     def greedy(self, symbols: str) -> list[int] | None:
         """Longest matches from the left over a word's symbols, the last with its end mark."""
-        whole = symbols + self.end
         vocab, out, at, n = self.vocab, [], 0, len(symbols)
         while at < n:
-            found = vocab.get(whole[at:])
-            if found is not None:
+            if n - at <= self.longest and (found := vocab.get(symbols[at:] + self.end)) is not None:
                 out.append(found)
                 return out
             to = min(n - 1, at + self.longest)
@@ -164,6 +168,32 @@ class WordBpe:
                 ranks[some, at], made[some, at] = self.merge_of(ids[some, at], ids[some, at + 1])
         return out
 
+    def merged_long(self, ids: list[int]) -> list[int]:
+        """As ``merged`` for one word of any length: the pairs wait in a heap by rank and then place."""
+        n, merges = len(ids), self.merges
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        ids = [*ids]
+        waiting = []
+        for at, pair in enumerate(zip(ids, ids[1:])):
+            if (found := merges.get(pair)) is not None:
+                waiting.append(found[0] * n + at)
+        heapify(waiting)
+        while waiting:
+            rank, at = divmod(heappop(waiting), n)
+            to = after[at]
+            found = merges.get((ids[at], ids[to])) if to >= 0 and ids[at] >= 0 else None
+            if found is None or found[0] != rank:
+                continue  # one of the two has been merged since
+            ids[at], ids[to] = found[1], -1
+            after[at] = after[to]
+            if after[at] >= 0:
+                before[after[at]] = at
+            for left in (before[at], at):
+                right = after[left] if left >= 0 else -1
+                if right >= 0 and (found := merges.get((ids[left], ids[right]))) is not None:
+                    heappush(waiting, found[0] * n + left)
+        return [i for i in ids if i >= 0]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Tokens of each word, given as its byte characters."""
         proposed = [self.greedy(w) for w in words]
@@ -180,6 +210,10 @@ class WordBpe:
             proposed[at] = self.symbols(words[at])
             by_length.setdefault(len(proposed[at]), []).append(at)
         for length, places in by_length.items():
+            if length > LONG:
+                for place in places:
+                    proposed[place] = self.merged_long(proposed[place])
+                continue
             step = max(1, CELLS // length) if length > 1 else 0
             for at in range(0, len(places), step) if step else ():
                 some = places[at : at + step]
@@ -240,28 +274,43 @@ def encode_texts(bpe: WordBpe, texts: list[bytes | None], known: dict) -> Iterat
         yield sum(n), b" ".join([f[1] for f in found]), b" ".join([f[2] for f in found])
 
 
+def shared(vocabulary: str) -> Broadcast:
+    """The tables of a vocabulary file's content, a few MB that each worker reads once."""
+    return SparkSession.active().sparkContext.broadcast(vars(WordBpe(vocabulary)))
+
+
+def _of(tables: dict) -> WordBpe:
+    bpe = WordBpe.__new__(WordBpe)
+    vars(bpe).update(tables)
+    return bpe
+
+
 def tokens_of(text: Column, vocabulary: str) -> Column:
     """Struct of ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` for UTF-8 bytes; null is empty.
 
     ``vocabulary`` is the content of the vocabulary file, which is sent with the job.  Memory
-    is bounded by the texts of one batch and ``REMEMBERED`` pieces.
+    is bounded by ``SLICE_BYTES``, or the longest text, and ``REMEMBERED_BYTES``.
     """
+    tables = shared(vocabulary)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe, known = WordBpe(vocabulary), {}
+        bpe, known, remembered = _of(tables.value), {}, 0
         for texts in batches:
             rows, held, size = [], [], 0
             for k, text in enumerate(texts):
                 held.append(text)
                 size += len(text or b"")
                 if size >= SLICE_BYTES or k + 1 == len(texts):
-                    if len(known) > REMEMBERED:
-                        known = {}
+                    if remembered > REMEMBERED_BYTES:
+                        known, remembered = {}, 0
+                    before = len(known)
                     rows += [
                         (n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(out).hexdigest())
                         for n, ids, out in encode_texts(bpe, held, known)
                     ]
+                    for piece, ids, out in ((p, *f[1:]) for p, f in islice(known.items(), before, None)):
+                        remembered += PIECE_BYTES + len(piece) + len(ids) + len(out)
                     held, size = [], 0
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -271,9 +320,11 @@ def tokens_of(text: Column, vocabulary: str) -> Column:
 def ids_of(text: Column, vocabulary: str) -> Column:
     """The token ids of UTF-8 bytes, as an array; null is empty."""
 
+    tables = shared(vocabulary)
+
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = WordBpe(vocabulary)
+        bpe = _of(tables.value)
         for texts in batches:
             pieces = [bpe.encode_pieces([(t or b"")])[0] for t in texts]
             yield pd.Series(pieces)
@@ -284,9 +335,11 @@ def ids_of(text: Column, vocabulary: str) -> Column:
 def decoded_of(ids: Column, vocabulary: str) -> Column:
     """The text that token ids decode to; null is empty, ids out of the vocabulary are left out."""
 
+    tables = shared(vocabulary)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = WordBpe(vocabulary)
+        bpe = _of(tables.value)
         for each in batches:
             rows = [[] if i is None else [t for t in i if t in bpe.names] for i in each]
             yield pd.Series([bpe.decoded(r) for r in rows])

@@ -18,7 +18,7 @@ STRETCH = 1024
 _ROUNDS = 64
 
 # The line mail programs write above a quote, and the chat marks of the output.
-ATTRIBUTION = r"(?m)^(?:On [^\n]{1,200} wrote|[^\n]{1,80} (?:wrote|said)):[ \t]*\r?\n(?=[ \t]*>)"
+ATTRIBUTION = r"(?m)^(?:On [^\n]+ wrote|[^\n]+ (?:wrote|said)):[ \t]*\r?\n(?=[ \t]*>)"
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 
 
@@ -48,8 +48,9 @@ def has_quote(text: Column) -> Column:
 
 
 def _parts(passage: Column) -> Column:
-    """A passage as a whole, its paragraphs and its lines, normalised; those without a word left out."""
-    whole = F.concat(F.array(passage), F.split(passage, r"\n[ \t]*\n"), F.split(passage, r"\n"))
+    """A passage as a whole, its paragraphs, lines and sentences, normalised; those without a word left out."""
+    cuts = (r"\n[ \t]*\n", r"\n", r"(?<=[.!?])\s+")
+    whole = F.concat(F.array(passage), *[F.split(passage, cut) for cut in cuts])
     every = F.transform(whole, normalised)
     return F.array_distinct(F.filter(every, lambda p: p != ""))
 
@@ -71,6 +72,17 @@ def quoted_passages(text: Column) -> Column:
     return F.when(deepest > 0, F.flatten(F.transform(F.sequence(F.lit(1), deepest), at_level))).otherwise(none)
 
 
+def passage_key(passage: Column) -> Column:
+    return F.md5(normalised(passage))
+
+
+def unlinked_passages(text: Column, linked: Column) -> Column:
+    """The quoted passages whose key is not in ``linked``, in order of level; none if nothing is quoted."""
+    known = F.coalesce(linked, F.array().cast("array<string>"))
+    left = F.filter(quoted_passages(text), lambda p: ~F.array_contains(known, passage_key(p["passage"])))
+    return F.when(has_quote(text), F.transform(left, lambda p: p["passage"])).otherwise(F.array().cast("array<string>"))
+
+
 # --- order -------------------------------------------------------------------------------------
 def last_before(df: DataFrame, keys: list[str], turn: str, value: str, name: str) -> DataFrame:
     """Adds the latest non-null ``value`` at an earlier ``turn`` of the same keys.
@@ -95,27 +107,32 @@ def last_before(df: DataFrame, keys: list[str], turn: str, value: str, name: str
 
 # --- linking -----------------------------------------------------------------------------------
 def quote_links(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, quoted_turn, size): where each message's quoted passages come from.
+    """(conv, turn, level, passage, quoted_turn, size): where each message's quoted passages come from.
 
-    ``messages`` has conv, turn and text.  A passage matches an earlier message's own text, or a
-    paragraph or line of it, or does so by its own paragraphs or lines; the latest such message
+    ``messages`` has conv, turn and text.  A passage, named by its key, matches an earlier message's
+    own text, or a paragraph, line or sentence of it, or does so by its own; the latest such message
     counts.  Only conversations that quote are compared.
     """
     quoting = messages.where(has_quote(F.col("text")))
     passages = quoting.select("conv", "turn", F.explode(quoted_passages(F.col("text"))).alias("p"))
-    asked = passages.select("conv", "turn", F.col("p.level").alias("level"), F.explode(_parts(F.col("p.passage"))).alias("part"))
+    asked = passages.select(
+        "conv", "turn", F.col("p.level").alias("level"), passage_key(F.col("p.passage")).alias("passage"),
+        F.explode(_parts(F.col("p.passage"))).alias("part"),
+    )
     keyed = [F.md5("part").alias("key"), F.length("part").alias("size")]
-    asked = asked.select("conv", "turn", "level", *keyed).distinct()
+    asked = asked.select("conv", "turn", "level", "passage", *keyed).distinct()
     convs = quoting.select("conv").distinct()
     own = messages.join(convs, "conv", "left_semi")
     own = own.select("conv", "turn", F.explode(_parts(own_text(F.col("text")))).alias("part"))
     own = own.select("conv", "turn", F.md5("part").alias("key")).distinct()
     events = asked.withColumn("source", F.lit(None).cast("long")).unionByName(
-        own.withColumn("level", F.lit(0)).withColumn("size", F.lit(0)).withColumn("source", F.col("turn"))
+        own.withColumns({
+            "level": F.lit(0), "size": F.lit(0), "passage": F.lit(None).cast("string"), "source": F.col("turn")
+        })
     )
     found = last_before(events, ["conv", "key"], "turn", "source", "quoted_turn")
     found = found.where((F.col("level") > 0) & F.col("quoted_turn").isNotNull())
-    return found.select("conv", "turn", "level", "quoted_turn", "size")
+    return found.select("conv", "turn", "level", "passage", "quoted_turn", "size")
 
 
 def branch_depths(branches: DataFrame) -> DataFrame:
@@ -144,8 +161,9 @@ def branch_depths(branches: DataFrame) -> DataFrame:
 
 
 def placed_turns(messages: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to, quotes, branch, depth) for each (conv, turn), nulls left out.
+    """(conv, turn, reply_to, linked, branch, depth) for each (conv, turn), nulls left out.
 
+    ``linked`` has the keys of the passages found in earlier messages, null if there are none.
     A message answers the message its quotes of the lowest level come from, the longest match
     first and then the latest; without a match it answers the one before it.  One that answers
     another than the one before it starts a branch, which later messages go on with.
@@ -153,7 +171,9 @@ def placed_turns(messages: DataFrame) -> DataFrame:
     known = messages.where(F.col("conv").isNotNull() & F.col("turn").isNotNull())
     links = quote_links(known)
     best = F.max(F.struct((-F.col("level")).alias("l"), "size", "quoted_turn")).alias("best")
-    links = links.groupBy("conv", "turn").agg(best).select("conv", "turn", F.col("best.quoted_turn").alias("quoted"))
+    keys = F.collect_set("passage").alias("linked")  # no more than the message quotes
+    links = links.groupBy("conv", "turn").agg(best, keys)
+    links = links.select("conv", "turn", F.col("best.quoted_turn").alias("quoted"), "linked")
     turns = known.select("conv", "turn").distinct().withColumn("own", F.col("turn"))
     turns = last_before(turns, ["conv"], "turn", "own", "before").drop("own")
     turns = turns.join(links, ["conv", "turn"], "left")
@@ -162,7 +182,7 @@ def placed_turns(messages: DataFrame) -> DataFrame:
     turns = last_before(turns, ["conv"], "turn", "start", "earlier")
     turns = stored(
         turns.select(
-            "conv", "turn", F.coalesce("quoted", "before").alias("reply_to"), F.col("quoted").isNotNull().alias("quotes"),
+            "conv", "turn", F.coalesce("quoted", "before").alias("reply_to"), "linked",
             F.coalesce("start", "earlier").alias("branch"),
         ),
         "turns",
@@ -195,8 +215,9 @@ def reply_ordered(
 ) -> DataFrame:
     """One row per message, sorted: conversation, depth of its branch, branch, turn.
 
-    Adds ``reply_to``, ``quotes`` (a quote was found), ``branch`` (its first turn), ``depth``,
-    the text without quotes and ``chat``.  So every message stands after the one it answers, and a
+    Adds ``reply_to``, ``quotes`` (a quote was found), ``branch`` (its first turn), ``depth``, the text
+    without quotes, ``unlinked`` and ``chat``.  Only a message with a linked quote has its quotes taken
+    out; passages that no earlier message holds are listed in ``unlinked``.  So every message stands after the one it answers, and a
     branch in one piece.  Turns are whole numbers.  Messages with a null conversation or turn
     answer nothing and are a branch of their own; repeated turns and rows share their place.
     A null text quotes nothing and stays null; an empty table gives no rows.
@@ -207,16 +228,18 @@ def reply_ordered(
     )
     placed = placed_turns(messages)
     rows = messages.join(placed, ["conv", "turn"], "left")
-    text = own_text(F.col("text"))
+    rows = rows.withColumn("unlinked", unlinked_passages(F.col("text"), F.col("linked")))
+    text = F.when(F.col("linked").isNotNull(), own_text(F.col("text"))).otherwise(F.col("text"))
     rows = rows.select(
         F.col("conv").alias(conv_col),
         F.col("turn").alias(turn_col),
         F.col("role").alias(role_col),
         "reply_to",
-        F.coalesce("quotes", F.lit(False)).alias("quotes"),
+        F.col("linked").isNotNull().alias("quotes"),
         F.coalesce("branch", "turn").alias("branch"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
         text.alias(text_col),
+        "unlinked",
         chat_text(F.col("role"), text).alias("chat"),
     )
     return rows.orderBy(conv_col, "depth", "branch", turn_col, role_col, text_col)

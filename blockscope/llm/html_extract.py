@@ -63,6 +63,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[list] = []  # tag, kind, open tags of that name
+        self.places: dict[str, list[int]] = {}  # where a tag's elements stand among the open ones
         self.count = dict.fromkeys(("silent", "boilerplate", "article", "main", "link"), 0)
         self.text: list[str] = []
         self.linked = 0
@@ -88,12 +89,14 @@ class Lines(HTMLParser):
         self.text, self.linked = [], 0
 
     def close_from(self, at: int) -> None:
-        for _, kind, _ in self.open[at:]:
+        for tag, kind, _ in self.open[at:]:
             self.count[kind] -= 1
+            self.places[tag].pop()
         del self.open[at:]
 
     def nearest(self, tag: str) -> int:
-        return next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), -1)
+        found = self.places.get(tag)
+        return found[-1] if found else -1
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -106,6 +109,7 @@ class Lines(HTMLParser):
             return
         kind = self.kind(tag, attrs)
         if kind:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append([tag, kind, 1])
             self.count[kind] += 1
         elif (at := self.nearest(tag)) >= 0:

@@ -41,7 +41,7 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     to the blank before and after a word but not across it, nor are they a blank alone.
     """
     letters = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # number signs are no letters
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     grams = counts = np.empty(0, np.int64)

@@ -57,11 +57,26 @@ def test_replies_follow_what_they_quote(spark):
     assert [r.turn for r in out] == [0, 1, 2, 3, 4, 5, 7, 8, 6]
     assert [r.turn for r in out if r.quotes] == [3, 4, 7, 6]
     by_turn = {r.turn: r.text for r in out}
-    assert by_turn[3] == "In butter." and by_turn[4] == "That is long." and by_turn[8] == "Odd."
+    assert by_turn[3] == "In butter." and by_turn[4] == "That is long." and by_turn[8] == THREAD[8][3]
+    assert {r.turn: r.unlinked for r in out if r.unlinked} == {8: ["never said by anyone"]}
     place = {r.turn: k for k, r in enumerate(out)}
     assert all(r.reply_to is None or place[r.reply_to] < place[r.turn] for r in out)
 
 
+def test_no_quoted_text_is_lost(spark):
+    long = "On " + "a very long day " * 40 + "Ann wrote:"
+    data = [
+        (1, 0, "user", "First this. Then that! And more."), (1, 1, "user", f"{long}\n> Then that!\nfine"),
+        (1, 2, "user", "> Then that!\n\nwhy\n> unheard of\nmine\n>> deep one"), (1, 3, "user", ">>> print(1)\n> x = 2"),
+        (1, 4, "user", "> And\n> more.\nwrapped"),
+    ]
+    got = {r.turn: (r.reply_to, r.text, r.unlinked) for r in ordered(spark, data)}
+    assert got == {
+        0: (None, data[0][3], []), 1: (0, "fine", []), 2: (0, "why\nmine", ["unheard of", "deep one"]),
+        3: (2, data[3][3], ["x = 2", "print(1)"]), 4: (0, "wrapped", []),
+    }
+
+
 def test_other_conversations_are_not_quoted(spark):
     out = ordered(spark, [(1, 0, "user", "same words"), (2, 0, "user", "other"), (2, 1, "user", "> same words\nhm")])
     assert [r.quotes for r in out] == [False, False, False]
@@ -122,7 +137,7 @@ def brute(data):
         return re.sub(r"\s+", " ", t).strip(" ").lower()
 
     def keys(passage):
-        return {norm(x) for x in [passage, *re.split(r"\n[ \t]*\n", passage), *passage.split("\n")]} - {""}
+        return {norm(x) for x in [passage, *re.split(r"\n[ \t]*\n", passage), *passage.split("\n"), *re.split(r"(?<=[.!?])\s+", passage)]} - {""}
 
     out, by_conv = {}, {}
     for conv, turn, text in data:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -73,6 +74,13 @@ def test_very_long_page():
     assert h.main_text("<p>" * 20_000 + "x") == "x"
 
 
+@pytest.mark.parametrize("tag", ["aside", "a", "article", "div"])
+def test_many_open_tags_take_little_time(tag):
+    began = time.monotonic()
+    h.main_text(f"<{tag}>x" * 100_000 + f"</{tag}><p>y" * 100)
+    assert time.monotonic() - began < 30
+
+
 def test_rows(spark):
     pages = spark.createDataFrame(
         [(1, "u", None, "t"), (2, None, "<article>é</article>", "t"), (2, None, "<article>é</article>", "t"), (None, "v", "", "t")],

@@ -157,3 +157,10 @@ def test_query_equals_brute_force(spark):
             for lang, p in profiles.items()
         )
         assert got[r.doc_id] == (best, pytest.approx(1 - far / (most * len(mine))))
+
+
+@pytest.mark.parametrize("text", ["²", "½ ¾", "①②", "\u0301", "Ⅷ 3", "_ 12 ²", "", None])
+def test_text_without_a_letter_is_unknown(text):
+    learned = {"aa": langid.ranking(*langid.gram_counts("some words here"))}
+    assert langid.language(text, learned) == ("und", 0.0)
+    assert langid.language("a²", learned)[0] == "aa"

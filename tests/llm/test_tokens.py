@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -65,6 +66,30 @@ def test_proposals_that_fail_are_merged_exactly(word):
     assert [mine.greedy(w) for w in words] != exact  # some were wrong, so the check had work
 
 
+def test_long_words(word):
+    mine, theirs = word
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for parts, n in (
+        ("etaoinshrdlu", 20_000), ("a", 30_000), ([chr(c) for c in range(0x4E00, 0x5000)], 5_000),
+        (["th", "er", "tion", "Q", "é", "sch"], 9_000), ("ab", 600),
+    )]
+    for text in texts:
+        ((n, ids, _),) = bpe.encode_texts(mine, [text.encode()], {})
+        assert ids.decode() == " ".join(map(str, theirs.encode(text, add_special_tokens=False).ids))
+    for text in texts:
+        symbols = mine.symbols(text[:700].translate({ord("é"): None}) if text[0] < "\u4e00" else "ab" * 300)
+        assert mine.merged_long(symbols) == mine.merged([symbols])[0]
+
+
+def test_a_word_of_a_million_symbols(word):
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    began = time.monotonic()
+    ((n, ids, out),) = bpe.encode_texts(word[0], [text.encode()], {})
+    assert time.monotonic() - began < 60 and n == ids.count(b" ") + 1
+    assert out.decode().replace(" ", "").removesuffix("</w>") == text
+
+
 def docs(spark, rows):
     kind = "doc_id long, text string, id int, found int, block int, n_tokens string"
     return spark.createDataFrame([(i, t, 0, 0, 0, "x") for i, t in rows], kind)
