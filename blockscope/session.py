@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ARROW_BYTES = 4 << 20
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -17,6 +18,8 @@ def prepare_session(spark: SparkSession) -> SparkSession:
         ("spark.sql.adaptive.enabled", "true"),
         ("spark.sql.adaptive.skewJoin.enabled", "true"),
         ("spark.sql.adaptive.coalescePartitions.enabled", "true"),
+        # rows sent to Python workers at once, for tables of long texts
+        ("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES)),
     ):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
