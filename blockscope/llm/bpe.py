@@ -10,7 +10,6 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,11 +25,11 @@ PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 
-#: Bytes of the pieces whose tokens a task remembers at most before it starts anew, ``PIECE_BYTES`` more for each.
-REMEMBERED_BYTES = 40_000_000
-PIECE_BYTES = 300
+#: Distinct pieces of text whose tokens a task remembers at most before it starts anew, and bytes of such a piece.
+REMEMBERED = 150_000
+PIECE_BYTES = 64
 #: Bytes of text whose pieces are encoded together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 NEVER = np.int64(1) << 60
 #: Symbols in the table of words that are merged together.
 CELLS = 1 << 20
@@ -272,45 +271,46 @@ def encode_texts(bpe: WordBpe, texts: list[bytes | None], known: dict) -> Iterat
         if 0 in n:
             found = [f for f in found if f[0]]
         yield sum(n), b" ".join([f[1] for f in found]), b" ".join([f[2] for f in found])
+    for piece in new:
+        if len(piece) > PIECE_BYTES:
+            del known[piece]
 
 
 def shared(vocabulary: str) -> Broadcast:
-    """The tables of a vocabulary file's content, a few MB that each worker reads once."""
-    return SparkSession.active().sparkContext.broadcast(vars(WordBpe(vocabulary)))
+    """A vocabulary file's content, a few MB that go to each worker once; see ``_parsed``."""
+    return SparkSession.active().sparkContext.broadcast({"file": vocabulary})
 
 
-def _of(tables: dict) -> WordBpe:
-    bpe = WordBpe.__new__(WordBpe)
-    vars(bpe).update(tables)
-    return bpe
+def _parsed(sent: dict) -> WordBpe:
+    """The tables of the content sent; a worker keeps them beside it for its later tasks."""
+    if "bpe" not in sent:
+        sent["bpe"] = WordBpe(sent["file"])
+    return sent["bpe"]
 
 
 def tokens_of(text: Column, vocabulary: str) -> Column:
     """Struct of ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` for UTF-8 bytes; null is empty.
 
     ``vocabulary`` is the content of the vocabulary file, which is sent with the job.  Memory
-    is bounded by ``SLICE_BYTES``, or the longest text, and ``REMEMBERED_BYTES``.
+    is bounded by ``SLICE_BYTES``, or the longest text, and ``REMEMBERED`` pieces.
     """
-    tables = shared(vocabulary)
+    sent = shared(vocabulary)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe, known, remembered = _of(tables.value), {}, 0
+        bpe, known = _parsed(sent.value), {}
         for texts in batches:
             rows, held, size = [], [], 0
             for k, text in enumerate(texts):
                 held.append(text)
                 size += len(text or b"")
                 if size >= SLICE_BYTES or k + 1 == len(texts):
-                    if remembered > REMEMBERED_BYTES:
-                        known, remembered = {}, 0
-                    before = len(known)
+                    if len(known) > REMEMBERED:
+                        known = {}
                     rows += [
                         (n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(out).hexdigest())
                         for n, ids, out in encode_texts(bpe, held, known)
                     ]
-                    for piece, ids, out in ((p, *f[1:]) for p, f in islice(known.items(), before, None)):
-                        remembered += PIECE_BYTES + len(piece) + len(ids) + len(out)
                     held, size = [], 0
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -320,11 +320,11 @@ def tokens_of(text: Column, vocabulary: str) -> Column:
 def ids_of(text: Column, vocabulary: str) -> Column:
     """The token ids of UTF-8 bytes, as an array; null is empty."""
 
-    tables = shared(vocabulary)
+    sent = shared(vocabulary)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _of(tables.value)
+        bpe = _parsed(sent.value)
         for texts in batches:
             pieces = [bpe.encode_pieces([(t or b"")])[0] for t in texts]
             yield pd.Series(pieces)
@@ -335,11 +335,11 @@ def ids_of(text: Column, vocabulary: str) -> Column:
 def decoded_of(ids: Column, vocabulary: str) -> Column:
     """The text that token ids decode to; null is empty, ids out of the vocabulary are left out."""
 
-    tables = shared(vocabulary)
+    sent = shared(vocabulary)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _of(tables.value)
+        bpe = _parsed(sent.value)
         for each in batches:
             rows = [[] if i is None else [t for t in i if t in bpe.names] for i in each]
             yield pd.Series([bpe.decoded(r) for r in rows])
