@@ -73,6 +73,8 @@ plan("block_txn_stats", blobs.block_transaction_stats, "total_txn_size")
 plan("txns_by_blobs", blobs.trimmed_transactions_by_blobs)
 plan("gas_by_blobs_rows", blobs.gas_rows)
 plan("gas_by_blobs_mean", blobs.gas_summary, "gas_used")
+BUCKETS = 8
+plan("gas_by_blobs_buckets", lambda t: blobs.gas_rows(layouts.bucketed_chain(t, BUCKETS)))
 plan("gas_by_blobs_nonmev_rows", lambda t: blobs.gas_rows(t, mev=False))
 plan("gas_by_blobs_nonmev_mean", lambda t: blobs.gas_summary(t, mev=False), "gas_used")
 plan("gas_by_blobs_mev_rows", lambda t: blobs.gas_rows(t, mev=True))
@@ -381,11 +383,12 @@ def hex_to_int(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hex_to_int_long(spark: SparkSession, d: str) -> DataFrame:
-    """More leading zeros than any prefix would hold."""
-    key = F.col("r_regionkey") + 250
-    text = F.concat(F.lit("0x"), F.repeat(F.lit("0"), F.lit(1_100_000)), F.hex(key.cast("bigint")))
-    return driver_table(spark, d, "region").select(
-        key.cast("bigint").alias("key"), scalars.hex_to_int(text).cast("string").alias("value")
+    """Runs of leading zeros as long as the order's total, and white space around every other number."""
+    zeros = F.repeat(F.lit("0"), F.floor(F.col("o_totalprice") / 100).cast("int"))
+    text = F.concat(F.lit("0x"), zeros, F.hex(F.col("o_orderkey").cast("bigint")))
+    text = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" "), text, F.lit("\n"))).otherwise(text)
+    return driver_table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("key"), scalars.hex_to_int(text).cast("string").alias("value")
     )
 
 
@@ -490,6 +493,39 @@ def full_refresh(spark: SparkSession, d: str) -> DataFrame:
     return _per_day(days.load_manifest(spark.read.parquet(path)))
 
 
+@query
+def load_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Rows a day after a load, the same load again, one that was cut short, and one of a changed day."""
+    path, root = run_dir(spark, "deliveries"), run_dir(spark, "loads")
+    daily = _day_files(spark, d, path)
+    first = days.day_paths(path, MONTH[0], "2024-01-15", DAY_TEMPLATE)
+    every = days.day_paths(path, *MONTH, DAY_TEMPLATE)
+    for paths in (first, first):
+        days.load_new(spark, root, paths)
+    # rows without a line in the log, as a load leaves them that ends before its last step
+    spark.read.parquet(*every).withColumns({"source_file": F.lit("f"), "source": F.lit("s")}).write.parquet(f"{root}/rows/load=2")
+    days.load_new(spark, root, every)
+    changed = daily.where(F.col("date") == MONTH[0])
+    days.full_refresh(changed.unionByName(changed), path, by=["date"])
+    days.load_new(spark, root, every)
+    rows = days.loaded(spark, root)
+    return rows.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def refresh_under_readers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by status as a reader sees them that began before a refresh, and one that began after it."""
+    root = run_dir(spark, "versions")
+    orders = driver_table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    days.refresh(orders, root)
+    before = days.current(spark, root)
+    days.refresh(orders.where(F.col("o_orderstatus") != "P"), root)
+    seen = before.withColumn("reader", F.lit("before")).unionByName(
+        days.current(spark, root).withColumn("reader", F.lit("after"))
+    )
+    return seen.groupBy("reader", "o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- landed responses ------------------------------------------------------------------------
 def _hex(column: Column) -> Column:
     return scalars.int_to_hex(column.cast("bigint"))
@@ -712,6 +748,29 @@ def relay_page_rejects(spark: SparkSession, d: str) -> DataFrame:
     return every.groupBy("relay", "outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def relay_unseen_slots(spark: SparkSession, d: str) -> DataFrame:
+    """What three walks missed: pages that failed, empty ones, pages that overlap, a walk without a page."""
+    bids = view(spark, d, "relay_bids")
+    page = F.floor(F.col("slot") / 100)
+    # a page in seven also asks for the slots of the one above it
+    low = F.when(page % 7 == 2, page * 100 + 60).otherwise(page * 100)
+    pages = bids.where(F.col("slot") >= low).groupBy("relay", page.alias("page")).agg(
+        F.to_json(F.collect_list(F.struct(F.col("slot").cast("string").alias("slot")))).alias("text")
+    )
+    cursor = F.col("page") * 100 + F.when(F.col("page") % 7 == 3, 130).otherwise(99)
+    failed = F.col("page") % 10 == 3
+    pages = pages.select(
+        "relay",
+        cursor.alias("cursor"),
+        F.when(failed, 503).otherwise(200).alias("status"),
+        F.when(F.col("page") % 10 == 5, "[]").when(failed, "<html>").otherwise(F.col("text")).alias("text"),
+    )
+    ends = bids.agg(F.min("slot").alias("low"), F.max("slot").alias("high"))
+    walks = ends.select(F.explode(F.array(*map(F.lit, (*RELAYS, "d")))).alias("relay"), "low", "high")
+    return relays.unseen_slots(pages, walks)
+
+
 _BID_SCHEMA = T.StructType(
     [T.StructField("block_hash", T.LongType()), T.StructField("value", T.DoubleType())]
 )

@@ -18,23 +18,25 @@ GENESIS_SECONDS = 1606824023
 SECONDS_PER_SLOT = 12
 
 WIDE = "decimal(38,0)"
-_HEX = r"^0x0*[0-9a-fA-F]{1,32}$"
-_DECIMAL = r"^\s*[+-]?[0-9]+\s*$"
+_HEX = r"\A0x0*[0-9a-fA-F]{1,32}\z"
+_DECIMAL = r"\A[+-]?[0-9]+\z"
+_AROUND = r"\A\s+|\s+\z"
 _TWO_POW_64 = "18446744073709551616"
 
 
 def hex_to_int(text: Column) -> Column:
     """``0x…`` or decimal text to a whole number; anything else, or beyond 38 digits, is NULL.
 
-    The last 32 hex digits are cut into two 64-bit halves, which ``conv`` reads exactly.
+    White space around it, line ends too, does not count.  The last 32 hex digits are cut into two 64-bit halves, which ``conv`` reads exactly.
     """
+    text = F.regexp_replace(text, _AROUND, "")
     digits = F.right(F.concat(F.lit("0" * 32), F.substr(text, F.lit(3))), F.lit(32))
     high = F.conv(F.substring(digits, 1, 16), 16, 10).cast(WIDE)
     low = F.conv(F.substring(digits, 17, 16), 16, 10).cast(WIDE)
     wide = F.try_add(F.try_multiply(high, F.lit(_TWO_POW_64).cast(WIDE)), low)
     return (
         F.when(text.rlike(_HEX), wide.cast(WIDE))
-        .when(text.rlike(_DECIMAL), F.trim(text).try_cast(WIDE))
+        .when(text.rlike(_DECIMAL), text.try_cast(WIDE))
     )
 
 

@@ -2,7 +2,7 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task.  That is
 used for groups up to a checked number of distinct values.  Larger groups are cut into
-value ranges, so that only the ranges that hold a wanted rank are ever sorted, each
+value ranges, each group by its own cut points, so that only the ranges that hold a wanted rank are ever sorted, each
 in its own task, however large the group is.  Both ways interpolate alike, to the last bit.
 """
 
@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isqrt
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ _V, _N, _RANGE = "__v", "__n", "__range"
 # So many rows of a few numbers fit into one task's memory many times over.
 IN_MEMORY = 1_000_000
 RANGES = 256
+# Groups whose cut points are broadcast at most, 3 kB each for 256 ranges.
+SPLIT_GROUPS = 10_000
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -35,16 +37,47 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def _ranged(counts: DataFrame, ranges: int) -> DataFrame:
-    """Add the number of the value range a row is in; about equally many rows in each.
+def _splitters(counts: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
+    """Per group its cut points, at most ``ranges - 1``, ascending, and every so many of them as ``__coarse``.
 
-    The cut points, at most ``ranges - 1`` numbers, are approximate quantiles of the
-    counted values.  They only balance the work, all counted rows take part in the result.
+    They are approximate ranks from a sketch of each group, merged on the map side.  They only
+    balance the work, all counted rows take part in the result.
     """
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = counts.approxQuantile(_V, shares, 0.25 / ranges)
-    edges = sorted({0.0, float("-inf"), float("inf"), *cuts})
-    return Bucketizer(splits=edges, inputCol=_V, outputCol=_RANGE).transform(counts)
+    cuts = F.array_distinct(F.percentile_approx(_V, shares, max(10_000, 4 * ranges)))
+    found = counts.groupBy(*by).agg(cuts.alias("__cuts"))
+    every = F.filter("__cuts", lambda _, i: i % _step(ranges) == _step(ranges) - 1)
+    return found.withColumn("__coarse", every)
+
+
+def _step(ranges: int) -> int:
+    return max(1, isqrt(ranges))
+
+
+def _ranged(counts: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
+    """Add the number of the value range a row is in; about equally many rows of its group in each.
+
+    The range is the number of cut points below the value, counted among the coarse ones and
+    then among those up to the next coarse one.
+    """
+    by, step = list(by), _step(ranges)
+    splitters = settled(_splitters(counts, by, ranges))
+    if by:
+        named = splitters.select(*[F.col(c).alias(f"__c_{c}") for c in by], "__cuts", "__coarse")
+        if named.count() <= SPLIT_GROUPS:
+            named = F.broadcast(named)  # the number is checked, each has two short arrays
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__c_{c}")) for c in by])
+        cut = counts.join(named, same).drop(*[f"__c_{c}" for c in by])
+    else:
+        row = splitters.first()  # fewer numbers than ranges
+        cut = counts.withColumns({n: F.array(*map(F.lit, row[n] or [])).cast("array<double>") for n in ("__cuts", "__coarse")})
+
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c < F.col(_V)))
+
+    cut = cut.withColumn("__at", below(F.col("__coarse")) * step)
+    fine = F.slice("__cuts", F.col("__at") + 1, F.lit(step))
+    return cut.withColumn(_RANGE, F.col("__at") + below(fine)).drop("__at", "__cuts", "__coarse")
 
 
 def quantiles_of_counts(
@@ -84,11 +117,11 @@ def quantiles_by_range(
 ) -> DataFrame:
     """As ``quantiles_of_counts`` for any number of distinct values in a group.
 
-    Three passes over the settled counts: cut points, rows per range, values of the
+    Three passes over the settled counts: cut points per group, rows per range, values of the
     ranges that hold a wanted rank.
     """
     by = list(by)
-    ranged = _ranged(counts, ranges)
+    ranged = _ranged(counts, by, ranges)
 
     # At most `ranges` rows per group from here to `spots`.
     totals = ranged.groupBy(*by, _RANGE).agg(F.sum(_N).alias("__m"))

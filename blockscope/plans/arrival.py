@@ -148,7 +148,7 @@ def block_arrival_with_blobs(
     rows = joins.left_join_fill(
         blocks, blobs_per(t, "block_root", s), ["block_root"], fill={"num_blobs": 0.0}
     ).select("block_root", "propagation_sec", "num_blobs")
-    return rows if q is None else trim_quantile(rows, "propagation_sec", q)
+    return rows if q is None else trim_quantile(rows, "propagation_sec", q, settle=True)
 
 
 def arrival_over_time(t: ChainTables, s: Settings = Settings()) -> DataFrame:
@@ -183,7 +183,7 @@ def payment_by_arrival(t: ChainTables, s: Settings = Settings(), q: float = 0.95
     blocks = mean_arrival(t, s, bound_ms=s.tight_arrival_ms).join(t.block_roots, "block_root")
     paid = t.payloads.select("block_hash", "value")
     rows = joins.skew_join(paid, blocks, ["block_hash"])
-    return trim_quantile(rows.select("propagation_sec", "value"), "value", q)
+    return trim_quantile(rows.select("propagation_sec", "value"), "value", q, settle=True)
 
 
 def payment_arrival_bins(t: ChainTables, s: Settings = Settings(), bins: int = 100) -> DataFrame:

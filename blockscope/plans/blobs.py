@@ -36,7 +36,7 @@ def transactions_by_blobs(t: ChainTables, s: Settings = Settings(), key: str = "
 
 
 def trimmed_transactions_by_blobs(t: ChainTables, s: Settings = Settings(), q: float = 0.99) -> DataFrame:
-    return trim_quantile(transactions_by_blobs(t, s), "num_of_txns", q)
+    return trim_quantile(transactions_by_blobs(t, s), "num_of_txns", q, settle=True)
 
 
 def block_transaction_stats(t: ChainTables, s: Settings = Settings(), q: float = 0.99) -> DataFrame:
@@ -44,7 +44,7 @@ def block_transaction_stats(t: ChainTables, s: Settings = Settings(), q: float =
     stats = blob_transactions(t, s).groupBy("block_root").agg(
         F.sum("size").alias("total_txn_size"), _last_position(), _blob_sum()
     )
-    return trim_quantile(stats, "num_of_txns", q)
+    return trim_quantile(stats, "num_of_txns", q, settle=True)
 
 
 def non_mev_blocks(t: ChainTables, hot: DataFrame | None = None) -> DataFrame:
@@ -125,7 +125,7 @@ def size_by_blobs(t: ChainTables, s: Settings = Settings(), q: float = 0.99) ->
     sizes = t.block_details.select(F.col("hash").alias("block_hash"), "size")
     hashed = joins.left_join_fill(blobs_per(t, "block_root", s), t.block_roots, ["block_root"])
     rows = joins.left_join_fill(hashed, sizes, ["block_hash"], fill={"size": 0}, null_keys=True)
-    return trim_quantile(rows.select("num_blobs", "size"), "size", q)
+    return trim_quantile(rows.select("num_blobs", "size"), "size", q, settle=True)
 
 
 def _of_sender(df: DataFrame, address: str | None) -> DataFrame:

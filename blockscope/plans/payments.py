@@ -29,7 +29,7 @@ def miner_tip(
         ).alias("miner_tip"),
     )
     rows = joins.left_join_fill(tips, blobs_per(t, "hash", s), ["hash"], fill={"num_blobs": 0.0})
-    return trim_quantile(rows.select("num_blobs", "miner_tip"), "miner_tip", q)
+    return trim_quantile(rows.select("num_blobs", "miner_tip"), "miner_tip", q, settle=True)
 
 
 def tip_box(t: ChainTables, s: Settings = Settings(), q: float = 0.95) -> DataFrame:
@@ -41,7 +41,7 @@ def payment_by_blobs(t: ChainTables, s: Settings = Settings(), q: float = 0.95)
     blocks = blobs_per(t, "block_root", s).join(t.block_roots, "block_root")
     paid = t.payloads.select("block_hash", "value")
     rows = joins.skew_join(paid, blocks, ["block_hash"])
-    return trim_quantile(rows.select("num_blobs", "value"), "value", q).select(
+    return trim_quantile(rows.select("num_blobs", "value"), "value", q, settle=True).select(
         "num_blobs", scalars.wei_to_eth(F.col("value")).alias("mev_extracted")
     )
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockscope.plans.tables import ChainTables
 from blockscope.schemas import DECLARED
+from blockscope.session import run_dir
 
 
 def as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -51,3 +54,29 @@ def alternate_layout(
         .partitionBy(category)
         .parquet(path)
     )
+
+
+def bucketed(df: DataFrame, name: str, key: Sequence[str], buckets: int) -> DataFrame:
+    """A copy as a table cut by a hash of ``key`` and sorted by it, a file per bucket.
+
+    Tables with equally many buckets meet in joins and aggregates by the key without a shuffle.
+    A bucket is one task's work, so keys should repeat little and ``buckets`` grow with the data, about
+    200 MB each.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *key).write.bucketBy(buckets, *key).sortBy(*key)
+    writer.option("path", run_dir(spark, name)).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
+def bucketed_chain(t: ChainTables, buckets: int) -> ChainTables:
+    """The tables of the chain root, hash, details as bucketed copies; the other ones as they are.
+
+    Transactions and roots lie by root, so blobs are added up and get their hash without a shuffle;
+    only those sums move to the details, which lie by hash.
+    """
+    frames = {name: getattr(t, name) for name in ChainTables.__dataclass_fields__}
+    for name, key in (("transactions", "block_root"), ("block_roots", "block_root"), ("block_details", "hash")):
+        frames[name] = bucketed(frames[name], name, [key], buckets)
+    return ChainTables(**frames)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockscope.operators.intervals import uncovered
 from blockscope.operators.windows import keep_first
 from blockscope.schemas import PAYLOADS
 from blockscope.session import settled
@@ -94,6 +95,28 @@ def read_relay_pages(
     return rows.where(F.col("reason").isNull()).drop("reason", "raw")
 
 
+def page_spans(pages: DataFrame) -> DataFrame:
+    """(relay, low, high): the slots that each page of a downward walk answers for.
+
+    ``pages`` has relay, ``cursor`` (the slot asked for), ``status`` and ``text`` (the body).  A page with
+    bids answers from its cursor down to its lowest slot.  One that failed, is no JSON array,
+    or is empty answers for nothing: a walk goes on below it without having seen a bid.
+    """
+    bids = F.from_json("text", "array<struct<slot: string>>")
+    lowest = F.array_min(F.transform(bids, lambda bid: bid["slot"].try_cast("bigint")))
+    spans = pages.where(F.col("status") == 200).select("relay", lowest.alias("low"), F.col("cursor").cast("bigint").alias("high"))
+    return spans.where(F.col("low").isNotNull())
+
+
+def unseen_slots(pages: DataFrame, walks: DataFrame) -> DataFrame:
+    """(relay, low, high): longest ranges of slots that no page of a relay answers for.
+
+    ``walks`` has relay, low and high of what was to be walked, one row per relay; relays without any
+    page are wholly unseen.  These ranges are the work list of the next walk.
+    """
+    return uncovered(page_spans(pages), walks, ["relay"])
+
+
 def relay_rank(order: Sequence[str] = RELAY_ORDER) -> Column:
     """Place of the row's relay in the order; unknown relays come last."""
     place = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("relay"))

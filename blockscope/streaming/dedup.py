@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from blockscope.operators.windows import keep_first
+from blockscope.sources.files import remove, written_folders
 
 
 def first_arrivals(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
@@ -38,14 +39,11 @@ def run_keep_first(
 
 def _finished(spark: SparkSession, out: str) -> tuple[dict[int, str], dict[int, str]]:
     """Number and folder of the log's batches and of its compactions, only those fully written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found: dict[str, dict[int, str]] = {"batch": {}, "upto": {}}
-    for status in files.listStatus(path):
-        folder = status.getPath()
-        kind, _, number = folder.getName().partition("=")
-        if kind in found and files.exists(folder.suffix("/_SUCCESS")):
-            found[kind][int(number)] = folder.toString()
+    for name, folder in written_folders(spark, out).items():
+        kind, _, number = name.partition("=")
+        if kind in found:
+            found[kind][int(number)] = folder
     return found["batch"], found["upto"]
 
 
@@ -63,21 +61,17 @@ def kept_rows(
 
 
 def compact_log(spark: SparkSession, out: str, key: Sequence[str], order: Sequence[Column]) -> None:
-    """Reduce the log to one folder of first rows, then remove the folders it stands for.
+    """Reduce the log to one folder of first rows, and remove the folders that the compaction before it replaced.
 
-    Run it between runs of the stream.  Cut short, it leaves the log as it was, or with
-    folders that the next compaction removes.
+    Run it between runs of the stream.  What this compaction replaces stays until the next one, so
+    readers that began before it can end.  Cut short, it leaves the log as it was, or with
+    folders that a later compaction removes.
     """
     batches, upto = _finished(spark, out)
-    if not batches:
+    last, before = max(batches, default=-1), max(upto, default=-1)
+    if last <= before:
         return
-    last = max(batches)
-    if last not in upto:
-        keep_first(spark.read.parquet(*_live(batches, upto)), key, order).write.mode("overwrite").parquet(
-            f"{out}/upto={last}"
-        )
-    jvm = spark.sparkContext._jvm
-    old = [*[p for k, p in batches.items() if k <= last], *[p for k, p in upto.items() if k < last]]
-    for folder in map(jvm.org.apache.hadoop.fs.Path, old):
-        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(folder, True)
+    rows = spark.read.parquet(*_live(batches, upto))
+    keep_first(rows, key, order).write.mode("overwrite").parquet(f"{out}/upto={last}")
+    for folder in [*[p for k, p in batches.items() if k <= before], *[p for k, p in upto.items() if k < before]]:
+        remove(spark, folder)

@@ -179,6 +179,7 @@ def _queries() -> dict[str, str]:
     q["txns_by_blobs"] = """select block_root, num_of_txns, num_blobs from txns
   where num_of_txns <= (select quantile_cont(num_of_txns, 0.99) from txns)"""
     q["gas_by_blobs_rows"] = "select num_blobs, gas_used from gas"
+    q["gas_by_blobs_buckets"] = q["gas_by_blobs_rows"]
     mean = f"select num_blobs, {cut('avg(gas_used)', 'gas_used')} from gas"
     only = "where hash in (select hash from non_mev)"
     but = "where hash not in (select hash from non_mev)"
@@ -358,8 +359,7 @@ def _queries() -> dict[str, str]:
     q["hex_to_int"] = """select o_orderkey as key, case o_orderpriority when '4-NOT SPECIFIED' then null
   when '5-LOW' then cast(cast(o_orderkey as hugeint) * 18446744073709551616 as varchar)
   else cast(o_orderkey as varchar) end as value from orders"""
-    q["hex_to_int_long"] = """select cast(r_regionkey + 250 as bigint) as key,
-  cast(r_regionkey + 250 as varchar) as value from region"""
+    q["hex_to_int_long"] = "select o_orderkey as key, cast(o_orderkey as varchar) as value from orders"
     q["int_to_hex"] = "select o_orderkey as key, '0x' || lower(to_hex(o_orderkey)) as value from orders"
     q["bytes_to_text"] = "select o_orderkey as key, o_orderpriority as value from orders"
     # work lists
@@ -377,6 +377,10 @@ def _queries() -> dict[str, str]:
     per_day = "select cast(ts as date) as day, cast(count(*) as bigint) as rows from events group by 1"
     q["load_manifest"] = per_day
     q["full_refresh"] = per_day
+    q["load_repeated"] = f"""select day, case when day = date '2024-01-01' then 2 * rows else rows end as rows
+  from ({per_day})"""
+    q["refresh_under_readers"] = """select reader, o_orderstatus, cast(count(*) as bigint) as rows
+  from orders, (values ('before'), ('after')) r(reader) where reader = 'before' or o_orderstatus <> 'P' group by 1, 2"""
     # landed responses
     q["land_receipts"] = """select key, '0xb' || o_orderkey as blockHash, cast(o_orderkey as varchar) as blockNumber,
   cast(null as varchar) as contractAddress, cast(cast(floor(o_totalprice*100) as bigint) as varchar) as cumulativeGasUsed,
@@ -425,6 +429,15 @@ def _queries() -> dict[str, str]:
     where floor(slot/100)::bigint % 10 = 3
   union all select relay, case when slot % 50 = 7 then 'bad_number' else 'good' end, 0, slot, value from relay_bids
     where floor(slot/100)::bigint % 10 <> 3) group by 1, 2"""
+    q["relay_unseen_slots"] = """select relay, min(slot) as low, max(slot) as high from (
+  select relay, slot, slot - row_number() over (partition by relay order by slot) as island
+  from (select relay, unnest(range((select min(slot) from relay_bids), (select max(slot) + 1 from relay_bids))) as slot
+    from (values ('a'), ('b'), ('c'), ('d')) r(relay)) walked
+  anti join (select distinct relay, unnest(range(low, high + 1)) as slot from (
+    select relay, min(slot) as low, page * 100 + case when page % 7 = 3 then 130 else 99 end as high
+    from (select relay, slot, floor(slot/100)::bigint as page from relay_bids)
+    where page % 10 not in (3, 5) and (page % 7 <> 2 or slot % 100 >= 60) group by relay, page)) seen
+  using (relay, slot)) group by relay, island"""
     q["typed_append"] = f"select block_hash, {cut('value', 'value')} from relay_bids"
     q["sorted_layout"] = f"select hash, {cut('gas_used', 'gas_used')}, extra_data from block_details"
     q["alternate_layout"] = f"""select block_root, client, impl, {cut('diff_ms', 'diff_ms')} from sidecar
