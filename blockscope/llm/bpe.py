@@ -26,7 +26,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 
 #: Distinct pieces of text whose tokens a task remembers at most before it starts anew, and bytes of such a piece.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 PIECE_BYTES = 64
 #: Bytes of text whose pieces are encoded together.
 SLICE_BYTES = 4 << 20
@@ -59,6 +59,10 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.longest = max(map(len, self.vocab))
+        #: length of the longest token that begins with one or two characters
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
         self.bytes = dict(enumerate(byte_characters()))
         self.word = regex.compile(WORD)
         self.white = regex.compile(f"[{WHITE}]+")
@@ -90,12 +94,12 @@ class WordBpe:
     # --- words to tokens -----------------------------------------------------------------------
     def greedy(self, symbols: str) -> list[int] | None:
         """Longest matches from the left over a word's symbols, the last with its end mark."""
-        vocab, out, at, n = self.vocab, [], 0, len(symbols)
+        vocab, reach, out, at, n = self.vocab, self.reach, [], 0, len(symbols)
         while at < n:
             if n - at <= self.longest and (found := vocab.get(symbols[at:] + self.end)) is not None:
                 out.append(found)
                 return out
-            to = min(n - 1, at + self.longest)
+            to = min(n - 1, at + reach.get(symbols[at : at + 2], 1))
             while to > at and (found := vocab.get(symbols[at:to])) is None:
                 to -= 1
             if to == at:
@@ -266,11 +270,10 @@ def encode_texts(bpe: WordBpe, texts: list[bytes | None], known: dict) -> Iterat
     for piece, ids in zip(new, bpe.encode_pieces(new)):
         known[piece] = (len(ids), " ".join(map(str, ids)).encode(), bpe.decoded(ids).encode())
     for pieces in split:
-        found = [known[p] for p in pieces]
-        n = [f[0] for f in found]
-        if 0 in n:
-            found = [f for f in found if f[0]]
-        yield sum(n), b" ".join([f[1] for f in found]), b" ".join([f[2] for f in found])
+        n, ids, out = zip(*map(known.__getitem__, pieces)) if pieces else ((), (), ())
+        if 0 in n:  # pieces without a token leave no blank
+            ids, out = filter(None, ids), filter(None, out)
+        yield sum(n), b" ".join(ids), b" ".join(out)
     for piece in new:
         if len(piece) > PIECE_BYTES:
             del known[piece]
