@@ -67,7 +67,7 @@ from (
 
 
 def _tree_levels(levels: int) -> str:
-    """The template after each level: wild children are small ones of many, and those like their node."""
+    """The template after each level: wild children are those like their node, and small ones of many with few labels."""
     out = ""
     for k in range(1, levels + 1):
         pooled = "(ag / greatest(al, 1))"
@@ -77,7 +77,7 @@ child{k} as (
   from tree{k - 1} where len(segments) >= {k} group by all),
 key{k} as (
   select host, template, segment,
-    case when (b > 16 and n * 16 < an) or abs(g - l * {pooled}) <= 2.0 * sqrt(l * {pooled} * (1 - {pooled})) + 1e-9
+    case when (b > 16 and n * 16 < an and l < 8) or abs(g - l * {pooled}) <= 2.0 * sqrt(l * {pooled} * (1 - {pooled})) + 1e-9
       then '*' else segment end as key
   from child{k} join (
     select host, template, count(*) as b, sum(n) as an, sum(l) as al, sum(g) as ag from child{k} group by all)
