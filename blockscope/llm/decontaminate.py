@@ -74,27 +74,54 @@ def anchors_of(items: DataFrame, similarity: float) -> DataFrame:
     return reduce(DataFrame.union, keyed).distinct() if keyed else None
 
 
-def windows_of(docs: DataFrame, anchors: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
+def _keyed(words: DataFrame, lengths: list[int], *carried: str) -> DataFrame:
+    """Row per place and shingle length: what is carried, ``n`` (words), ``at``, ``length``, ``key``.
+
+    The words are read once for all lengths; a shingle that would leave the document is no row.
+    """
+    n = F.size("words")
+    least = lengths[0]
+    at = words.where(n >= least).select(
+        *words.columns, n.alias("n"), F.explode(F.sequence(F.lit(0), n - least)).alias("at")
+    )
+    each = [
+        F.struct(F.lit(k).alias("length"), _shingle_key(F.col("words"), F.col("at"), k).alias("key")) for k in lengths
+    ]
+    if len(lengths) == 1:
+        return at.select(*carried, "n", "at", each[0].alias("shingle")).select(*carried, "n", "at", "shingle.*")
+    rows = at.select(*carried, "n", "at", F.inline(F.array(*each)))
+    return rows.where(F.col("at") + F.col("length") <= F.col("n"))
+
+
+def windows_of(
+    docs: DataFrame,
+    anchors: DataFrame,
+    lengths: list[int],
+    id_col: str,
+    text_col: str,
+    most_anchors: int = MOST_ANCHORS,
+) -> DataFrame:
     """(doc, start, size, window): item-sized windows around the anchors a document holds.
 
     A window that would leave the document is moved inside it; a shorter document is one window.
+    ``lengths`` are ascending.  Up to ``most_anchors`` anchors go to the words; beyond that the shingles
+    are shuffled without them, and only rows with a hit are met with their words again.
     """
     words = docs.select(F.col(id_col).alias("doc"), words_of(F.col(text_col)).alias("words"))
-    found = []
-    for length in lengths:
-        there = anchors.where(F.col("length") == length).drop("length")
-        if there.limit(MOST_ANCHORS + 1).count() <= MOST_ANCHORS:
-            there = F.broadcast(there)
-        at = words.where(F.size("words") >= length).select(
-            "doc", "words", F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("at")
-        )
-        keyed = at.withColumn("key", _shingle_key(F.col("words"), F.col("at"), length))
-        hits = keyed.join(there, "key")
-        inside = F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("size"))
-        hits = hits.withColumn("start", F.greatest(F.lit(0), inside))
-        window = F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("size")))
-        found.append(hits.select("doc", "start", "size", window.alias("window")))
-    return reduce(DataFrame.union, found).distinct()
+    few = anchors.limit(most_anchors + 1).count() <= most_anchors
+    if few:
+        anchors, carried = F.broadcast(anchors), ["doc", "words"]
+    else:
+        # a number that is written with the words, as ids may be null or repeated
+        words = stored(words.withColumn("row", F.monotonically_increasing_id()), "words")
+        carried = ["row"]
+    hits = _keyed(words, lengths, *carried).join(anchors, ["length", "key"])
+    inside = F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("size"))
+    hits = hits.select(*carried, F.greatest(F.lit(0), inside).alias("start"), "size")
+    if not few:
+        hits = hits.distinct().join(words, "row")
+    window = F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.col("size")))
+    return hits.select("doc", "start", "size", window.alias("window")).distinct()
 
 
 def simhash(texts: DataFrame, words: str, *keys: str) -> DataFrame:

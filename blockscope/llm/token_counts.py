@@ -32,8 +32,9 @@ PRE_TOKEN = (
 BLOCK_BYTES = 8 << 20
 #: Distinct pre-tokens a task remembers before it starts anew.
 REMEMBERED = 200_000
-#: Buckets at least; more shuffle partitions have as many.
+#: Buckets at least; more shuffle partitions have as many, and there is one for so many bytes of text.
 LEAST_BUCKETS = 64
+BUCKET_BYTES = 128 << 20
 
 
 class PieceCounter:
@@ -174,7 +175,8 @@ def count_tokens(
     single = docs.sparkSession.sparkContext.broadcast(single_pieces(vocabulary))  # at most the vocabulary
     special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(LEAST_BUCKETS, partitions)
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, partitions, -(-size // BUCKET_BYTES))
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     cut_kind = (
@@ -217,7 +219,8 @@ def count_tokens(
                 ]
             )
             out = []
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 if row["bucket"] < 0:
                     out.append({k: row[k] for k in ("block", "ids", "sizes", "sums")})
                 else:
@@ -238,6 +241,6 @@ def count_tokens(
         return pa.table({id_col: ids, "n_bytes": sizes, "n_tokens": pa.array(total)})
 
     spread = F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket"))
-    cut_up = rows.mapInArrow(cut, cut_kind).repartition(partitions, spread)
+    cut_up = rows.mapInArrow(cut, cut_kind).repartition(max(partitions, buckets // 2), spread)
     counted = cut_up.mapInArrow(count, sent_kind)
     return counted.groupBy("block").applyInArrow(add, f"{id_col} {kind}, n_bytes long, n_tokens long")

@@ -16,13 +16,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockscope.llm.common import stored
+
 VERSION = "WARC/1.1"
 #: Payloads of fewer bytes are always stored whole.
 LEAST_REVISIT = 100
-#: Bytes of records in an archive file, on average; the reader holds one file at a time.
+#: Bytes of records in an archive file at most, but for a file of one record; the reader holds one file at a time.
 ARCHIVE_BYTES = 32 << 20
 #: Payloads with copies whose first page is broadcast at most; more are met by a shuffled join.
 MOST_COPIED = 200_000
+#: Records up to so many bytes share a class of sizes; each further class goes eight times as far.
+LEAST_CLASS = 8 << 10
+#: Bytes of a record's head at most, without its url.
+HEAD_BYTES = 1_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CRLF = "\r\n"
@@ -41,30 +47,35 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
-def with_first_page(pages: DataFrame) -> DataFrame:
-    """``first``: for payloads of ``LEAST_REVISIT`` bytes or more that several pages have, their least id."""
-    long = pages.where(F.col("bytes") >= LEAST_REVISIT)
-    first = long.groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    first = first.where(F.col("first") != F.col("last")).drop("last")
-    if first.limit(MOST_COPIED + 1).count() <= MOST_COPIED:
-        first = F.broadcast(first)
-    return pages.join(first, "digest", "left")
-
-
-def records_of(pages: DataFrame, id_col: str, url_col: str, html_col: str, date: str) -> DataFrame:
-    """(record): each page as a response, or as a revisit of the first page with its payload.
-
-    The last line feed of a record is left to the writer.
-    """
+def hashed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page, url, payload, bytes, digest) of each page."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(
+    return pages.select(
         F.col(id_col).alias("page"),
         F.regexp_replace(F.col(url_col), "[\\r\\n]+", " ").alias("url"),
         payload.alias("payload"),
         F.octet_length(payload).alias("bytes"),
         F.sha2(payload.cast("binary"), 256).alias("digest"),
     )
-    rows = with_first_page(rows)
+
+
+def first_pages(rows: DataFrame) -> DataFrame:
+    """(digest, first): payloads of ``LEAST_REVISIT`` bytes or more that several pages have, and their least id.
+
+    Stored, so that pages are hashed and grouped for it once; marked for broadcast if few.
+    """
+    long = rows.where(F.col("bytes") >= LEAST_REVISIT)
+    first = long.groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    first = stored(first.where(F.col("first") != F.col("last")).drop("last"), "first-pages")
+    return F.broadcast(first) if first.limit(MOST_COPIED + 1).count() <= MOST_COPIED else first
+
+
+def records_of(rows: DataFrame, first: DataFrame, date: str) -> DataFrame:
+    """(record): each page as a response, or as a revisit of the first page with its payload.
+
+    ``rows`` are ``hashed`` pages.  The last line feed of a record is left to the writer.
+    """
+    rows = rows.join(first, "digest", "left")
     again = (F.col("bytes") >= LEAST_REVISIT) & (F.col("page") != F.col("first"))
     again = F.coalesce(again, F.lit(False))
     shared = F.concat(
@@ -102,16 +113,27 @@ def write_archives(
     html_col: str = "html",
     date: str = "2024-01-01T00:00:00Z",
 ) -> None:
-    """Archive files of about ``ARCHIVE_BYTES`` below ``path``, one record per page row.
+    """Archive files below ``path``, one record per page row, each of ``ARCHIVE_BYTES`` at most or of one record.
 
     Null html is an empty payload; null urls and ids leave their field out or empty.  Of equal
     payloads long enough the rows with the least id are responses, all others revisits; rows
     with a null id are responses.  No page moves unless very many payloads have copies.
+
+    Files are cut by the number of records, so records of like size share files: one write for
+    each class of sizes that occurs, with as many records as its largest allows.
     """
-    size = pages.agg(F.avg(F.octet_length(html_col)).alias("mean")).first().mean or 0
-    records = records_of(pages, id_col, url_col, html_col, date)
-    per_file = max(1, int(ARCHIVE_BYTES / (size + 600)))
-    records.write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+    rows = hashed(pages, id_col, url_col, html_col)
+    rows = rows.withColumn("size", F.col("bytes") + F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD_BYTES)
+    over = F.greatest(F.col("size") / LEAST_CLASS, F.lit(1.0))
+    rows = rows.withColumn("class", F.ceil(F.log2(over) / 3).cast("int"))
+    # a row per class: sizes below 2 GB have seven
+    classes = rows.groupBy("class").agg(F.max("size").alias("largest")).orderBy("class").collect()
+    first = first_pages(rows)
+    for number, largest in classes or [(0, ARCHIVE_BYTES)]:
+        some = rows if len(classes) <= 1 else rows.where(F.col("class") == number)
+        per_file = max(1, ARCHIVE_BYTES // largest)
+        writer = records_of(some, first, date).write.mode("append")
+        writer.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 # --- reading -----------------------------------------------------------------------------------

@@ -72,6 +72,20 @@ def test_copies_are_found_and_clean_documents_left(spark):
     assert {(100 + k, k) for k in range(7)} | {(200 + k, k) for k in range(7)} <= set(got)
 
 
+def test_many_anchors_give_the_windows_that_few_give(spark):
+    """Items of one to nine words, documents without ids and repeated ones, words met again by a row's number."""
+    rng = random.Random(8)
+    items = [(k, " ".join(words(rng, n))) for k, n in enumerate([1, 2, 3, 4, 5, 9, 30])]
+    docs = [(k % 30 or None, " ".join(words(rng, 20)) + " " + items[k % 7][1] + " " + " ".join(words(rng, k))) for k in range(40)]
+    docs, items = frames(spark, docs + [(3, None), (4, "")], items)
+    anchors = d.anchors_of(d.items_of(items, "item_id", "text", 5), 0.8).cache()
+
+    def windows(most):
+        return sorted(map(tuple, d.windows_of(docs, anchors, [1, 2, 3, 4, 5], "doc_id", "text", most).collect()), key=str)
+
+    assert len(windows(0)) >= 40 and windows(0) == windows(d.MOST_ANCHORS)
+
+
 def test_radius_misses_nothing_within_it(spark):
     rng = random.Random(5)
     prints = [rng.getrandbits(63) for _ in range(40)]

@@ -127,6 +127,7 @@ def test_counts_equal_the_library(spark, monkeypatch):
     theirs = library("byte_bpe_50k.json")
     rows = [(k, t) for k, t in enumerate(mixed(1500, 2))] + [(10_000 + (i or 0), t) for i, t in EDGE]
     monkeypatch.setattr(token_counts, "BLOCK_BYTES", 3000)  # many blocks
+    monkeypatch.setattr(token_counts, "BUCKET_BYTES", 500)  # and buckets
     out = token_counts.count_tokens(docs(spark, rows).repartition(5), BYTE)
     assert out.columns == ["doc_id", "n_bytes", "n_tokens"]
     got = sorted(map(tuple, out.collect()))

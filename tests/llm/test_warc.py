@@ -102,6 +102,20 @@ def test_archives_read_back(spark):
     assert [x[0] for x in query.select(warc.page_of(F.col("r"))).collect()] == ["3", None, None]
 
 
+def test_archives_are_cut_by_bytes(spark, monkeypatch):
+    """Long pages that lie together, long urls, and pages longer than a file."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200_000)
+    rows = [(k, f"http://a/{k}", "y" * n) for k, n in enumerate([50] * 300 + [30_000] * 40 + [90_000] * 9 + [700_000] * 3)]
+    rows += [(1000 + k, "http://b/" + "u" * 40_000, "z" * 10) for k in range(12)]
+    home = run_dir(spark, "archives-bytes")
+    warc.write_archives(pages(spark, rows).coalesce(1), home)
+    files = [(len(r.content), r.content.count(b"WARC-Type: ")) for r in spark.read.format("binaryFile").load(home).collect()]
+    assert sum(n for _, n in files) == len(rows)
+    assert all(size <= warc.ARCHIVE_BYTES or n == 1 for size, n in files)
+    assert len(files) < 60  # small records still share files
+    assert warc.read_archives(spark, home).where("gap is null").count() == len(rows)
+
+
 def test_empty_table(spark):
     home = run_dir(spark, "archives-empty")
     warc.write_archives(pages(spark, []), home)
