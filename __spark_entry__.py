@@ -10,7 +10,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +21,10 @@ from blockscope.fixtures import SETTINGS, chain_tables, driver_table, view
 from blockscope.functions import scalars
 from blockscope.operators import joins, shaping, summaries, windows
 from blockscope.operators.quantiles import grouped_median, grouped_quantiles, trim_quantile
-from blockscope.plans import arrival, blobs, payments, positions, reorgs, senders
+from blockscope.plans import arrival, arrival_days, blobs, payments, positions, reorgs, senders
 from blockscope.schemas import BLOCK_DETAILS, BLOCK_ROOTS, RECEIPTS, TRANSACTION_DETAILS
-from blockscope.session import run_dir
-from blockscope.sources import days, landing, layouts, relays, worklists
+from blockscope.session import run_dir, settled
+from blockscope.sources import days, landing, layouts, ledger, relays, worklists
 from blockscope.streaming import dedup as stream_dedup
 from blockscope.streaming import landing as stream_landing
 
@@ -365,6 +365,14 @@ def kde_grid(spark: SparkSession, d: str) -> DataFrame:
     return cut_columns(summaries.kde_grid(medians, "m"), "x", "density")
 
 
+@query
+def kde_binned(spark: SparkSession, d: str) -> DataFrame:
+    """The density curve of all values, in parts of its peak."""
+    curve = summaries.kde_binned(driver_table(spark, d, "events"), "value")
+    peak = F.max("density").over(Window.partitionBy(F.lit(0)))  # over the curve's 200 points
+    return curve.select("point", cut(F.col("x")).alias("x"), cut(F.col("density") / peak, 2).alias("height"))
+
+
 @query
 def hex_to_int(spark: SparkSession, d: str) -> DataFrame:
     orders = driver_table(spark, d, "orders")
@@ -698,6 +706,58 @@ def retry_list(spark: SparkSession, d: str) -> DataFrame:
     return landing.retry_list(landed)
 
 
+# --- results kept up to date --------------------------------------------------------------------
+PERIODS = ("2024-01-01", "2024-01-11", "2024-01-21", None)
+
+
+@query
+def prop_by_blobs_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Three periods added one by one, the second of them twice; the result reads their partial rows alone."""
+    path, t = run_dir(spark, "periods"), chain_tables(spark, d)
+    for k in (0, 1, 1, 2):
+        arrival_days.add_period(t, path, PERIODS[k], PERIODS[k + 1], SETTINGS)
+    return cut_columns(arrival_days.arrival_by_blobs_kept(spark, path), "propagation_sec")
+
+
+@query
+def arrival_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """A sketch per day and blob index, stored; over half a month its ranks are within two in a hundred."""
+    path, seen = run_dir(spark, "sketches"), view(spark, d, "sidecar")
+    arrival_days.period_sketches(seen, "slot_start", ["blob_index"], "diff_ms").write.parquet(path)
+    wanted = {"median": 0.5, "p95": 0.95}
+    half = shaping.time_range(spark.read.parquet(path), "slot_start", "2024-01-05", "2024-01-20")
+    merged = arrival_days.merged_quantiles(half, ["blob_index"], wanted)
+    rows = shaping.time_range(seen, "slot_start", "2024-01-05", "2024-01-20").join(F.broadcast(merged), "blob_index")
+
+    def within(name: str) -> Column:
+        below, upto = F.count_if(F.col("diff_ms") < F.col(name)), F.count_if(F.col("diff_ms") <= F.col(name))
+        near = F.lit(wanted[name]).between(below / F.count(F.lit(1)) - 0.02, upto / F.count(F.lit(1)) + 0.02)
+        return near.alias(f"{name}_within")
+
+    return rows.groupBy("blob_index", "n").agg(*[within(name) for name in wanted])
+
+
+@query
+def attempt_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Six landings of what is still open, the third of them recorded twice; some keys never succeed."""
+    path, kinds = run_dir(spark, "ledger"), "key bigint, part string"
+    orders = driver_table(spark, d, "orders")
+    fails = F.when(F.col("o_orderpriority") == "5-LOW", 99)
+    for priority, n in (("2-HIGH", 1), ("3-MEDIUM", 3), ("4-NOT SPECIFIED", 5)):
+        fails = fails.when(F.col("o_orderpriority") == priority, n)
+    work = orders.select(
+        F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("part"), fails.otherwise(0).alias("fails")
+    )
+    for number in range(1, landing.MAX_TRIES + 1):
+        asked = ledger.open_keys(work, ledger.read_ledger(spark, path, kinds))
+        tried = settled(asked.select("key", "part", (F.col("fails") < number).alias("done")))
+        for _ in range(2 if number == 3 else 1):
+            ledger.record_attempts(spark, path, tried, number)
+    found = ledger.read_ledger(spark, path, kinds)
+    lost = ledger.given_up(found).select("key", F.lit(True).alias("given_up"))
+    return found.select("key", "tries", "done").join(lost, "key", "left").fillna(False, ["given_up"])
+
+
 # --- relays and layouts ----------------------------------------------------------------------
 @query
 def relay_union_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -851,6 +911,17 @@ def stream_first_arrivals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def stream_relay_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Bids given out as they come and corrected by preferred relays; state goes as slots pass."""
+    home = run_dir(spark, "stream-corrections")
+    for new, delay in _bid_drops(spark, d, home, spans=2):
+        best = stream_dedup.preferred_so_far(new, ["block_hash"], relays.preference(RELAYS), "seen", delay)
+        stream_dedup.run_corrections(best, f"{home}/out", f"{home}/checkpoint")
+    kept = stream_dedup.corrected_rows(spark, f"{home}/out", ["block_hash"])
+    return cut_columns(kept.select("block_hash", "relay", "value"), "value")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Mean gas used per number of blobs."""
     return _REGISTRY["gas_by_blobs_mean"](spark, SMOKE_DIR)

@@ -252,3 +252,59 @@ def kde_grid(df: DataFrame, value: str, points: int = 200, bins: int = 50) -> Da
         (lo + F.col("point") * step).alias("x"),
         (F.col("__sum") * norm).alias("density"),
     )
+
+
+# A node adds nothing a double can show to points further away than so many bandwidths.
+_REACH = 9
+
+
+def kde_binned(
+    df: DataFrame, value: str, points: int = 200, bins: int = 50, per_width: int = 512
+) -> DataFrame:
+    """``kde_grid`` from a fine grid in place of the distinct values: (point, x, density).
+
+    Each value is shared by the two grid nodes next to it, in proportion to its place between them;
+    the curve is the nodes' convolution with the Gaussian.  With ``per_width`` nodes a bandwidth it
+    differs from ``kde_grid`` by less than one in 8 * per_width^2 parts of its peak.  The column is
+    read twice and never shuffled, only occupied nodes are.  A column of one distinct value has no density (NULL).
+    """
+    values = df.select(F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull() & ~F.isnan(_V))
+    about = values.agg(
+        F.struct(
+            F.min(_V).alias("lo"),
+            (F.max(_V) - F.min(_V)).alias("reach"),
+            F.count(_V).cast("double").alias("n"),
+            F.nullif(F.stddev_samp(_V), F.lit(0.0)).alias("spread"),
+        )
+    ).scalar()
+    lo, reach = about.getField("lo"), about.getField("reach")
+    width = about.getField("spread") * F.pow(about.getField("n"), F.lit(-0.2))
+    place = (F.col(_V) - F.col("__lo")) / F.col("__width") * per_width
+    placed = values.withColumns({"__lo": lo, "__width": width}).select(place.alias("__at"))
+    # a cell's rows and how far above its lower node they lie in all
+    cells = placed.groupBy(F.floor("__at").alias("node")).agg(
+        F.count(F.lit(1)).cast("double").alias("__n"), F.sum(F.col("__at") - F.floor("__at")).alias("__upper")
+    )
+    ends = F.array(
+        F.struct(F.col("node"), (F.col("__n") - F.col("__upper")).alias("weight")),
+        F.struct((F.col("node") + 1).alias("node"), F.col("__upper").alias("weight")),
+    )
+    nodes = cells.select(F.inline(ends)).groupBy("node").agg(F.sum("weight").alias("weight"))
+    step = reach / F.lit(points - 1)
+    scaled = nodes.withColumns({"__step": step / width}).select(
+        "weight", "__step", (F.col("node") / per_width).alias("__x")
+    )
+    first = F.greatest(F.lit(0), F.ceil((F.col("__x") - _REACH) / F.col("__step")))
+    last = F.least(F.lit(points - 1), F.floor((F.col("__x") + _REACH) / F.col("__step")))
+    near = scaled.where(first <= last).select("weight", "__step", "__x", F.explode(F.sequence(first, last)).alias("point"))
+    away = F.col("point") * F.col("__step") - F.col("__x")
+    sums = near.groupBy(F.col("point").cast("int").alias("point")).agg(
+        F.sum(F.col("weight") * F.exp(-0.5 * away * away)).alias("__sum")
+    )
+    norm = (reach / F.lit(bins)) / (width * F.sqrt(F.lit(2.0) * F.pi()))
+    frame = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    return frame.join(sums, "point", "left").select(
+        "point",
+        (lo + F.col("point") * step).alias("x"),
+        (F.coalesce("__sum", F.lit(0.0)) * norm).alias("density"),
+    )

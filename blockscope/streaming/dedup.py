@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockscope.operators.windows import keep_first
 from blockscope.sources.files import remove, written_folders
@@ -37,6 +38,50 @@ def run_keep_first(
     )
 
 
+def preferred_so_far(
+    stream: DataFrame, key: Sequence[str], order: Sequence[Column], event_time: str, delay: str
+) -> DataFrame:
+    """The preferred report per key so far; run it in update mode, and a better report replaces what was given out.
+
+    All reports of a key have the same event time.  State is one row per key, dropped ``delay`` after
+    that time; a report that comes later still changes nothing.  Of reports alike in ``order`` the least columns count.
+    """
+    rest = [c for c in stream.columns if c not in {*key, event_time}]
+    ranks = [o.alias(f"__rank{i}") for i, o in enumerate(order)]
+    best = F.min(F.struct(*ranks, *rest)).alias("__best")
+    kept = stream.withWatermark(event_time, delay).groupBy(*key, event_time).agg(best)
+    return kept.select(*key, event_time, *[F.col("__best").getField(c).alias(c) for c in rest])
+
+
+def run_corrections(preferred: DataFrame, out: str, checkpoint: str) -> list[int]:
+    """Log what each new batch of ``preferred_so_far`` gives out or corrects, then stop.
+
+    Returns the keys held in state after each batch.  A repeated batch overwrites its own folder.
+    """
+
+    def log(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    running = (
+        preferred.writeStream.foreachBatch(log)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return [sum(s.numRowsTotal for s in p.stateOperators) for p in running.recentProgress]
+
+
+def corrected_rows(spark: SparkSession, out: str, key: Sequence[str]) -> DataFrame:
+    """What was given out last per key, over the batches fully written."""
+    batches, _ = _finished(spark, out)
+    rows = spark.read.option("basePath", out).parquet(*[p for _, p in sorted(batches.items())])
+    rest = [c for c in rows.columns if c not in {*key, "batch"}]
+    last = F.max_by(F.struct(*rest), "batch").alias("__last")
+    return rows.groupBy(*key).agg(last).select(*key, "__last.*")
+
+
 def _finished(spark: SparkSession, out: str) -> tuple[dict[int, str], dict[int, str]]:
     """Number and folder of the log's batches and of its compactions, only those fully written."""
     found: dict[str, dict[int, str]] = {"batch": {}, "upto": {}}

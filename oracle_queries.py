@@ -356,6 +356,15 @@ def _queries() -> dict[str, str]:
   select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events group by 1))
   using (event_type) where value < a or value > b"""
     q["kde_grid"] = density("user_medians")
+    q["kde_binned"] = f"""select point, x, {cut('density / max(density) over ()', 'height', 2)}
+  from ({density('(select value as m from events)')})"""
+    # results kept up to date
+    q["prop_by_blobs_kept"] = q["prop_by_blobs"]
+    q["arrival_sketches"] = """select blob_index, count(*) as n, true as median_within, true as p95_within from sidecar
+  where slot_start >= '2024-01-05' and slot_start < '2024-01-20' group by 1"""
+    q["attempt_ledger"] = """select key, least(fails + 1, 6) as tries, fails < 6 as done, fails >= 6 as given_up from (
+  select o_orderkey as key, case o_orderpriority when '2-HIGH' then 1 when '3-MEDIUM' then 3
+    when '4-NOT SPECIFIED' then 5 when '5-LOW' then 99 else 0 end as fails from orders)"""
     q["hex_to_int"] = """select o_orderkey as key, case o_orderpriority when '4-NOT SPECIFIED' then null
   when '5-LOW' then cast(cast(o_orderkey as hugeint) * 18446744073709551616 as varchar)
   else cast(o_orderkey as varchar) end as value from orders"""
@@ -445,6 +454,7 @@ def _queries() -> dict[str, str]:
     # streams
     q["stream_landing"] = q["land_receipts"]
     q["stream_relay_dedup"] = q["relay_union_dedup"]
+    q["stream_relay_corrections"] = q["relay_union_dedup"]
     q["stream_first_arrivals"] = q["relay_union_dedup"].replace("order by relay", "order by relay desc")
     return q
 
