@@ -21,7 +21,7 @@ from blockscope.fixtures import SETTINGS, chain_tables, driver_table, view
 from blockscope.functions import scalars
 from blockscope.operators import joins, shaping, summaries, windows
 from blockscope.operators.quantiles import grouped_median, grouped_quantiles, trim_quantile
-from blockscope.plans import arrival, arrival_days, blobs, payments, positions, reorgs, senders
+from blockscope.plans import arrival, arrival_days, blobs, classified, payments, positions, reorgs, senders
 from blockscope.schemas import BLOCK_DETAILS, BLOCK_ROOTS, RECEIPTS, TRANSACTION_DETAILS
 from blockscope.session import run_dir, settled
 from blockscope.sources import days, landing, layouts, ledger, relays, worklists
@@ -737,6 +737,19 @@ def arrival_sketches(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("blob_index", "n").agg(*[within(name) for name in wanted])
 
 
+@query
+def gas_by_blobs_mev_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Classes refreshed over three loads, in which payloads come before and after their blocks."""
+    path, t = run_dir(spark, "classes"), chain_tables(spark, d)
+    times, values = (None, "1997-01-01", "1999-06-01", None), (0, 165_000, 330_000, 1e18)
+    for k in (0, 1, 1, 2):
+        some = shaping.time_range(t.block_details, "block_time", times[k], times[k + 1])
+        paid = t.payloads.where((F.col("value") >= values[k]) & (F.col("value") < values[k + 1]))
+        classified.classify_load(path, k, some, paid)
+    t.non_mev = classified.non_mev_kept(spark, path)
+    return blobs.gas_rows(t, mev=True)
+
+
 @query
 def attempt_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Six landings of what is still open, the third of them recorded twice; some keys never succeed."""

@@ -100,6 +100,7 @@ class _OnDemand:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._from = (spark, sf_dir)
+        self.non_mev = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BOUND:

@@ -198,6 +198,11 @@ def items_without_tags(
     return untagged.select(key).distinct()
 
 
+def items_left(items: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
+    """The items whose tag, never NULL, is not in ``tags``, with all their columns."""
+    return items.join(tags.select(tag).distinct(), tag, "left_anti").select(*items.columns)
+
+
 def only_in(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in ``keys``; rows with a NULL key are left out."""
     return df.join(keys, list(on), "left_semi")

@@ -49,6 +49,8 @@ def block_transaction_stats(t: ChainTables, s: Settings = Settings(), q: float =
 
 def non_mev_blocks(t: ChainTables, hot: DataFrame | None = None) -> DataFrame:
     """Hashes of blocks whose builder tag never occurs on a relay-delivered block."""
+    if t.non_mev is not None:
+        return t.non_mev
     delivered = t.payloads.select(F.col("block_hash").alias("hash"))
     tags = joins.member_tags(t.block_details, delivered, "hash", "extra_data")
     return joins.items_without_tags(t.block_details, tags, "hash", "extra_data", hot)

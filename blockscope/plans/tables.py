@@ -20,6 +20,8 @@ class ChainTables:
     block_events: DataFrame
     reorgs: DataFrame
     address_labels: DataFrame
+    #: hashes of the non-MEV blocks where they are stored (``plans.classified``); else they are found
+    non_mev: DataFrame | None = None
 
 
 # The dates, bounds, countries and senders the analyses are defined with.

@@ -362,6 +362,7 @@ def _queries() -> dict[str, str]:
     q["prop_by_blobs_kept"] = q["prop_by_blobs"]
     q["arrival_sketches"] = """select blob_index, count(*) as n, true as median_within, true as p95_within from sidecar
   where slot_start >= '2024-01-05' and slot_start < '2024-01-20' group by 1"""
+    q["gas_by_blobs_mev_kept"] = q["gas_by_blobs_mev_rows"]
     q["attempt_ledger"] = """select key, least(fails + 1, 6) as tries, fails < 6 as done, fails >= 6 as given_up from (
   select o_orderkey as key, case o_orderpriority when '2-HIGH' then 1 when '3-MEDIUM' then 3
     when '4-NOT SPECIFIED' then 5 when '5-LOW' then 99 else 0 end as fails from orders)"""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockscope.operators import summaries
-from blockscope.plans import arrival, arrival_days
+from blockscope.plans import arrival, arrival_days, blobs, classified
 from blockscope.session import run_dir
 from blockscope.sources import ledger, relays
 from blockscope.streaming import dedup
@@ -125,6 +125,40 @@ def test_merged_sketches_are_near_the_sketch_of_all(spark, shape):
                 assert below / len(mine) - 0.02 <= q <= upto / len(mine) + 0.02
 
 
+# --- classes -----------------------------------------------------------------------------------
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_after_each_load_are_those_of_all_loads(spark, seed):
+    """Tags that a later payload delivers, payloads before their blocks, repeated rows, loads run twice."""
+    rng = random.Random(seed)
+    path, details, paid = run_dir(spark, "classes-test"), [], []
+    for load in range(4):
+        new = [(f"h{rng.randrange(60)}", rng.choice(["t1", "t2", "t3", "t4", "t5", "t6", None])) for _ in range(15 * (load != 2))]
+        bids = [(1, f"h{rng.randrange(200)}", 1.0) for _ in range(4 * (load != 1))]
+        details += new
+        paid += bids
+        rows_of = [(h, 1, tag, 1, 1) for h, tag in new]
+        for _ in range(1 + load % 2):
+            t = chain(spark, block_details=rows_of, payloads=bids)
+            classified.classify_load(path, load, t.block_details, t.payloads)
+        whole = chain(spark, block_details=[(h, 1, tag, 1, 1) for h, tag in details], payloads=paid)
+        assert rows(classified.non_mev_kept(spark, path)) == rows(blobs.non_mev_blocks(whole))
+    assert len(os.listdir(f"{path}/other")) == 2
+
+
+def test_plans_read_the_stored_classes_and_no_payloads(spark):
+    import dataclasses
+
+    t = chain(spark)
+    stored = dataclasses.replace(t, non_mev=spark.createDataFrame([("h",)], "hash string"))
+    for build in (blobs.gas_rows, arrival.arrival_by_blobs):
+        for mev in (True, False):
+            kept, found = (
+                build(x, SETTINGS, mev=mev)._jdf.queryExecution().analyzed().toString().count("Join") for x in (stored, t)
+            )
+            # neither the tags of delivered blocks nor the blocks without them
+            assert kept == found - 2
+
+
 # --- density -----------------------------------------------------------------------------------
 @pytest.mark.parametrize("shape", ["normal", "two", "tail"])
 def test_binned_density_is_the_exact_one(spark, shape):
