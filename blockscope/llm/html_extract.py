@@ -3,7 +3,8 @@
 Markup that is never article text is dropped, the rest becomes one line per block element.  The
 text lengths of neighbouring lines are summed in a sliding window; text starts where the sum
 surges and ends where it dives.  Link lists and lines of boilerplate blocks weigh nothing, so that
-the curve falls to zero on them; lines in an article or main element weigh more than their length.
+the curve falls to zero on them; lines in an article or main element weigh a little more than their
+length.
 """
 
 import re
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 #: Lines in a window, and the summed length at which text surges.
 WINDOW = 3
 SURGE = 40
+#: What a line in an article or main element weighs besides its length: less than a surge.
+INSIDE = SURGE // 2
 
 # Elements by what they do to text.
 SILENT = frozenset(
@@ -175,21 +178,25 @@ def spans(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[in
 def main_text(page: str | None) -> str:
     """The article of a page, one line per block; empty if there is none.
 
-    Text must surge to ``SURGE`` characters.  A line in an article or main element weighs so
-    much more that it surges by itself, however short or linked; elsewhere lines that are
-    mostly links weigh nothing.  Text outside such elements is found by its own length, whether
-    the page has one or not.  If nothing surges, all lines of weight are the text.
+    Boilerplate inside an article or main element is markup and leaves the lines before the
+    curve; elsewhere it stays as lines without weight, where the curve dives.  Text must surge
+    to ``SURGE`` characters in a window.  A line in an article or main element weighs ``INSIDE`` more
+    than its length, however linked, so that short lines surge with a neighbour; elsewhere lines that
+    are mostly links weigh nothing.  Text outside such elements is found by its own length, whether
+    the page has one or not.  If nothing surges, the lines in article or main elements
+    are the text, or all lines of weight where there are none.
     """
     if not page:
         return ""
-    lines = lines_of(page)
+    lines = [x for x in lines_of(page) if not (x.boilerplate and x.inside)]
     weights = [
         0
         if x.boilerplate or (not x.inside and 2 * x.linked > len(x.text))
-        else len(x.text) + SURGE * x.inside
+        else len(x.text) + INSIDE * x.inside
         for x in lines
     ]
-    found = spans(weights, SURGE) or spans(weights, 1)
+    within = [w * x.inside for w, x in zip(weights, lines)]
+    found = spans(weights, SURGE) or spans(within, 1) or spans(weights, 1)
     kept = [x for low, high in found for x in lines[low:high]]
     return "\n".join(x.text for x in kept if not x.boilerplate)
 

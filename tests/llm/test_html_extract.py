@@ -1,3 +1,5 @@
+import html
+import random
 import re
 import time
 
@@ -74,6 +76,46 @@ def test_very_long_page():
     assert h.main_text("<p>" * 20_000 + "x") == "x"
 
 
+def brute_spans(weights, surge):
+    """Line by line: in text from a surge on, as long as a window that starts at the line holds any weight."""
+    kept, run, found = [], False, []
+    for at, weight in enumerate(weights):
+        block = sum(weights[at : at + h.WINDOW])
+        run = (run and block > 0) or (weight > 0 and block >= surge)
+        kept.append(run)
+    at = 0
+    while at < len(weights):
+        if not kept[at]:
+            at += 1
+            continue
+        end = at
+        while end < len(weights) and kept[end]:
+            end += 1
+        # a window of no weight ends a range even where the next one surges at once
+        last = max(k for k in range(at, end) if weights[k])
+        found.append((at, last + 1))
+        at = end
+    return found
+
+
+def test_curve_equals_brute_force():
+    draw = random.Random(5)
+    for _ in range(3000):
+        weights = [draw.choice([0, 0, 0, 5, 15, 25, 60]) for _ in range(draw.randrange(0, 30))]
+        for surge in (1, h.SURGE):
+            assert h.spans(weights, surge) == brute_spans(weights, surge)
+
+
+def test_a_line_of_an_article_does_not_surge_by_itself():
+    """The window decides inside an article too; boilerplate in it does not part its lines."""
+    assert h.INSIDE < h.SURGE
+    assert h.main_text(f"<article><p>lone</p></article>{LINKS}<div>{LONG}</div>") == LONG
+    assert h.main_text(f"<article><p>lone</p><p>pair of lines</p></article>{LINKS}<div>{LONG}</div>") == f"lone\npair of lines\n{LONG}"
+    notice = "<div class=notice><p>a</p><p>b</p><p>c</p></div>"
+    assert h.main_text(f"<article><h1>T</h1>{notice}<p>{LONG}</p></article>") == f"T\n{LONG}"
+    assert h.main_text(f"<div>far</div>{LINKS}<article><p>x</p></article>") == "x"
+
+
 @pytest.mark.parametrize("tag", ["aside", "a", "article", "div"])
 def test_many_open_tags_take_little_time(tag):
     began = time.monotonic()
@@ -98,8 +140,11 @@ def test_pages_give_back_their_documents(spark):
     """Every page renders the document its path names: a headline and then its lines."""
     home = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{home}/documents.parquet").collect()}
-    for r in h.extract(spark.read.parquet(f"{home}/pages.parquet")).collect():
+    table = spark.read.parquet(f"{home}/pages.parquet")
+    pages = {r.page_id: r.html for r in table.collect()}
+    for r in h.extract(table).collect():
         lines = texts[int(re.search(r"/(\d+)", r.url)[1])].split("\n")
         lines = [" ".join(x.split()) for x in lines]
-        assert r.text.split("\n")[1:] == [x for x in lines if x]
+        headline = html.unescape(re.search(r"<article>\s*<h1[^>]*>(.*?)</h1>", pages[r.page_id], re.S)[1])
+        assert r.text.split("\n") == [" ".join(headline.split()), *[x for x in lines if x]]
         assert r.n_chars == len(r.text)
