@@ -25,9 +25,11 @@ SLICE = 1 << 20
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BLANK = 32
 
-#: A bound is this share of the score that lies ``SPREAD`` standard deviations below the mean, and
-#: ``HIGHEST`` at most, as a few learning rows lie nearer to their own profile than others do.
-SHARE, SPREAD, HIGHEST = 0.75, 4.0, 0.3
+#: A bound is this share of the score that lies ``SPREAD`` standard deviations below the mean.
+SHARE, SPREAD = 0.75, 4.0
+#: A text whose second-best score is within this share of the best is torn between profiles, as text in a
+#: language related to several is, and is held to ``TORN_SHARE`` in place of ``SHARE``.
+TORN, TORN_SHARE = 0.25, 0.9
 #: Learning rows of a length from which the language has a bound of its own for that length.
 ENOUGH_ROWS = 30
 #: With so many grams a text is held to half its bound, with more to more of it.
@@ -120,14 +122,15 @@ def out_of_place(ranked: np.ndarray, profile: np.ndarray, most: int = PROFILE_GR
     return int(np.where(profile[theirs] == ranked, differ, most).sum())
 
 
-def nearest(text: str | None, learned: dict[str, np.ndarray]) -> tuple[str, float, int]:
-    """The nearest profile, by name among equals, its nearness (1: same ranks, 0: no gram shared), and
-    the number of ranked grams."""
+def nearest(text: str | None, learned: dict[str, np.ndarray]) -> tuple[str, float, float, int]:
+    """The nearest profile, by name among equals, its nearness (1: same ranks, 0: no gram shared), that
+    of the next profile (0 if there is none), and the number of ranked grams."""
     ranked = ranking(*gram_counts(text))
     if not len(ranked) or not learned:
-        return UNKNOWN, 0.0, len(ranked)
-    far, best = min((out_of_place(ranked, profile), lang) for lang, profile in learned.items())
-    return best, 1 - far / (PROFILE_GRAMS * len(ranked)), len(ranked)
+        return UNKNOWN, 0.0, 0.0, len(ranked)
+    most = PROFILE_GRAMS * len(ranked)
+    (far, best), *others = sorted((out_of_place(ranked, profile), lang) for lang, profile in learned.items())
+    return best, 1 - far / most, 1 - others[0][0] / most if others else 0.0, len(ranked)
 
 
 def language(text: str | None, learned: dict[str, np.ndarray]) -> tuple[str, float]:
@@ -178,16 +181,16 @@ def length_class(grams: int) -> int:
 def bounds(
     docs: DataFrame, learned: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang"
 ) -> dict[tuple[str, int | None], float]:
-    """The least score per language and length of text, and per language (None), before ``held_to``.
+    """A low score per language and length of text, and per language (None); ``held_to`` takes a share.
 
-    It lies well below the scores of the rows whose nearest profile is that of the language
+    It lies at the foot of the scores of the rows whose nearest profile is that of the language
     they name.  Mean and deviation carry it, so that a few strange rows among many do not.
     """
 
     @F.pandas_udf("lang string, score double, length int")
     def run(texts: pd.Series) -> pd.DataFrame:
         found = [nearest(t, learned) for t in texts]
-        return pd.DataFrame([(a, s, length_class(n)) for a, s, n in found], columns=["lang", "score", "length"])
+        return pd.DataFrame([(a, s, length_class(n)) for a, s, _, n in found], columns=["lang", "score", "length"])
 
     rows = docs.select(F.col(lang_col).alias("named"), run(F.col(text_col)).alias("found"))
     rows = rows.where(F.col("named") == F.col("found.lang")).select("found.*")
@@ -204,14 +207,21 @@ def bounds(
     out = {}
     for key, (n, s, q) in sums.items():
         deviation = np.sqrt(max(q / n - (s / n) ** 2, 0.0))
-        out[key] = float(min(HIGHEST, SHARE * (s / n - SPREAD * deviation)))
+        out[key] = float(s / n - SPREAD * deviation)
     return out
 
 
-def held_to(lang: str, grams: int, found: dict[tuple[str, int | None], float], least: float) -> float:
-    """The score a text must reach: its language's for its length, less for few grams, ``least`` at least."""
+def held_to(lang: str, grams: int, torn: bool, found: dict[tuple[str, int | None], float], least: float) -> float:
+    """The score a text must reach: a share of its language's for its length, the larger one if it is torn
+    between profiles, less for few grams, ``least`` at least."""
     bound = found.get((lang, length_class(grams)), found.get((lang, None), least))
-    return max(least, bound * grams / (grams + HALF_BOUND_GRAMS))
+    return max(least, (TORN_SHARE if torn else SHARE) * bound * grams / (grams + HALF_BOUND_GRAMS))
+
+
+def is_known(text: str | None, learned: dict[str, np.ndarray], found: dict, least: float) -> bool:
+    """Whether the text has a letter and reaches the score it is held to."""
+    lang, score, second, grams = nearest(text, learned)
+    return lang != UNKNOWN and score >= held_to(lang, grams, score - second < TORN * score, found, least)
 
 
 def keep_known(
@@ -223,8 +233,9 @@ def keep_known(
 ) -> DataFrame:
     """The documents whose language is known: not ``und``, and near enough to a profile.
 
-    How near follows from the scores of the learning rows (``bounds``), so that text in a
-    language not learned and letter noise go; a few words cannot be told from noise and are
+    How near follows from the scores of the learning rows (``bounds``), and text about as near to
+    a second profile must be nearer, so that text in a language not learned, related ones
+    included, and letter noise go; a few words cannot be told from noise and are
     held to less, down to ``least``.  All columns are kept and no row moves.  If no row has a
     language to learn from, all text with a letter is kept.
     """
@@ -236,7 +247,6 @@ def keep_known(
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        found = [nearest(t, learned) for t in texts]
-        return pd.Series([a != UNKNOWN and s >= held_to(a, n, bound, least) for a, s, n in found], dtype=bool)
+        return pd.Series([is_known(t, learned, bound, least) for t in texts], dtype=bool)
 
     return docs.where(known(F.col(text_col)))

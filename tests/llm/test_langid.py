@@ -94,11 +94,28 @@ FINNISH = (
 )
 
 
+# Languages that were not learned, each related to one that was.
+NEAR = {
+    "nl": "De gemeente heeft gisteren bekendgemaakt dat het oude station volgend jaar wordt verbouwd. Volgens de "
+    "wethouder is het gebouw al lang niet meer veilig genoeg voor de vele reizigers die er elke dag langskomen. De "
+    "kosten worden geschat op ruim twintig miljoen euro, maar een deel daarvan wordt betaald door de provincie.",
+    "it": "Il comune ha annunciato ieri che la vecchia stazione sarà ristrutturata nel corso del prossimo anno. "
+    "Secondo il sindaco, l'edificio non è più abbastanza sicuro per i numerosi viaggiatori che lo attraversano ogni "
+    "giorno. I costi sono stimati in oltre venti milioni di euro, ma una parte sarà pagata dalla regione.",
+    "pt": "A câmara anunciou ontem que a velha estação será renovada durante o próximo ano. Segundo o presidente, o "
+    "edifício já não é suficientemente seguro para os muitos viajantes que por lá passam todos os dias. Os custos "
+    "são estimados em mais de vinte milhões de euros, mas uma parte será paga pela região.",
+    "sv": "Kommunen meddelade igår att den gamla stationen ska byggas om under nästa år. Enligt borgmästaren är "
+    "byggnaden inte längre tillräckligt säker för de många resenärer som passerar varje dag. Kostnaderna beräknas "
+    "till mer än tjugo miljoner euro, men en del betalas av regionen och av järnvägsbolaget.",
+}
+
+
 def test_clean_text_stays_and_unlearned_languages_and_noise_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     draw = np.random.default_rng(7)
     words = lambda n: " ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(2, 10))) for _ in range(n))
-    strange = [FINNISH, FINNISH * 30, *(words(n) for n in (50, 100, 200, 500, 5000)), "Привет, мир и люди"]
+    strange = [FINNISH, FINNISH * 30, *NEAR.values(), *(words(n) for n in (50, 100, 200, 500, 5000)), "Привет, мир и люди"]
     added = [(10**9 + k, t) for k, t in enumerate(strange)]
     some = [(2 * 10**9, "the"), (2 * 10**9 + 1, "und der")]
     extra = spark.createDataFrame(added + some, "doc_id long, text string").select(
@@ -114,10 +131,22 @@ def test_bounds_follow_the_learning_rows(spark):
     docs = rows(spark, [*data, (99, "zq xj vk", "en", None, None)])
     learned = langid.profiles(docs)
     found = langid.bounds(docs, learned)
-    assert set(found) == {("en", None), ("en", langid.length_class(langid.nearest(EN, learned)[2]))}
-    assert max(found.values()) == langid.HIGHEST and min(found.values()) <= langid.HIGHEST
-    assert langid.held_to("en", 400, found, 0.05) > langid.held_to("en", 8, found, 0.05) >= 0.05
-    assert langid.held_to("xx", 400, found, 0.05) == 0.05
+    assert set(found) == {("en", None), ("en", langid.length_class(langid.nearest(EN, learned)[3]))}
+    scores = [langid.nearest(r[1], learned)[1] for r in data]
+    length = langid.length_class(langid.nearest(EN, learned)[3])
+    assert found["en", length] == pytest.approx(np.mean(scores) - langid.SPREAD * np.std(scores), abs=1e-6)
+    assert found["en", None] < found["en", length]  # the strange row widens it
+    assert langid.held_to("en", 400, False, found, 0.05) > langid.held_to("en", 8, False, found, 0.05) >= 0.05
+    assert langid.held_to("en", 100, True, found, 0.05) > langid.held_to("en", 100, False, found, 0.05)
+    assert langid.held_to("xx", 400, False, found, 0.05) == 0.05
+
+
+def test_second_profile_is_the_next_nearest():
+    learned = {k: langid.ranking(*langid.gram_counts(t)) for k, t in (("en", EN), ("fi", FINNISH), ("no", NEAR["nl"]))}
+    lang, score, second, grams = langid.nearest(EN, learned)
+    others = [1 - langid.out_of_place(learned["en"], learned[k]) / (400 * grams) for k in ("fi", "no")]
+    assert (lang, score, second, grams) == ("en", 1.0, max(others), len(learned["en"]))
+    assert langid.nearest(EN, {"en": learned["en"]})[2] == 0.0
 
 
 def test_nothing_learned_and_empty_table(spark):

@@ -1,3 +1,4 @@
+import zlib
 import corpus_pipeline as p
 from blockscope.llm import bpe, decontaminate, langid, quality, queries, simhash_dedup
 
@@ -11,16 +12,32 @@ def brute(spark, docs):
     learned = langid.profiles(docs.where(~langid.held_out()))
     stages = []
 
-    def known(r):
-        lang, score = langid.language(r.text, learned)
-        return lang != "und" and score >= 0.05
+    import numpy as np
+
+    found = {i: langid.nearest(r.text, learned) for i, r in table.items()}
+    cells = {}
+    for i, r in table.items():
+        lang, score, _, grams = found[i]
+        if zlib.crc32(str(i).encode()) % 4 != 2 and r.lang == lang:
+            cells.setdefault((lang, None), []).append(score)
+            cells.setdefault((lang, langid.length_class(grams)), []).append(score)
+
+    def known(i):
+        lang, score, second, grams = found[i]
+        if lang == "und":
+            return False
+        cell = cells.get((lang, langid.length_class(grams)), [])
+        cell = cell if len(cell) >= langid.ENOUGH_ROWS else cells.get((lang, None), [])
+        if not cell:
+            return score >= 0.05
+        share = 0.9 if score - second < 0.25 * score else 0.75
+        bound = share * (np.mean(cell) - 4 * np.std(cell)) * grams / (grams + 16)
+        return score >= max(0.05, bound)
 
-    kept = {i for i, r in table.items() if known(r)}
+    kept = {i for i in table if known(i)}
     stages.append(kept)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{HOME}/labels.parquet").collect()}
     order = sorted(i for i in kept if i in labels)
-    import numpy as np
-
     k = len(quality.BASE)
     values = {i: quality.statistics(table[i].text) for i in kept}
     model = quality.fit(np.array([values[i][k:] for i in order]), np.array([labels[i] for i in order], dtype=float))
