@@ -33,7 +33,7 @@ BLOCK_BYTES = 8 << 20
 #: Distinct pre-tokens a task remembers before it starts anew.
 REMEMBERED = 200_000
 #: Buckets at least; more shuffle partitions have as many, and there is one for so many bytes of text.
-LEAST_BUCKETS = 8
+LEAST_BUCKETS = 32
 BUCKET_BYTES = 32 << 20
 
 
