@@ -96,5 +96,5 @@ def test_each_stage_takes_odd_rows(spark):
 
 def test_every_operator_has_its_query():
     found = queries.queries()
-    assert [int(n[2:].split("_")[0]) for n in found] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in found] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(found)
