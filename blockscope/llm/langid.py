@@ -29,7 +29,7 @@ BLANK = 32
 SHARE, SPREAD = 0.75, 4.0
 #: A text whose second-best score is within this share of the best is torn between profiles, as text in a
 #: language related to several is, and is held to ``TORN_SHARE`` in place of ``SHARE``.
-TORN, TORN_SHARE = 0.25, 0.9
+TORN, TORN_SHARE = 0.25, 0.8
 #: Learning rows of a length from which the language has a bound of its own for that length.
 ENOUGH_ROWS = 30
 #: With so many grams a text is held to half its bound, with more to more of it.

@@ -30,7 +30,7 @@ def brute(spark, docs):
         cell = cell if len(cell) >= langid.ENOUGH_ROWS else cells.get((lang, None), [])
         if not cell:
             return score >= 0.05
-        share = 0.9 if score - second < 0.25 * score else 0.75
+        share = 0.8 if score - second < 0.25 * score else 0.75
         bound = share * (np.mean(cell) - 4 * np.std(cell)) * grams / (grams + 16)
         return score >= max(0.05, bound)
 
