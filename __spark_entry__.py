@@ -73,8 +73,8 @@ plan("block_txn_stats", blobs.block_transaction_stats, "total_txn_size")
 plan("txns_by_blobs", blobs.trimmed_transactions_by_blobs)
 plan("gas_by_blobs_rows", blobs.gas_rows)
 plan("gas_by_blobs_mean", blobs.gas_summary, "gas_used")
-BUCKETS = 8
-plan("gas_by_blobs_buckets", lambda t: blobs.gas_rows(layouts.bucketed_chain(t, BUCKETS)))
+LEAST_BUCKETS = 8
+plan("gas_by_blobs_buckets", lambda t: blobs.gas_rows(layouts.bucketed_chain(t, LEAST_BUCKETS)))
 plan("gas_by_blobs_nonmev_rows", lambda t: blobs.gas_rows(t, mev=False))
 plan("gas_by_blobs_nonmev_mean", lambda t: blobs.gas_summary(t, mev=False), "gas_used")
 plan("gas_by_blobs_mev_rows", lambda t: blobs.gas_rows(t, mev=True))

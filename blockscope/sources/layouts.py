@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,9 @@ from blockscope.plans.tables import ChainTables
 from blockscope.schemas import DECLARED
 from blockscope.session import run_dir
 
+#: Bytes of rows, as ``row_bytes`` counts them, that a bucket is cut for.
+BUCKET_BYTES = 128 << 20
+
 
 def as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The columns of ``schema`` in its order and types; a value that does not fit is an error."""
@@ -60,8 +63,8 @@ def bucketed(df: DataFrame, name: str, key: Sequence[str], buckets: int) -> Data
     """A copy as a table cut by a hash of ``key`` and sorted by it, a file per bucket.
 
     Tables with equally many buckets meet in joins and aggregates by the key without a shuffle.
-    A bucket is one task's work, so keys should repeat little and ``buckets`` grow with the data, about
-    200 MB each.
+    A bucket is one task's work, so keys should repeat little and ``buckets`` grow with the data, see
+    ``buckets_for``.
     """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
@@ -70,13 +73,31 @@ def bucketed(df: DataFrame, name: str, key: Sequence[str], buckets: int) -> Data
     return spark.table(table)
 
 
-def bucketed_chain(t: ChainTables, buckets: int) -> ChainTables:
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: the lengths of its strings and binaries, and eight for every other column."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        text = isinstance(f.dataType, (T.StringType, T.BinaryType))
+        total += F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if text else F.lit(8)
+    return total
+
+
+def buckets_for(frames: Sequence[DataFrame], least: int) -> int:
+    """As many buckets as the largest frame has ``BUCKET_BYTES``, ``least`` or more; one pass over each frame."""
+    sizes = [df.agg(F.sum(row_bytes(df))).first()[0] or 0 for df in frames]
+    return max(least, *(-(-size // BUCKET_BYTES) for size in sizes))
+
+
+def bucketed_chain(t: ChainTables, least: int) -> ChainTables:
     """The tables of the chain root, hash, details as bucketed copies; the other ones as they are.
 
     Transactions and roots lie by root, so blobs are added up and get their hash without a shuffle;
-    only those sums move to the details, which lie by hash.
+    only those sums move to the details, which lie by hash.  All three have ``least`` buckets, or as
+    many as the largest of them needs.
     """
     frames = {name: getattr(t, name) for name in ChainTables.__dataclass_fields__}
-    for name, key in (("transactions", "block_root"), ("block_roots", "block_root"), ("block_details", "hash")):
+    keys = {"transactions": "block_root", "block_roots": "block_root", "block_details": "hash"}
+    buckets = buckets_for([frames[name] for name in keys], least)
+    for name, key in keys.items():
         frames[name] = bucketed(frames[name], name, [key], buckets)
     return ChainTables(**frames)

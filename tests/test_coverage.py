@@ -75,6 +75,23 @@ def test_chain_on_buckets_moves_only_the_sums(spark):
     assert got == sorted(map(tuple, blobs.gas_rows(t).collect())) and len(got) == 695
 
 
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    tx = spark.range(3000).select(
+        (F.col("id") % 900).alias("block_root"), F.lit(3).alias("type"), F.lit(131072).alias("blob_gas"),
+        F.when(F.col("id") % 2 == 0, F.repeat(F.lit("é"), 20)).alias("to_addr"),
+    )
+    roots = spark.range(800).select(F.col("id").alias("block_root"), (F.col("id") + 5).alias("block_hash"))
+    details = spark.range(700).select(F.col("id").alias("hash"), F.col("id").cast("double").alias("gas_used"))
+    fields = dict.fromkeys(ChainTables.__dataclass_fields__)
+    monkeypatch.setattr(layouts, "BUCKET_BYTES", 12_000, raising=False)
+    for times, buckets in ((1, 11), (4, 44), (0, 3)):  # 44 bytes a transaction
+        more = tx.withColumn("again", F.explode(F.array_repeat(F.lit(1), times))).drop("again")
+        t = ChainTables(**fields | {"transactions": more, "block_roots": roots, "block_details": details})
+        copy = layouts.bucketed_chain(t, 3)
+        assert copy.transactions.groupBy("block_root").count().rdd.getNumPartitions() == buckets
+        assert sorted(map(tuple, blobs.gas_rows(copy).collect())) == sorted(map(tuple, blobs.gas_rows(t).collect()))
+
+
 # --- cut points per group ----------------------------------------------------------------------
 def test_groups_in_neighbouring_ranges_are_cut_by_their_own_values(spark):
     groups, each, ranges = 300, 400, 16
