@@ -5,14 +5,20 @@ rank order gives exactly when each adjacent pair is, so all adjacent pairs are t
 together, and only words with a failing pair are merged step by step.
 """
 
+import gc
 import hashlib
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +30,8 @@ from blockscope.llm.common import utf8
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
+#: the same for lower-cased text of printable ASCII
+PLAIN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+"
 
 #: Distinct pieces of text whose tokens a task remembers at most before it starts anew, and bytes of such a piece.
 REMEMBERED = 250_000
@@ -35,6 +43,12 @@ NEVER = np.int64(1) << 60
 CELLS = 1 << 20
 #: Words of more symbols are merged one by one.
 LONG = 512
+#: Symbols by whose first ones the length of a longest match is bounded.
+HEAD = 4
+#: Texts put together from their pieces at once.
+TOGETHER = 64
+ID_BYTES = np.dtype(np.intc).itemsize
+BLANK = pa.scalar(b" ", pa.large_binary())
 
 
 def byte_characters() -> list[str]:
@@ -58,12 +72,23 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
+        #: decimal id and text by token
+        ids = range(max(self.names) + 1)
+        self.decimal = pa.array([str(i).encode() for i in ids], pa.large_binary())
+        self.text = pa.array([self.names.get(i, "").encode() for i in ids], pa.large_binary())
         self.longest = max(map(len, self.vocab))
+        #: most symbols of a token, by its first ``HEAD`` symbols; only shorter ones begin otherwise
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            if len(t) >= HEAD:
+                self.reach[t[:HEAD]] = max(len(t), self.reach.get(t[:HEAD], 0))
         self.bytes = dict(enumerate(byte_characters()))
-        self.word = regex.compile(WORD)
+        self.word, self.plain_word = regex.compile(WORD), re.compile(PLAIN_WORD)
         self.white = regex.compile(f"[{WHITE}]+")
         marks = "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))
         self.marks = regex.compile(f"({marks})") if marks else None
+        #: first characters of special strings; a text without them holds none
+        self.first = {t[0].encode() for t in self.special}
         size = len(self.names) + 1
         self.size = size
         pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in model["merges"]]
@@ -90,12 +115,12 @@ class WordBpe:
     # --- words to tokens -----------------------------------------------------------------------
     def greedy(self, symbols: str) -> list[int] | None:
         """Longest matches from the left over a word's symbols, the last with its end mark."""
-        vocab, out, at, n = self.vocab, [], 0, len(symbols)
+        vocab, reach, out, at, n = self.vocab, self.reach, [], 0, len(symbols)
         while at < n:
             if n - at <= self.longest and (found := vocab.get(symbols[at:] + self.end)) is not None:
                 out.append(found)
                 return out
-            to = min(n - 1, at + self.longest)
+            to = min(n - 1, at + reach.get(symbols[at : at + HEAD], HEAD - 1))
             while to > at and (found := vocab.get(symbols[at:to])) is None:
                 to -= 1
             if to == at:
@@ -227,11 +252,12 @@ class WordBpe:
             return [piece.decode().lower()]
         text = piece.decode("utf-8", "replace")
         out: list[str | int] = []
-        for part in self.marks.split(text) if self.marks else [text]:
-            if part in self.special:
+        marked = any(c in piece for c in self.first)
+        for part in self.marks.split(text) if marked else [text]:
+            if marked and part in self.special:
                 out.append(self.special[part])
             elif part.isascii() and part.isprintable():
-                out += self.word.findall(part.lower())
+                out += self.plain_word.findall(part.lower())
             else:
                 part = self.white.sub(" ", unicodedata.normalize("NFC", part))
                 # each character is lowered by itself, so a capital sigma never becomes a final one
@@ -254,25 +280,59 @@ class WordBpe:
         """Without a decoder of its own such a file joins the tokens by blanks; special ones stay."""
         return " ".join([self.names[i] for i in ids])
 
+    def written(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The ids of many texts in decimal; a text's ids lie between two neighbouring ``bounds``."""
+        return pc.binary_join(pa.LargeListArray.from_arrays(bounds, self.decimal.take(pa.array(ids))), BLANK)
+
+    def decoded_texts(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """As ``decoded`` for many texts."""
+        return pc.binary_join(pa.LargeListArray.from_arrays(bounds, self.text.take(pa.array(ids))), BLANK)
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without searches for reference cycles, of which the many lists of a slice have none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
 
 def encode_texts(bpe: WordBpe, texts: list[bytes | None], known: dict) -> Iterator[tuple[int, bytes, bytes]]:
-    """(tokens, decimal ids, decoded text) per text; ``known`` holds pieces already encoded.
+    """(tokens, decimal ids, decoded text) per text; ``known`` holds the packed ids of pieces already encoded.
 
     ASCII white space never lies inside a token, a special string or a composed
-    character, so the pieces between it are encoded by themselves.
+    character, so the pieces between it are encoded by themselves, each distinct one once.
     """
-    split = [(t or b"").split() for t in texts]
-    new = list({p for pieces in split for p in pieces if p not in known})
-    for piece, ids in zip(new, bpe.encode_pieces(new)):
-        known[piece] = (len(ids), " ".join(map(str, ids)).encode(), bpe.decoded(ids).encode())
-    for pieces in split:
-        n, ids, out = zip(*map(known.__getitem__, pieces)) if pieces else ((), (), ())
-        if 0 in n:  # pieces without a token leave no blank
-            ids, out = filter(None, ids), filter(None, out)
-        yield sum(n), b" ".join(ids), b" ".join(out)
+    whole = pa.array([t or b"" for t in texts], pa.large_binary()).cast(pa.large_string(), safe=False)
+    split = pc.ascii_split_whitespace(whole)
+    pieces = split.flatten().dictionary_encode()
+    distinct = pieces.dictionary.cast(pa.large_binary()).to_pylist()
+    new = [p for p in distinct if p not in known]
+    with uncollected():
+        known.update((p, array("i", ids).tobytes()) for p, ids in zip(new, bpe.encode_pieces(new)))
+    packed = [known[p] for p in distinct]
     for piece in new:
         if len(piece) > PIECE_BYTES:
             del known[piece]
+    lengths = np.array([*map(len, packed)], dtype=np.int64) // ID_BYTES
+    starts = np.cumsum(lengths) - lengths
+    tokens = np.frombuffer(b"".join(packed), dtype=np.intc)
+    place, offsets = pieces.indices.to_numpy(), split.offsets.to_numpy()
+    del whole, split, pieces, distinct, new, packed
+    for low in range(0, len(texts), TOGETHER):
+        cut = offsets[low : low + TOGETHER + 1]
+        some = place[cut[0] : cut[-1]]
+        n = lengths[some]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        # a piece's tokens follow those of the pieces before it
+        ids = tokens[np.repeat(starts[some] - bounds[:-1], n) + np.arange(bounds[-1])]
+        bounds = bounds[cut - cut[0]]
+        for found in zip(np.diff(bounds).tolist(), bpe.written(ids, bounds), bpe.decoded_texts(ids, bounds)):
+            yield found[0], found[1].as_py(), found[2].as_py()
 
 
 def shared(vocabulary: str) -> Broadcast:

@@ -90,6 +90,60 @@ def test_a_word_of_a_million_symbols(word):
     assert out.decode().replace(" ", "").removesuffix("</w>") == text
 
 
+class Counted(dict):
+    """Counts what is asked of it, so that work by piece shows."""
+
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+
+def test_pieces_are_looked_up_once_for_a_slice(word):
+    mine, theirs = word
+    texts, known = ["one two, three " * 500, "", "two, " * 800] * 20, Counted()
+    out = list(bpe.encode_texts(mine, [t.encode() for t in texts], known))
+    assert known.asked <= 20  # four distinct pieces in 46,000
+    for text, (n, ids, _) in zip(texts, out):
+        encoded = theirs.encode(text, add_special_tokens=False).ids
+        assert ids.decode() == " ".join(map(str, encoded)) and n == len(encoded)
+
+
+def test_texts_are_put_together_as_they_stand(word, monkeypatch):
+    mine, theirs = word
+    texts = mixed(300, 11) + ["", " ", "\n\n a", "q" * 200, "\x1c \x0b\x0c"] + mixed(7, 12)
+    whole = list(bpe.encode_texts(mine, [t.encode() for t in texts], {}))
+    for together in (1, 3, 312):
+        monkeypatch.setattr(bpe, "TOGETHER", together, raising=False)
+        assert list(bpe.encode_texts(mine, [t.encode() for t in texts], {})) == whole
+    for text, (n, ids, out) in zip(texts, whole):
+        encoded = theirs.encode(text, add_special_tokens=False).ids
+        assert (n, ids.decode()) == (len(encoded), " ".join(map(str, encoded)))
+        assert out.decode() == theirs.decode(encoded, skip_special_tokens=False)
+    assert list(bpe.encode_texts(mine, [None, b"", b" \n"], {})) == [(0, b"", b"")] * 3
+    assert list(bpe.encode_texts(mine, [], {})) == []
+
+
+def test_bytes_that_are_no_utf8(word):
+    rng, known = random.Random(6), {}
+    texts = [bytes(rng.choice(b"ab \n\xc3\xa9\xff\xe2\x80\x85<|") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    for text, (n, ids, out) in zip(texts, bpe.encode_texts(word[0], texts, known)):
+        tokens = [t for piece in text.split() for t in word[0].encode_pieces([piece])[0]]
+        assert ids.decode() == " ".join(map(str, tokens)) and n == len(tokens)
+        assert out.decode() == word[0].decoded(tokens)
+
+
+def test_only_short_pieces_are_remembered(word):
+    known = {}
+    list(bpe.encode_texts(word[0], [b"short " + b"x" * (bpe.PIECE_BYTES + 1)], known))
+    assert list(known) == [b"short"]
+
+
 def docs(spark, rows):
     kind = "doc_id long, text string, id int, found int, block int, n_tokens string"
     return spark.createDataFrame([(i, t, 0, 0, 0, "x") for i, t in rows], kind)
