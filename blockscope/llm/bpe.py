@@ -36,8 +36,8 @@ PLAIN_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+"
 #: Distinct pieces of text whose tokens a task remembers at most before it starts anew, and bytes of such a piece.
 REMEMBERED = 250_000
 PIECE_BYTES = 64
-#: Bytes of text whose pieces are encoded together.
-SLICE_BYTES = 4 << 20
+#: Bytes of text whose pieces are encoded together; a worker's memory grows with them.
+SLICE_BYTES = 1 << 20
 NEVER = np.int64(1) << 60
 #: Symbols in the table of words that are merged together.
 CELLS = 1 << 20
@@ -357,6 +357,7 @@ def tokens_of(text: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of the worker left
         bpe, known = _parsed(sent.value), {}
         for texts in batches:
             rows, held, size = [], [], 0
